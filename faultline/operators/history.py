@@ -20,44 +20,59 @@ OUTCOME_KEY, OUTCOME_DAYS = "assigned_group", 30
 _VALUES = ["opened", "known", "breached"]
 
 
-def _key_text(name: str) -> Column:
+def _key_text(name: str) -> str:
     """Key as text in which null is a value of its own."""
-    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null"))
+    return f"coalesce('=' || {name}, 'null')"
 
 
-def _entry(kind: str, at: Column, opened: Column, known: Column, breached: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        _key_text(kind).alias("key"),
-        at.alias("at"),
-        opened.cast("long").alias("opened"),
-        known.cast("long").alias("known"),
-        breached.cast("long").alias("breached"),
+def _days_back(kind: str) -> list[int]:
+    return sorted({0, *PRIOR_COUNTS[kind], *([OUTCOME_DAYS] if kind == OUTCOME_KEY else [])})
+
+
+def _structs(entries: list[dict[str, str]]) -> Column:
+    """Rows to unfold, as one parsed expression."""
+    rows = [", ".join(f"{value} AS {name}" for name, value in entry.items()) for entry in entries]
+    return F.expr("inline(array(" + ", ".join(f"struct({row})" for row in rows) + "))")
+
+
+def _instants(silver: DataFrame) -> DataFrame:
+    outcome = F.coalesce(F.col(S.ELIGIBLE), F.lit(False)) & F.col(S.TARGET).isNotNull()
+    return silver.select(
+        "incident_id",
+        *PRIOR_COUNTS,
+        micros(F.col("opened_at")).alias("opened_us"),
+        F.when(outcome, micros(F.col("closed_at"))).alias("outcome_us"),
+        F.col(S.TARGET).cast("long").alias("target"),
     )
 
 
-def _days_back(kind: str) -> list[int]:
-    return sorted({0, *PRIOR_COUNTS[kind], *([OUTCOME_DAYS] if kind == OUTCOME_KEY else [])})
+def _lookups(kind: str) -> list[dict[str, str]]:
+    return [
+        {
+            "kind": f"'{kind}'",
+            "key": _key_text(kind),
+            "at": f"opened_us - {days * MICROS_PER_DAY}",
+            "days": str(days),
+        }
+        for days in _days_back(kind)
+    ]
 
 
-def running_history(silver: DataFrame) -> DataFrame:
+def running_history(instants: DataFrame) -> DataFrame:
     """Openings, known outcomes and breaches before every instant of interest.
 
     One row per (key column, key, instant). Openings count at their opening
     time, outcomes at their closing time, and the start of each look-back is a
     point that counts nothing.
     """
-    opened, closed, zero = micros(F.col("opened_at")), micros(F.col("closed_at")), F.lit(0)
     entries = []
     for kind in PRIOR_COUNTS:
-        for days in _days_back(kind):
-            counts = F.lit(1) if days == 0 else zero
-            entries.append(_entry(kind, opened - days * MICROS_PER_DAY, counts, zero, zero))
-    outcome = F.coalesce(F.col(S.ELIGIBLE), F.lit(False)) & F.col(S.TARGET).isNotNull()
-    entries.append(
-        _entry(OUTCOME_KEY, F.when(outcome, closed), zero, F.lit(1), F.col(S.TARGET))
-    )
-    points = silver.select(F.inline(F.array(*entries))).where(F.col("at").isNotNull())
+        for entry in _lookups(kind):
+            opened = "1L" if entry.pop("days") == "0" else "0L"
+            entries.append(entry | {"opened": opened, "known": "0L", "breached": "0L"})
+    closing = {"kind": f"'{OUTCOME_KEY}'", "key": _key_text(OUTCOME_KEY), "at": "outcome_us"}
+    entries.append(closing | {"opened": "0L", "known": "1L", "breached": "target"})
+    points = instants.select(_structs(entries)).where("at IS NOT NULL")
     levels = time_levels(F.col("at"))
     counted = points.groupBy("kind", "key", *[c.alias(n) for n, c in levels.items()]).agg(
         *[F.sum(name).alias(name) for name in _VALUES]
@@ -69,44 +84,33 @@ def running_history(silver: DataFrame) -> DataFrame:
 
 def history_features(silver: DataFrame) -> DataFrame:
     """The nine historical features per incident id."""
-    opened = micros(F.col("opened_at"))
-    lookups = F.array(
-        *[
-            F.struct(
-                F.lit(kind).alias("kind"),
-                _key_text(kind).alias("key"),
-                (opened - days * MICROS_PER_DAY).alias("at"),
-                F.lit(days).alias("days"),
-            )
-            for kind in PRIOR_COUNTS
-            for days in _days_back(kind)
+    instants = _instants(silver)
+    lookups = [entry for kind in PRIOR_COUNTS for entry in _lookups(kind)]
+    asked = instants.select("incident_id", _structs(lookups))
+    found = asked.join(running_history(instants), ["kind", "key", "at"])
+
+    def moved(kind: str, value: str, days: int) -> str:
+        now, then = [
+            f"max(CASE WHEN kind = '{kind}' AND days = {d} THEN before_{value} END)"
+            for d in (0, days)
         ]
-    )
-    asked = silver.select("incident_id", F.inline(lookups))
-    found = asked.join(running_history(silver), ["kind", "key", "at"])
-
-    def total(kind: str, value: str, days: int) -> Column:
-        hit = (F.col("kind") == kind) & (F.col("days") == days)
-        return F.max(F.when(hit, F.col(f"before_{value}")))
+        return f"{now} - {then}"
 
-    def moved(kind: str, value: str, days: int) -> Column:
-        return total(kind, value, 0) - total(kind, value, days)
-
-    columns = [
-        moved(kind, "opened", days).alias(
-            f"{kind.removesuffix('_code')}_incidents_previous_{days}d"
-        )
+    columns = {
+        f"{kind.removesuffix('_code')}_incidents_previous_{days}d": moved(kind, "opened", days)
         for kind, spans in PRIOR_COUNTS.items()
         for days in spans
-    ]
+    }
     known = moved(OUTCOME_KEY, "known", OUTCOME_DAYS)
     breached = moved(OUTCOME_KEY, "breached", OUTCOME_DAYS)
-    columns += [
-        known.alias("assigned_group_known_outcomes_previous_30d"),
-        breached.alias("assigned_group_breaches_previous_30d"),
-        F.try_divide(breached, known).alias("assigned_group_breach_rate_previous_30d"),
-    ]
-    return found.groupBy("incident_id").agg(*columns)
+    columns |= {
+        "assigned_group_known_outcomes_previous_30d": known,
+        "assigned_group_breaches_previous_30d": breached,
+        "assigned_group_breach_rate_previous_30d": f"try_divide({breached}, {known})",
+    }
+    return found.groupBy("incident_id").agg(
+        *[F.expr(text).alias(name) for name, text in columns.items()]
+    )
 
 
 def temporal_features(silver: DataFrame) -> DataFrame:
