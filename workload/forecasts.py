@@ -1,3 +1,167 @@
-"""Queries."""
+"""Queries over series, features and forecasts."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from faultline import schema as S
+from faultline.functions.calendars import calendar_features
+from faultline.operators import forecast, gold, quality, serving, series
+from faultline.session import materialise
+from faultline.sources import sinks
+from workload.tables import Tables
+
+START, FIRST, SELECTION_END, REPORT = "2000-01-01", "2001-04-01", "2001-05-31", "2001-06-01"
+GENERATED_AT = "2026-01-01 00:00:00"
+VERSION = "volume-check"
+
+
+def context(t: Tables) -> DataFrame:
+    return series.series_context(t.order_silver(), START)
+
+
+def features(t: Tables) -> DataFrame:
+    return series.feature_frame(context(t))
+
+
+def volume(t: Tables) -> DataFrame:
+    return gold.daily_volume(t.order_silver())
+
+
+def calendar(t: Tables) -> DataFrame:
+    days = t.order_silver().select(F.col("opened_date").alias("day")).distinct()
+    return days.withColumns(calendar_features(F.col("day")))
+
+
+def naive_rows(t: Tables) -> DataFrame:
+    """The three naive candidates on the evaluation days, one row each."""
+    complete = series.complete_rows(features(t)).where(F.col("day") >= F.lit(FIRST).cast("date"))
+    return series.naive_forecasts(complete).unpivot(
+        ["scope", "horizon", "day", "y"], forecast.NAIVE, "candidate", "predicted"
+    )
+
+
+def generated():
+    return F.lit(GENERATED_AT).cast("timestamp")
+
+
+def stored_features(t: Tables) -> DataFrame:
+    """Features written once: a few rows per day, read by several steps."""
+    return materialise(features(t))
+
+
+def baseline_coefficients(t: Tables) -> DataFrame:
+    fitted = forecast.least_squares(
+        series.baseline_features(volume(t)), "priority_scope", S.BASELINE_FEATURES, "incident_count"
+    )
+    return fitted.select("priority_scope", F.posexplode("coefficients").alias("place", "value"))
+
+
+def full_run(t: Tables, boosted: bool = False) -> tuple[DataFrame, ...]:
+    rows = stored_features(t)
+    candidates = materialise(forecast.candidate_forecasts(rows, FIRST, boosted))
+    selection = forecast.occam_select(candidates, SELECTION_END)
+    chosen = forecast.chosen_forecasts(candidates, selection)
+    bands = materialise(forecast.conformal_bands(chosen))
+    published = forecast.publish_predictions(chosen, bands, rows, generated(), VERSION)
+    return rows, candidates, selection, bands, published
+
+
+def walk_forward(t: Tables) -> DataFrame:
+    return forecast.learned_forecasts(stored_features(t), FIRST)
+
+
+def volume_forecast(t: Tables) -> DataFrame:
+    published = materialise(full_run(t)[4])
+    forecast.require_predictions(published)
+    return published
+
+
+def forecast_parity(t: Tables) -> DataFrame:
+    return forecast.parity_check(full_run(t)[4], full_run(t)[4])
+
+
+def boosted_metrics(t: Tables) -> DataFrame:
+    candidates = full_run(t, boosted=True)[1]
+    return forecast.forecast_metrics(candidates, REPORT)
+
+
+def bands(t: Tables) -> DataFrame:
+    return full_run(t)[3]
+
+
+def daily_predictions(t: Tables) -> DataFrame:
+    """Past seven-day means as if each had been published, with bounds of a fifth."""
+    value = F.bround("roll7_mean", 2)
+    return features(t).where(F.col("roll7_mean").isNotNull()).select(
+        F.col("day").alias("reference_date"),
+        F.date_sub("day", F.col("horizon_days")).cast("timestamp").alias("generated_at"),
+        "horizon",
+        F.col("scope").alias("priority_scope"),
+        value.alias("predicted_incident_count"),
+        F.bround(value * 0.8, 2).alias("lower_bound"),
+        F.bround(value * 1.2, 2).alias("upper_bound"),
+        F.lit("media7").alias("model_name"),
+        F.lit(VERSION).alias("model_version"),
+    )
+
+
+def upserted(t: Tables) -> DataFrame:
+    """Current forecasts up to a day, replaced by those of the following week."""
+    rows = daily_predictions(t)
+    cut, day = F.lit("2001-06-30").cast("date"), F.col("reference_date")
+    current = serving.latest_predictions(rows.where(day <= cut))
+    batch = rows.where((day > cut) & (day <= F.date_add(cut, 7)) & (F.col("priority_scope") != "P5"))
+    return sinks.upsert(current, batch, sinks.UPSERT_KEY, ["reference_date", "generated_at"])
+
+
+def view_rows(t: Tables) -> DataFrame:
+    actual = context(t).select(
+        F.col("scope").alias("priority_scope"), F.col("day").alias("reference_date"), "y"
+    )
+    rows = daily_predictions(t).join(actual, ["priority_scope", "reference_date"])
+    past = rows.where(F.col("y").isNotNull()).select(
+        F.col("reference_date").alias("day"),
+        "horizon",
+        F.col("priority_scope").alias("scope"),
+        F.col("predicted_incident_count").alias("predicted"),
+        "y",
+        "lower_bound",
+        "upper_bound",
+    )
+    return forecast.predictions_view(
+        past, rows.where(F.col("y").isNull()), with_backtest=True, horizon="D+1"
+    )
+
+
+def future_view(t: Tables) -> DataFrame:
+    return view_rows(t).where(F.col("actual").isNull())
+
+
+QUERIES = {
+    "series_context": context,
+    "calendar_features": calendar,
+    "forecast_features": features,
+    "naive_forecasts": lambda t: series.naive_forecasts(features(t)),
+    "baseline_features": lambda t: series.baseline_features(volume(t)),
+    "naive_metrics": lambda t: forecast.forecast_metrics(naive_rows(t), REPORT),
+    "occam_select": lambda t: forecast.occam_select(naive_rows(t), SELECTION_END),
+    "block_skill": lambda t: forecast.block_skill(naive_rows(t), FIRST, "media7"),
+    "daily_predictions": daily_predictions,
+    "prediction_contract": lambda t: quality.prediction_contract(daily_predictions(t)),
+    "latest_predictions": lambda t: serving.latest_predictions(daily_predictions(t)),
+    "upsert_current": upserted,
+    "predictions_view": view_rows,
+    "future_predictions": future_view,
+    "backtest_mae": lambda t: forecast.backtest_mae(view_rows(t)),
+    "baseline_coefficients": baseline_coefficients,
+    "baseline_evaluation": lambda t: forecast.baseline_evaluation(volume(t)),
+    "baseline_forecast": lambda t: forecast.baseline_predictions(volume(t), generated()),
+    "walk_forward": walk_forward,
+    "conformal_bands": bands,
+    "band_coverage": lambda t: forecast.coverage(full_run(t)[3], REPORT),
+    "volume_forecast": volume_forecast,
+    "forecast_parity": forecast_parity,
+    "boosted_metrics": boosted_metrics,
+}

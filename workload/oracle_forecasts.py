@@ -1,3 +1,271 @@
-"""Checking SQL."""
+"""Checking SQL of the forecast queries."""
 
-SQL = {}
+from __future__ import annotations
+
+from faultline import schema as S
+from workload.oracle_base import EVERY, cte, day, sql, stamp
+
+SCOPES = ", ".join(f"('{s}', {'NULL' if c is None else c})" for s, c in EVERY.items())
+START = "DATE '2000-01-01'"
+
+cte("years", "SELECT unnest(range(1990, 2040))::BIGINT AS y")
+cte(
+    "easter",
+    """
+    SELECT y, make_date(y, (e + w - 7 * s + 114) // 31, (e + w - 7 * s + 114) % 31 + 1) AS easter
+    FROM (SELECT *, (g + 11 * e + 22 * w) // 451 AS s
+      FROM (SELECT *, (32 + 2 * (c % 4) + 2 * ((y % 100) // 4) - e - (y % 100) % 4) % 7 AS w
+        FROM (SELECT *, (19 * g + c - c // 4 - (c - (c + 8) // 25 + 1) // 3 + 15) % 30 AS e
+          FROM (SELECT y, y % 19 AS g, y // 100 AS c FROM years))))""",
+    "years",
+)
+cte(
+    "marks",
+    """
+    SELECT e.y, any_value(easter) - INTERVAL 2 DAY AS good_friday,
+      list_sort(list(d) FILTER (isodow(d) = 5))[4] AS black_friday
+    FROM easter e JOIN (SELECT y, unnest(generate_series(make_date(y, 11, 1), make_date(y, 11, 30),
+      INTERVAL 1 DAY)) AS d FROM years) n ON n.y = e.y GROUP BY 1""",
+    "easter",
+)
+
+
+def calendar(column: str) -> str:
+    flags = [f"CAST(isodow({column}) = {i + 1} AS BIGINT) AS dow_{i}" for i in range(7)]
+    flags += [
+        f"CAST(isodow({column}) >= 6 AS BIGINT) AS is_weekend",
+        f"""CAST(strftime({column}, '%m%d') IN ('0101', '0421', '0501', '0907', '1012', '1102',
+            '1115', '1225') OR (strftime({column}, '%m%d') = '1120' AND year({column}) >= 2024)
+            OR {column} = good_friday AS BIGINT) AS is_holiday""",
+        f"""CAST({column} BETWEEN black_friday - INTERVAL 1 DAY AND black_friday
+            + INTERVAL 4 DAY AS BIGINT) AS black_week""",
+        f"CAST(month({column}) = 12 AND day({column}) >= 15 AS BIGINT) AS dec_season",
+    ]
+    return ", ".join(flags)
+
+
+cte("recent", f"SELECT * FROM silver WHERE opened_date >= {START}", "silver")
+cte(
+    "grid",
+    f"""
+    SELECT CAST(unnest(generate_series({START}, max(opened_date) + INTERVAL 7 DAY,
+      INTERVAL 1 DAY)) AS DATE) AS day, max(opened_date) AS last_day FROM recent""",
+    "recent",
+)
+cte(
+    "items",
+    """
+    SELECT day, last_day, CAST(last_value(n IGNORE NULLS) OVER (ORDER BY day) AS DOUBLE)
+      AS active_items
+    FROM (SELECT day, last_day,
+        CASE WHEN day <= last_day THEN count(DISTINCT configuration_item) END AS n
+      FROM grid LEFT JOIN recent ON opened_date = day GROUP BY 1, 2)""",
+    "grid",
+)
+cte(
+    "context",
+    f"""
+    SELECT s.scope, i.day, i.last_day, i.active_items,
+      CASE WHEN i.day <= i.last_day THEN count(r.incident_id)::DOUBLE END AS y
+    FROM items i CROSS JOIN (VALUES {SCOPES}) s(scope, code)
+    LEFT JOIN recent r ON r.opened_date = i.day AND r.parent_incident_id IS NULL
+      AND (s.code IS NULL OR r.priority_code = s.code)
+    GROUP BY 1, 2, 3, 4""",
+    "items",
+)
+
+
+def full(how: str, column: str, size: int) -> str:
+    frame = f"OVER (e ROWS {size - 1} PRECEDING)"
+    return f"CASE WHEN count({column}) {frame} = {size} THEN {how}({column}) {frame} END"
+
+
+cte(
+    "lagged",
+    """
+    SELECT *, CASE horizon_days WHEN 1 THEN lag(y, 1) OVER w ELSE lag(y, 7) OVER w END AS last,
+      CASE horizon_days WHEN 1 THEN lag(active_items, 1) OVER w ELSE lag(active_items, 7) OVER w END
+        AS exp_last,
+      lag(y, 7) OVER w AS seas_lag7, lag(y, 14) OVER w AS seas_lag14,
+      (row_number() OVER w - 1)::DOUBLE AS trend
+    FROM context CROSS JOIN (VALUES ('D+1', 1::BIGINT), ('D+7', 7)) h(horizon, horizon_days)
+    WINDOW w AS (PARTITION BY scope, horizon ORDER BY day)""",
+    "context",
+)
+cte(
+    "rolled",
+    f"""
+    SELECT *, {full("avg", "last", 7)} AS roll7_mean, {full("stddev_samp", "last", 7)} AS roll7_std,
+      {full("avg", "last", 28)} AS roll28_mean, {full("avg", "exp_last", 7)} AS exp_roll7
+    FROM lagged WINDOW e AS (PARTITION BY scope, horizon ORDER BY day)""",
+    "lagged",
+)
+cte(
+    "frame",
+    f"""
+    SELECT r.*, last / nullif(exp_last, 0) AS r_last, roll7_mean / nullif(exp_roll7, 0) AS r_roll7,
+      seas_lag7 / nullif(exp_roll7, 0) AS r_seas7, {calendar("day")}
+    FROM rolled r JOIN marks m ON m.y = year(r.day)""",
+    "rolled",
+    "marks",
+)
+NAMES = list(dict.fromkeys([*S.LEVEL_FEATURES, *S.RATE_FEATURES]))
+SHOWN = ", ".join(n if n in S.CALENDAR_FEATURES else f"round({n}, 6) AS {n}" for n in NAMES)
+COMPLETE = " AND ".join(
+    f"{n} IS NOT NULL" for n in NAMES if n not in S.CALENDAR_FEATURES
+)
+cte(
+    "candidates",
+    f"""
+    SELECT scope, horizon, day, y, c.candidate, greatest(c.predicted, 0) AS predicted
+    FROM (SELECT scope, horizon, day, y, unnest([
+        {{'candidate': 'naive7', 'predicted': seas_lag7}},
+        {{'candidate': 'media7', 'predicted': roll7_mean}},
+        {{'candidate': 'ultimo', 'predicted': last}}]) AS c
+      FROM (SELECT day, scope, horizon, y, seas_lag7, seas_lag14, last, roll7_mean, roll7_std,
+          roll28_mean, exp_last, exp_roll7, trend, r_last, r_roll7, r_seas7 FROM frame)
+      WHERE day >= DATE '2001-04-01' AND {COMPLETE})""",
+    "frame",
+)
+cte(
+    "errors",
+    """
+    SELECT scope, horizon, candidate, count(*) AS days, avg(abs(y - predicted)) AS mae,
+      sqrt(avg((y - predicted) ** 2)) AS rmse,
+      100 * avg(2 * abs(y - predicted) / (abs(y) + abs(predicted) + 1e-9::DOUBLE)) AS smape
+    FROM candidates WHERE y IS NOT NULL AND day >= DATE '2001-06-01' GROUP BY 1, 2, 3""",
+    "candidates",
+)
+cte(
+    "published",
+    """
+    SELECT day AS reference_date, CAST(day AS TIMESTAMP) - horizon_days * INTERVAL 1 DAY
+        AS generated_at, horizon, scope AS priority_scope, p AS predicted_incident_count,
+      round_even(p * 0.8::DOUBLE, 2) AS lower_bound, round_even(p * 1.2::DOUBLE, 2) AS upper_bound,
+      'media7' AS model_name, 'volume-check' AS model_version
+    FROM (SELECT *, round_even(roll7_mean, 2) AS p FROM rolled WHERE roll7_mean IS NOT NULL)""",
+    "rolled",
+)
+PUBLISHED = f"""* REPLACE ({day("reference_date")} AS reference_date,
+  {stamp("generated_at")} AS generated_at)"""
+NEWEST = """SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (
+    PARTITION BY priority_scope, horizon ORDER BY reference_date DESC) AS place FROM {}) WHERE place = 1"""
+cte(
+    "viewed",
+    """
+    SELECT p.reference_date, horizon, priority_scope AS scope,
+      predicted_incident_count AS predicted, c.y AS actual, lower_bound, upper_bound
+    FROM published p JOIN context c ON c.scope = priority_scope AND c.day = p.reference_date
+    WHERE horizon = 'D+1'""",
+    "published",
+    "context",
+)
+VIEWED = f"* REPLACE ({day('reference_date')} AS reference_date)"
+ANGLE = "2 * 3.141592653589793::DOUBLE * (isodow(reference_date) - 1) / 7"
+CONTRACT_RULES = " UNION ALL ".join(
+    f"SELECT '{name}' AS check_name, count(*) FILTER ({rule}) AS violations FROM published"
+    for name, rule in {
+        "invalid_reference_date": "reference_date IS NULL",
+        "invalid_generated_at": "generated_at IS NULL",
+        "horizon_domain": "horizon NOT IN ('D+1', 'D+7')",
+        "priority_scope_domain": "priority_scope NOT IN ('ALL', 'P1', 'P2', 'P3', 'P4', 'P5')",
+        "negative_predicted_incident_count": "predicted_incident_count < 0",
+        "negative_lower_bound": "lower_bound < 0",
+        "negative_upper_bound": "upper_bound < 0",
+        "interval_order": """lower_bound > predicted_incident_count
+          OR upper_bound < predicted_incident_count OR lower_bound > upper_bound""",
+        "empty_model_name": "model_name = ''",
+        "empty_model_version": "model_version = ''",
+    }.items()
+)
+
+SQL = {
+    "series_context": sql(
+        f"SELECT * REPLACE ({day('day')} AS day, {day('last_day')} AS last_day) FROM context",
+        "context",
+    ),
+    "calendar_features": sql(
+        f"""SELECT {day("d")} AS day, {calendar("d")}
+            FROM (SELECT DISTINCT opened_date AS d FROM silver) JOIN marks m ON m.y = year(d)""",
+        "silver",
+        "marks",
+    ),
+    "forecast_features": sql(
+        f"""SELECT scope, horizon, horizon_days, {day("day")} AS day, {day("last_day")} AS last_day,
+            y, {SHOWN} FROM frame""",
+        "frame",
+    ),
+    "naive_forecasts": sql(
+        f"""SELECT scope, horizon, {day("day")} AS day, y, seas_lag7 AS naive7,
+            round(roll7_mean, 6) AS media7, last AS ultimo FROM rolled""",
+        "rolled",
+    ),
+    "baseline_features": sql(
+        f"""SELECT priority_scope, {day("reference_date")} AS reference_date,
+              incident_count::DOUBLE AS incident_count, trend, lag_1, lag_7,
+              round(rolling_7, 6) AS rolling_7, round(rolling_28, 6) AS rolling_28,
+              round(sin({ANGLE}), 6) AS dow_sin, round(cos({ANGLE}), 6) AS dow_cos
+            FROM (SELECT *, (row_number() OVER w - 1)::DOUBLE AS trend,
+                lag(incident_count::DOUBLE, 1) OVER w AS lag_1,
+                lag(incident_count::DOUBLE, 7) OVER w AS lag_7,
+                avg(incident_count) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS rolling_7,
+                avg(incident_count) OVER (w ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS rolling_28
+              FROM volume WINDOW w AS (PARTITION BY priority_scope ORDER BY reference_date))
+            WHERE trend >= 28""",
+        "volume",
+    ),
+    "naive_metrics": sql(
+        """SELECT scope, horizon, candidate, days, round(mae, 6) AS mae, round(rmse, 6) AS rmse,
+             round(smape, 6) AS smape,
+             round(CASE WHEN best > 1e-9 THEN 1 - mae / best END, 6) AS skill_vs_best_naive,
+             round(CASE WHEN weekly > 1e-9 THEN 1 - mae / weekly END, 6) AS skill_vs_naive7
+           FROM (SELECT *, min(mae) OVER s AS best,
+               min(mae) FILTER (candidate = 'naive7') OVER s AS weekly
+             FROM errors WINDOW s AS (PARTITION BY scope, horizon))""",
+        "errors",
+    ),
+    "occam_select": sql(
+        """SELECT scope, horizon, candidate, round(mae, 6) AS selection_mae FROM (
+             SELECT *, row_number() OVER (PARTITION BY scope, horizon ORDER BY place) AS first FROM (
+               SELECT *, mae <= min(mae) OVER (PARTITION BY scope, horizon) * 1.05::DOUBLE AS close,
+                 list_position(['naive7', 'media7', 'ultimo'], candidate) AS place
+               FROM (SELECT scope, horizon, candidate, avg(abs(y - predicted)) AS mae
+                 FROM candidates WHERE y IS NOT NULL AND day <= DATE '2001-05-31' GROUP BY 1, 2, 3))
+             WHERE close) WHERE first = 1""",
+        "candidates",
+    ),
+    "block_skill": sql(
+        """SELECT scope, horizon, block, round(mae, 6) AS mae, round(naive, 6) AS naive7_mae,
+             round(1 - mae / nullif(naive, 0), 6) AS skill
+           FROM (SELECT scope, horizon, block,
+               avg(abs(y - predicted)) FILTER (candidate = 'media7') AS mae,
+               avg(abs(y - predicted)) FILTER (candidate = 'naive7') AS naive
+             FROM (SELECT *, (row_number() OVER (s ORDER BY day) - 1) * 6 // count(*) OVER s + 1
+                 AS block
+               FROM candidates WHERE y IS NOT NULL
+               WINDOW s AS (PARTITION BY scope, horizon, candidate)) GROUP BY 1, 2, 3)""",
+        "candidates",
+    ),
+    "daily_predictions": sql(f"SELECT {PUBLISHED} FROM published", "published"),
+    "prediction_contract": sql(
+        f"""{CONTRACT_RULES} UNION ALL SELECT 'duplicate_keys', count(*) - count(DISTINCT
+            {{'a': reference_date, 'b': horizon, 'c': priority_scope}}) FROM published""",
+        "published",
+    ),
+    "latest_predictions": sql(
+        f"SELECT {PUBLISHED} FROM ({NEWEST.format('published')})", "published"
+    ),
+    "upsert_current": sql(
+        f"""SELECT {PUBLISHED} FROM ({NEWEST.format('''(SELECT * FROM published
+              WHERE reference_date <= CASE WHEN priority_scope = 'P5' THEN DATE '2001-06-30'
+                ELSE DATE '2001-07-07' END)''')})""",
+        "published",
+    ),
+    "predictions_view": sql(f"SELECT {VIEWED} FROM viewed", "viewed"),
+    "future_predictions": sql(f"SELECT {VIEWED} FROM viewed WHERE actual IS NULL", "viewed"),
+    "backtest_mae": sql(
+        """SELECT count(*) AS days, round(avg(abs(predicted - actual)), 6) AS mae
+           FROM viewed WHERE actual IS NOT NULL""",
+        "viewed",
+    ),
+}
