@@ -47,7 +47,8 @@ def training(t: Tables) -> DataFrame:
     marked = history.temporal_split(
         features(t), PROTOCOL.train_end, PROTOCOL.test_start, PROTOCOL.unit
     )
-    return marked.where(F.col("dataset_split") == "pretest_train")
+    # Written once: several passes read the training rows.
+    return materialise(marked.where(F.col("dataset_split") == "pretest_train"))
 
 
 def indexed(t: Tables) -> DataFrame:
