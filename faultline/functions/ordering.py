@@ -44,6 +44,35 @@ def score_levels(score: Column, name: str = "score") -> dict[str, Column]:
     }
 
 
+def present(frame: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows with a value in every named column, in the form joins would infer."""
+    for name in names:
+        frame = frame.where(F.col(name).isNotNull())
+    return frame
+
+
+def count_points(
+    frame: DataFrame,
+    levels: dict[str, Column],
+    values: dict[str, Column],
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """One row per key and place in the order, with the sums of ``values``.
+
+    Equal places are added up before anything is shuffled. Rows without a key
+    or a place are left out here, once: otherwise each later join would push
+    its own null filter down and the scan could not be shared.
+    """
+    names = [*keys, *levels]
+    placed = frame.select(
+        *keys,
+        *[column.alias(name) for name, column in levels.items()],
+        *[column.cast("long").alias(name) for name, column in values.items()],
+    )
+    placed = present(placed, names)
+    return placed.groupBy(*names).agg(*[F.sum(name).alias(name) for name in values])
+
+
 def running_before(
     points: DataFrame,
     levels: Sequence[str],
@@ -53,7 +82,9 @@ def running_before(
 ) -> DataFrame:
     """Add ``before_<value>``: the sum over all points strictly earlier in the order.
 
-    ``points`` holds one row per key and level combination, without nulls there.
+    ``points`` holds one row per key and level combination, without nulls
+    there, as ``count_points`` makes them. One shuffle per level serves both
+    the running total inside a parent and the totals of the parents.
     """
     keys, levels = list(keys), list(levels)
     parents, last = keys + levels[:-1], F.col(levels[-1])
@@ -62,6 +93,8 @@ def running_before(
         .orderBy(last.desc() if descending else last.asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    if parents:
+        points = points.repartition(*parents)
     local = points.withColumns(
         {f"before_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}
     )
@@ -92,12 +125,7 @@ def exact_quantiles(
     ``levels`` must end with the value itself.
     """
     keys = list(keys)
-    counted = (
-        frame.where(F.col(value).isNotNull())
-        .select(*keys, *[column.alias(name) for name, column in levels.items()])
-        .groupBy(*keys, *levels)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = count_points(frame.where(F.col(value).isNotNull()), levels, {"n": F.lit(1)}, keys)
     ranked = running_before(counted, list(levels), ["n"], keys)
     if keys:
         sizes = ranked.groupBy(*keys).agg(F.sum("n").alias("size"))

@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import schema as S
-from faultline.functions.ordering import MICROS_PER_DAY, micros, running_before, time_levels
+from faultline.functions.ordering import (
+    MICROS_PER_DAY,
+    count_points,
+    micros,
+    running_before,
+    time_levels,
+)
 from faultline.operators.quality import require_clean, risk_input_checks
 
 # What is counted before each opening: key column -> look-back days.
@@ -72,11 +78,9 @@ def running_history(instants: DataFrame) -> DataFrame:
             entries.append(entry | {"opened": opened, "known": "0L", "breached": "0L"})
     closing = {"kind": f"'{OUTCOME_KEY}'", "key": _key_text(OUTCOME_KEY), "at": "outcome_us"}
     entries.append(closing | {"opened": "0L", "known": "1L", "breached": "target"})
-    points = instants.select(_structs(entries)).where("at IS NOT NULL")
+    points = instants.select(_structs(entries))
     levels = time_levels(F.col("at"))
-    counted = points.groupBy("kind", "key", *[c.alias(n) for n, c in levels.items()]).agg(
-        *[F.sum(name).alias(name) for name in _VALUES]
-    )
+    counted = count_points(points, levels, {v: F.col(v) for v in _VALUES}, ["kind", "key"])
     return running_before(counted, list(levels), _VALUES, ["kind", "key"]).select(
         "kind", "key", "at", *[f"before_{name}" for name in _VALUES]
     )

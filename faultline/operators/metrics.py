@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.ordering import (
+    count_points,
     exact_quantiles,
     micros,
+    present,
     quantile_columns,
     running_before,
     score_levels,
@@ -25,9 +27,7 @@ MICROS_PER_HOUR = 3_600_000_000
 def score_histogram(frame: DataFrame, score: str, label: str) -> DataFrame:
     """Rows and positives per distinct score, and those strictly above it."""
     levels = score_levels(F.col(score))
-    counted = frame.groupBy(*[c.alias(n) for n, c in levels.items()]).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
-    )
+    counted = count_points(frame, levels, {"n": F.lit(1), "pos": F.col(label)})
     return running_before(counted, list(levels), ["n", "pos"], descending=True)
 
 
@@ -100,7 +100,7 @@ def global_rank(frame: DataFrame, score: str, opened: str, key: str) -> DataFram
         "tie_hour": F.floor(micros(F.col(opened)) / MICROS_PER_HOUR),
         "tie": F.struct(micros(F.col(opened)).alias("at"), F.col(key).alias("id")),
     }
-    points = frame.withColumns(levels).withColumn("n", F.lit(1))
+    points = present(frame.withColumns(levels).withColumn("n", F.lit(1)), list(levels))
     return (
         running_before(points, list(levels), ["n"])
         .withColumnRenamed("before_n", "position")
@@ -214,21 +214,20 @@ def threshold_table(frame: DataFrame, score: str, label: str) -> DataFrame:
     quantiles = exact_quantiles(frame, score, shares, score_levels(F.col(score)))
     fixed = frame.sparkSession.createDataFrame([(t,) for t in FIXED_THRESHOLDS], "score double")
     candidates = quantiles.select(F.col("value").alias("score")).unionAll(fixed)
-    weights = [F.col(label).cast("long").alias("pos"), F.lit(1).alias("n")]
-    rows = frame.select(F.col(score).alias("score"), *weights, F.lit(0).alias("candidate"))
-    marks = candidates.select(
-        "score", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("n"), F.lit(1).alias("candidate")
+    rows = frame.select(
+        F.col(score).alias("score"),
+        F.col(label).cast("long").alias("pos"),
+        F.lit(1).alias("n"),
+        F.lit(0).alias("candidate"),
     )
+    marks = candidates.select("score", F.lit(0).cast("long"), F.lit(0), F.lit(1))
     levels = score_levels(F.col("score"))
-    counted = (
-        rows.unionAll(marks)
-        .groupBy(*[c.alias(n) for n, c in levels.items()])
-        .agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.max("candidate").alias("candidate"))
-    )
+    sums = {name: F.col(name) for name in ("n", "pos", "candidate")}
+    counted = count_points(rows.unionAll(marks), levels, sums)
     placed = running_before(counted, list(levels), ["n", "pos"], descending=True)
     positives = frame.agg(F.sum(F.col(label).cast("long"))).scalar()
     hits = F.col("before_pos") + F.col("pos")
-    measured = placed.where(F.col("candidate") == 1).select(
+    measured = placed.where(F.col("candidate") > 0).select(
         F.col("score").alias("threshold"),
         _ratio(hits, F.col("before_n") + F.col("n")).alias("precision"),
         _ratio(hits, positives).alias("recall"),

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import schema as S
-from faultline.functions.ordering import quantile_columns, running_before, score_levels
+from faultline.functions.ordering import (
+    count_points,
+    quantile_columns,
+    running_before,
+    score_levels,
+)
 from faultline.functions.text import lookup
 
 WEIGHTS = {"predictive_risk_index": 0.80, "priority_impact": 0.15, "operational_pressure": 0.05}
@@ -64,7 +69,7 @@ def predictive_index(
         .select(*[c.alias(n) for n, c in levels.items()], F.lit(1).alias("n"))
         .unionAll(scores.select(*[c.alias(n) for n, c in levels.items()], F.lit(0).alias("n")))
     )
-    counted = sides.groupBy(*levels).agg(F.sum("n").alias("n"))
+    counted = count_points(sides, {name: F.col(name) for name in levels}, {"n": F.col("n")})
     size = reference.where(finite).agg(F.count(F.lit(1))).scalar()
     placed = running_before(counted, list(levels), ["n"]).select(
         "p",
