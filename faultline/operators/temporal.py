@@ -129,10 +129,10 @@ def series_anatomy(volume: DataFrame) -> DataFrame:
     weekend = F.weekday("reference_date") >= 5
 
     def correlation(name: str) -> Column:
-        # Constant series have no correlation, as in pandas.
-        both = F.col(name).isNotNull()
-        spread = F.min(F.when(both, F.col("y"))) != F.max(F.when(both, F.col("y")))
-        return F.when(spread, F.corr("y", name))
+        # Not corr(): a constant series has no correlation, and must not fail.
+        paired = F.when(F.col(name).isNotNull(), F.col("y"))
+        spread = F.stddev_pop(paired) * F.stddev_pop(name)
+        return F.try_divide(F.covar_pop(paired, name), spread)
 
     return lagged.groupBy("priority_scope").agg(
         F.avg("y").alias("mean"),
