@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.quality import ContractError
@@ -39,8 +40,6 @@ def file_manifest(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
 
 def missing_sources(spark: SparkSession, sources: dict[str, str]) -> list[str]:
     """Names of the sources whose folder does not exist."""
-    from pyspark.errors import AnalysisException
-
     absent = []
     for name, root in sources.items():
         try:
@@ -118,8 +117,7 @@ def select_mode(
 
 def mode_history(history: DataFrame, full_interval_days: int = 7) -> DataFrame:
     """The mode an automatic run would take at the time of each entry."""
-    from pyspark.sql import Window
-
+    # One row per snapshot ever taken, so one window over all is small.
     earlier = Window.orderBy("created_at").rowsBetween(Window.unboundedPreceding, -1)
     full_at = F.when(F.col("mode") == "full", F.col("created_at"))
     last_full = F.max(full_at).over(earlier)

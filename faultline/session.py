@@ -39,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("Set spark.checkpoint.dir to a folder shared by the cluster.")
         folder = tempfile.mkdtemp(prefix="faultline-")
     if not context.getCheckpointDir():
+        # Also for streams and MLlib, and so that one session keeps one folder.
         context.setCheckpointDir(folder)
     return folder
 
@@ -49,10 +50,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the reliable checkpoint folder and read it back.
+    """Write ``frame`` as a table in the shared folder and read it back.
 
-    Used where later steps must see exactly the same rows and row positions
-    again, also after an executor is lost.
+    Later steps see exactly the same rows again, also after an executor is
+    lost, and the planner knows the true size of the table: a join broadcasts
+    it only when that size is below Spark's limit.
     """
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    path = scratch_path(frame.sparkSession, "table")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
