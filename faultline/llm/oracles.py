@@ -2,4 +2,150 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from faultline.llm.linecleaning import MARK_RUN, MARKS, SPACES, SYMBOLS, LineRules
+from faultline.llm.secrets import ACCESS, ASSIGN, HEX, EntropyRule
+
+SHARDS, BUCKETS = 8, 8192
+
+
+def _text(value: str) -> str:
+    """An SQL string."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _draw(key: str, shard: str) -> str:
+    return f"((('0x' || md5({key} || '/' || {shard})[1:13])::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+OP1 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+# The remainder of one byte follows from eight halvings; a text's from its bytes in order.
+OP2 = f"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)),
+    lambda c, i: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY n) AS t
+  FROM range(256) r(n)),
+d AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, strlen(coalesce(text, '')) + 1 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32
+  FROM documents, crc),
+s AS (
+  SELECT doc_id, size, text_crc32, k,
+    list_sort(list_transform(range({SHARDS}), lambda i: {{'c': -ln({_draw("k", "i")}), 's': i}}))[1].s AS shard,
+    list_sort(list_transform(range({SHARDS + 1}), lambda i: {{'c': -ln({_draw("k", "i")}), 's': i}}))[1].s
+      AS grown_shard
+  FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY
+    ('0x' || md5(k || '/' || size || '/' || text_crc32)[1:8])::BIGINT % {BUCKETS},
+    doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+FROM s
+"""
+
+
+def _line_cleaning(rules: LineRules) -> str:
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    marks = f"{spaces} || {_text(MARKS)}"
+
+    def without(value: str, dropped: str) -> str:
+        return f"length(translate({value}, {dropped}, ''))"
+
+    assert len(SPACES) == 6
+    split = r"'[\x20\x09-\x0D]+'"
+    fails = f"""(filled > 0 AND (
+      (filled <= 400 AND regexp_matches(line, {_text(rules.navigation)}))
+      OR regexp_matches(line, {_text(rules.boilerplate)})
+      OR {without("line", marks)} < {rules.letters} * filled
+      OR (runs > 0 AND runs >= {rules.mark_runs} * words)
+      OR (filled <= {30 * rules.short} AND words <= {rules.short}
+          AND NOT regexp_matches(line, {_text(rules.sentence_end)}))))"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, list_filter(string_split_regex(t, {split}), lambda x: x <> '') AS ws FROM d),
+g AS (
+  SELECT id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT id, count(DISTINCT w) AS n FROM (SELECT id, unnest(range(i, i + 3)) AS w FROM r) GROUP BY id),
+l AS (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d),
+m AS (
+  SELECT id, line, {without("line", spaces)} AS filled,
+    len(list_filter(string_split_regex(line, {split}), lambda x: x <> '')) AS words,
+    len(regexp_extract_all(line, {_text(MARK_RUN)})) AS runs FROM l),
+j AS (
+  SELECT id, coalesce(sum({without("line", marks)}) FILTER (NOT {fails}), 0) AS left_over,
+    sum({without("line", marks)}) AS solid,
+    count(*) FILTER (filled > 0) - count(DISTINCT line) FILTER (filled > 0) AS n_dup_lines
+  FROM m GROUP BY id),
+b AS (
+  SELECT doc_id, len(ws) AS n_words, {without("t", spaces)} AS word_chars,
+    length(t) - {without("t", _text(SYMBOLS))} AS n_symbols, n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words,
+    len(ws) < 50 OR 100 * coalesce(n, 0) > 50 * len(ws) AS base_failed,
+    left_over >= {rules.kept} * solid AS enough
+  FROM d JOIN w USING (id) JOIN j USING (id) LEFT JOIN c USING (id))
+SELECT * EXCLUDE (enough), NOT base_failed AND enough AS kept FROM b
+"""
+
+
+def _secrets(rule: EntropyRule) -> str:
+    def located(pattern: str) -> str:
+        """Starts and strings of all matches in t."""
+        return f"""list_transform(regexp_extract_all(t, {_text(pattern)}), lambda m, i: {{
+          's': list_sum(list_transform(string_split_regex(t, {_text(pattern)})[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(regexp_extract_all(t, {_text(pattern)})[1:i - 1], lambda x: length(x))), 0),
+          'm': m, 'v': regexp_extract(m, {_text(pattern)}, 1)}})"""
+
+    def spans(pattern: str, kind: str, rank: int, keep: str) -> str:
+        return f"""list_transform(list_filter({located(pattern)}, lambda x: {keep}), lambda x: {{
+          's': x.s::BIGINT, 'r': {rank}, 'k': '{kind}', 'e': (x.s + length(x.m))::BIGINT}})"""
+
+    limit = " ".join(f"WHEN regexp_matches(m, {_text(p)}) THEN {t}" for p, t in rule.classes)
+    allowed = " OR ".join(f"regexp_matches(m, {_text(p)})" for p in rule.allowed)
+    joined = "array_to_string(list_transform({}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    # Group 1 of the pattern is the value.
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+b AS (
+  SELECT id, doc_id, list_sort(
+    {spans(ASSIGN, "assign", 0, "length(x.v) >= 12")}
+    || {spans("(" + ACCESS + ")", "access", 1, "true")} || {spans("(" + HEX + ")", "hex", 2, "true")}) AS base
+  FROM d),
+c AS (
+  SELECT id, x.s AS s, x.m AS m
+  FROM (SELECT id, unnest({located("(" + rule.pattern + ")")}) AS x FROM d)),
+h AS (
+  SELECT id, s, min(i) AS first, max(i) AS last
+  FROM (
+    SELECT id, s, i, list_entropy(string_split(m[i + 1:i + {rule.window}], '')) AS h,
+      CASE {limit} END AS most
+    FROM (SELECT *, unnest(range(length(m) - {rule.window} + 1)) AS i FROM c WHERE NOT ({allowed})))
+  WHERE h > most GROUP BY ALL),
+e AS (
+  SELECT id, list({{'s': (s + first)::BIGINT, 'r': 3, 'k': 'entropy', 'e': (s + last + {rule.window})::BIGINT}}) AS more
+  FROM h GROUP BY id)
+SELECT doc_id, len(list_filter(base, lambda x: x.r = 0)) AS n_assign,
+  len(list_filter(base, lambda x: x.r = 1)) AS n_access, len(list_filter(base, lambda x: x.r = 2)) AS n_hex,
+  sha256({joined.format("base")}) AS base_sha256,
+  {joined.format("list_sort(base || coalesce(more, []))")} AS spans
+FROM b LEFT JOIN e USING (id)
+"""
+
+
+SQL: dict[str, str] = {
+    "op1_warc": OP1,
+    "op2_sharding": OP2,
+    "op7_line_cleaning": _line_cleaning(LineRules()),
+    "op9_secrets": _secrets(EntropyRule()),
+}

@@ -6,12 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontamination, packing, secrets, simhash, toxicity
+from faultline.llm import (
+    decontamination,
+    language,
+    linecleaning,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    tokenfiles,
+    toxicity,
+    warc,
+)
 from faultline.llm.common import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.toxicity(documents, documents, labels)
@@ -38,6 +58,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = linecleaning.clean_lines(table(spark, sf_dir, "documents"))
+    return judged.select(F.col("row.doc_id").alias("doc_id"), "*").drop("row", "cleaned")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, path = table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)
+    # File names are made up anew by each run.
+    return tokenfiles.write_and_read(spark, documents, path).drop("file")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -54,10 +85,24 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language.identify(documents, documents)
+    doc_id = F.col("row.doc_id")
+    return found.select(
+        doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
+    "op7_line_cleaning": op7_line_cleaning,
+    "op8_token_files": op8_token_files,
     "op9_secrets": op9_secrets,
+    "op10_language": op10_language,
 }

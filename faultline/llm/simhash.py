@@ -69,7 +69,7 @@ def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
     """Further 64 bits of the same shingles: the hash mixed with the lane's number."""
     if lane == 0:
         return hashes
-    mixed = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(lane)
+    mixed = hashes + np.uint64(0x9E3779B97F4A7C15 * lane % (1 << 64))
     mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return mixed ^ (mixed >> np.uint64(31))
