@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import held_out, map_batches, small_batches
+from faultline.session import materialise
 
 UNKNOWN = "und"
 ALL_BYTES_BITS = 8.0
@@ -62,8 +63,8 @@ def count_entries(documents: DataFrame, spec: Ppm) -> DataFrame:
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    # A handful of rows: one for each language.
-    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
+    # Stored, so that Spark knows its size: one row for each language, broadcast if few.
+    totals = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total")))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = rows.join(totals, "lang").where(place * F.col("total") < spec.sample)
 
