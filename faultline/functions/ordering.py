@@ -111,6 +111,12 @@ def running_before(
     )
 
 
+def value_levels(value: Column) -> dict[str, Column]:
+    """Levels of any numbers: blocks of 1,024, then parts of 1/4,096, then the value.
+    A block of counts has at most 1,024 parts, and all rates within [0, 1] have 4,097."""
+    return {"block": F.floor(value / 1024), "part": F.floor(value * 4096), "v": value}
+
+
 def exact_quantiles(
     frame: DataFrame,
     value: str,
@@ -145,9 +151,14 @@ def exact_quantiles(
     low, high = F.floor(F.col("place")), F.ceil(F.col("place"))
     is_low, is_high = (first <= low) & (low < end), (first <= high) & (high < end)
     last = F.col(list(levels)[-1]).cast("double")
+    # Only the quantiles that a value takes part in are unfolded.
+    taken = F.filter(
+        wanted,
+        lambda w: ((first <= F.floor(w["place"])) & (F.floor(w["place"]) < end))
+        | ((first <= F.ceil(w["place"])) & (F.ceil(w["place"]) < end)),
+    )
     found = (
-        ranked.select(*keys, last.alias("v"), "before_n", "n", F.inline(wanted))
-        .where(is_low | is_high)
+        ranked.select(*keys, last.alias("v"), "before_n", "n", F.inline(taken))
         .groupBy(*keys, "quantile")
         .agg(
             F.max(F.when(is_low, F.col("v"))).alias("below"),

@@ -110,6 +110,33 @@ def cascade_sizes(silver: DataFrame) -> DataFrame:
 RANKING_METRICS = ["incident_count", "kpi_breach_count", "breach_rate_pct"]
 
 
+# Presets of the serving layer, as days back from the newest day.
+PERIOD_DAYS = {"7d": 7, "14d": 14, "30d": 30}
+
+
+def in_period(
+    frame: DataFrame,
+    preset: str = "14d",
+    column: str = "reference_date",
+    regime_start: str | None = None,
+    first: str | None = None,
+    last: str | None = None,
+) -> DataFrame:
+    """Rows of a period, clamped to the days of the table.
+
+    preset: ``7d``, ``14d`` or ``30d`` back from the newest day, ``regime`` (from
+    ``regime_start`` on) or ``custom`` (``first`` to ``last``; what is left open is
+    the table's own end).
+    """
+    day = F.col(column)
+    if preset in PERIOD_DAYS:
+        newest = frame.agg(F.max(column)).scalar()
+        return frame.where(day >= F.date_sub(newest, PERIOD_DAYS[preset] - 1))
+    begin, end = {"regime": (regime_start, None), "custom": (first, last)}[preset]
+    kept = frame if begin is None else frame.where(day >= F.lit(begin).cast("date"))
+    return kept if end is None else kept.where(day <= F.lit(end).cast("date"))
+
+
 def breakdown_ranking(
     breakdown: DataFrame,
     start,

@@ -191,6 +191,18 @@ def monthly_breach_rate(frame: DataFrame) -> DataFrame:
     )
 
 
+def latest_features(silver: DataFrame) -> DataFrame:
+    """Features of the newest cohort, from no more history than they look back on.
+
+    Openings and closings of the longest look-back before the cohort's day are enough.
+    """
+    last = eligible_rows(silver).agg(F.max(F.to_date("opened_at"))).first()[0]
+    longest = max(OUTCOME_DAYS, *(days for spans in PRIOR_COUNTS.values() for days in spans))
+    start = F.date_sub(F.lit(last).cast("date"), longest).cast("timestamp")
+    recent = silver.where((F.col("opened_at") >= start) | (F.col("closed_at") >= start))
+    return latest_cohort(risk_features(recent, require_targets=False, check=False))
+
+
 def latest_cohort(features: DataFrame) -> DataFrame:
     """Eligible rows opened on the last day that has any."""
     eligible = eligible_rows(features)

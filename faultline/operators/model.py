@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import schema as S
-from faultline.functions.ordering import quantile_columns
+from faultline.functions.ordering import quantile_columns, value_levels
 from faultline.operators import explain, history, metrics, scoring
 from faultline.operators.quality import (
     ContractError,
@@ -82,23 +82,16 @@ def numeric_table(training: DataFrame) -> DataFrame:
         ]
     )
     long = training.select(F.inline(pairs))
-    levels = {"block": F.floor(F.col("value") / 1024), "v": F.col("value")}
+    levels = value_levels(F.col("value"))
     medians = quantile_columns(long, "value", {"median": 0.5}, levels, ["feature"])
-    sums = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("value").alias("known"),
-        F.sum("value").alias("total"),
-        F.sum(F.col("value") * F.col("value")).alias("squares"),
+    # A row per feature; the deviation merges partial moments, so large values lose no digits.
+    filled = long.join(F.broadcast(medians), "feature", "left").withColumn(
+        "filled", F.coalesce("value", "median", F.lit(0.0))
     )
-    filled = F.col("rows") - F.col("known")
-    median = F.coalesce("median", F.lit(0.0))
-    mean = (F.coalesce("total", F.lit(0.0)) + filled * median) / F.col("rows")
-    square = (F.coalesce("squares", F.lit(0.0)) + filled * median * median) / F.col("rows")
-    return sums.join(medians, "feature", "left").select(
-        "feature",
-        median.alias("median"),
-        mean.alias("mean"),
-        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("deviation"),
+    return filled.groupBy("feature").agg(
+        F.coalesce(F.max("median"), F.lit(0.0)).alias("median"),
+        F.avg("filled").alias("mean"),
+        F.stddev_pop("filled").alias("deviation"),
     )
 
 
@@ -157,6 +150,33 @@ class Encoder:
         return assembled.drop(*[c for c in assembled.columns if c[:2] in ("x_", "i_", "o_")])
 
 
+    def terms(self, weights: Sequence[float]) -> dict[str, Callable[[Column], Column]]:
+        """For each feature, what a value adds to a linear model with these weights."""
+
+        def number(weight: float, median: float, mean: float, deviation: float):
+            scale = weight / (deviation if deviation > 0 else 1.0)
+            return lambda c: (F.coalesce(c.cast("double"), F.lit(median)) - F.lit(mean)) * F.lit(scale)
+
+        def category(added: dict[str, float], other: float):
+            known = F.create_map(*[F.lit(x) for pair in added.items() for x in pair])
+            return lambda c: F.coalesce(
+                F.try_element_at(known, F.coalesce(c.cast("string"), F.lit(S.MISSING))), F.lit(other)
+            )
+
+        made, at = {}, 0
+        for name in S.NUMERIC_FEATURES:
+            made[name] = number(float(weights[at]), *self.numbers[name])
+            at += 1
+        for name in S.CATEGORICAL_FEATURES:
+            values = self.categories[name]
+            added = {v: float(weights[at + i]) for i, v in enumerate(values)}
+            at += len(values)
+            other = float(weights[at]) if name in self.pooled else 0.0
+            at += name in self.pooled
+            made[name] = category(added, other)
+        return made
+
+
 def with_label(frame: DataFrame) -> DataFrame:
     return frame.withColumn("label", F.col(S.TARGET).cast("double"))
 
@@ -285,6 +305,13 @@ class RiskModel:
         calibrated = self.calibrator.apply(F.col("raw_probability"))
         return raw.withColumn(name, calibrated).drop("raw_probability")
 
+    def explained(self, frame: DataFrame) -> DataFrame:
+        """``frame`` with ``top_risk_factors``, worked out in the row."""
+        terms = self.encoder.terms(self.model.coefficients.toArray().tolist())
+        return explain.linear_factors(
+            frame, self.typical, terms, self.model.intercept, self.calibrator.apply
+        )
+
 
 @dataclass(frozen=True)
 class Protocol:
@@ -330,14 +357,12 @@ def score(
     model: RiskModel, features: DataFrame, scored_at: Column | None = None, check: bool = True
 ) -> DataFrame:
     """Score, level, factors and advice for each row of ``features``."""
-    probability = model.probability(features)
+    probability = model.probability(model.explained(features))
     placed = scoring.predictive_index(probability, model.reference)
     points = scoring.operational_scores(placed, model.pressure_p95)
-    factors = explain.top_factors(features, model.typical, model.probability)
     now = F.current_timestamp() if scored_at is None else scored_at
     result = (
-        points.join(factors, "incident_id")
-        .withColumns({"scored_at": now, "model_version": F.lit(model.version)})
+        points.withColumns({"scored_at": now, "model_version": F.lit(model.version)})
         .select(*S.RISK_SCORE_SCHEMA.names)
     )
     if check:
@@ -370,28 +395,25 @@ def evaluate_clusters(
     validation: DataFrame,
     baseline_average_precision: float,
     counts: Sequence[int] = (2, 3, 4, 5),
-    sample_rows: int = 6000,
     seed: int = SEED,
 ) -> DataFrame:
     """Whether a cluster label would help the model; one row per cluster count.
 
-    Clusters are compared on a fixed-size sample, as silhouettes are; the best
-    is fitted on all rows and added to the model as a one-hot label.
+    Clusters are fitted and judged on all rows; the label of the best is added to
+    the model as one-hot columns.
     """
-    rows = training.count()
-    share = min(1.0, sample_rows / max(rows, 1))
-    sample = training if share == 1.0 else training.sample(share, seed)
     judge = ClusteringEvaluator(featuresCol="features", distanceMeasure="squaredEuclidean")
-    results = []
+    results, models = [], {}
     for count in counts:
-        fitted = KMeans(k=count, seed=seed, featuresCol="features").fit(sample)
-        labelled = fitted.transform(sample)
+        fitted = KMeans(k=count, seed=seed, featuresCol="features").fit(training)
+        labelled = fitted.transform(training)
         rates = labelled.groupBy("prediction").agg(F.avg("label").alias("rate")).collect()
         silhouette = judge.evaluate(labelled) if len(rates) > 1 else -1.0
         shown = {str(row["prediction"]): row["rate"] for row in rates}
         results.append((count, float(silhouette), shown))
+        models[count] = fitted
     best = max(results, key=lambda item: item[1])
-    final = KMeans(k=best[0], seed=seed, featuresCol="features").fit(training)
+    final = models[best[0]]
 
     def augmented(frame: DataFrame) -> DataFrame:
         labelled = final.transform(frame).withColumnsRenamed({"prediction": "cluster"})
@@ -436,6 +458,64 @@ def train_challenger(
     return best
 
 
+def split_in_time(training: DataFrame, share: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Earlier and later training rows: the instant that closes ``share`` of them divides.
+
+    Rows of one instant stay on one side.
+    """
+    instant = F.unix_micros("opened_at")
+    levels = {"day": F.floor(instant / 86_400_000_000), "v": instant}
+    # Exact, and no window holds more than the instants of a day.
+    cut = quantile_columns(training.withColumn("v", instant), "v", {"cut": share}, levels).first()
+    edge = F.lit(cut["cut"] if cut else None)
+    return training.where(instant <= edge), training.where(instant > edge)
+
+
+def _protocol_rows(features: DataFrame, protocol: Protocol) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fitting and validation rows from within the training period, and the test rows."""
+    split = history.temporal_split(
+        features, protocol.train_end, protocol.test_start, protocol.unit
+    )
+    training = with_label(split.where(F.col("dataset_split") == "pretest_train"))
+    fit, validation = split_in_time(training)
+    return fit, validation, with_label(split.where(F.col("dataset_split") == "final_test"))
+
+
+def cluster_protocol(features: DataFrame, model: RiskModel, protocol: Protocol) -> DataFrame:
+    """Cluster counts compared inside the training period; no test row is seen.
+
+    The gain is measured against the out-of-fold average precision of the champion.
+    """
+    fit, validation, _ = _protocol_rows(features, protocol)
+    encoder = Encoder.fit(fit)
+    base = metrics.classification_metrics(model.validation, "breach_probability", "label", 0.5)
+    ready = [materialise(encoder.transform(part)) for part in (fit, validation)]
+    return evaluate_clusters(*ready, base.first()["pr_auc"])
+
+
+def challenger_protocol(features: DataFrame, model: RiskModel, protocol: Protocol) -> DataFrame:
+    """Metrics of the challenger on the test rows, looked at once.
+
+    It is fitted on the earlier training rows; choice, calibration and threshold come
+    from the later ones.
+    """
+    fit, validation, test = _protocol_rows(features, protocol)
+    encoder = Encoder.fit(fit)
+    fit, validation, test = (materialise(encoder.transform(x)) for x in (fit, validation, test))
+    _, hidden, net, scored = train_challenger(fit, validation)
+    calibrator = Calibrator.fit(scored)
+
+    def calibrated(frame: DataFrame) -> DataFrame:
+        return materialise(frame.withColumn("p", calibrator.apply(F.col("raw_probability"))))
+
+    table = metrics.threshold_table(calibrated(scored), "p", "label")
+    threshold = metrics.select_threshold(table).first()["threshold"]
+    tested = calibrated(positive_probability(net, test))
+    return metrics.classification_metrics(tested, "p", "label", threshold).withColumn(
+        "hidden_layers", F.lit(str(hidden))
+    )
+
+
 def save(model: RiskModel, root: str) -> None:
     """Store a model as MLlib and parameter tables under ``root``."""
     spark = model.reference.sparkSession

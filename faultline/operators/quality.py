@@ -393,11 +393,16 @@ def label_audit(silver: DataFrame) -> DataFrame:
 
 
 def same_ids(left: DataFrame, right: DataFrame, key: str = "incident_id") -> DataFrame:
-    """Ids on one side only, counted in both directions; zero means equal sets."""
+    """Rows by id that one side has more of than the other, in both directions.
+
+    Zero twice means that both sides hold the same ids, each as often.
+    """
     sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
         right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
-    merged = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    return merged.agg(
-        violation(F.col("r") == 0).alias("only_left"), violation(F.col("l") == 0).alias("only_right")
+    more = sides.groupBy(key).agg((F.sum("l") - F.sum("r")).alias("more"))
+    nothing = F.lit(0).cast("long")
+    return more.agg(
+        F.coalesce(F.sum(F.greatest("more", nothing)), nothing).alias("only_left"),
+        F.coalesce(F.sum(F.greatest(-F.col("more"), nothing)), nothing).alias("only_right"),
     )

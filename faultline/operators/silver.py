@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from faultline import schema as S
 from faultline.functions.text import lookup, trimmed
 
-# Accepted date layouts, day first.
+# Accepted date layouts, day first; days, months and hours may have one digit.
 DATE_LAYOUTS = [
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy HH:mm",
-    "dd/MM/yyyy",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
+    "d/M/yyyy H:mm[:ss][.SSSSSS]",
+    "d/M/yyyy",
+    "yyyy-M-d H:mm[:ss][.SSSSSS]",
+    "yyyy-M-d'T'H:mm[:ss][.SSSSSS]",
+    "yyyy-M-d",
 ]
 
 
@@ -33,8 +33,9 @@ def parse_date(column: Column) -> Column:
 
 
 def parse_duration(column: Column) -> Column:
-    """Whole seconds, half to even; not a number is null."""
-    return F.bround(trimmed(column).try_cast("double")).cast("long")
+    """Whole seconds, half to even; no number, an infinite or too large one is null."""
+    number = trimmed(column).try_cast("double")
+    return F.bround(F.nanvl(number, F.lit(None))).try_cast("long")
 
 
 def clean(bronze: DataFrame) -> DataFrame:

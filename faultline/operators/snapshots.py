@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from faultline.operators.quality import ContractError
 
 KEEP_MARKER = ".gitkeep"
+ONE_VALUE = 256 << 20
 
 
 def file_manifest(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     """Path, size and SHA-256 of every file under the sources.
 
-    A file is hashed as one value, so this is for artefacts and reports; large
-    tables are covered by ``table_manifest``.
+    A file of at most ``ONE_VALUE`` bytes is hashed as one value by Spark's reader; a
+    larger one is streamed through the hash in a task, as no row can hold it.
     """
     parts = None
     for name, root in sources.items():
@@ -29,15 +34,34 @@ def file_manifest(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
             .where(~F.col("path").endswith(KEEP_MARKER))
         )
         tail = F.element_at(F.split("path", f"{root.rstrip('/')}/", 2), -1)
-        part = files.select(
-            F.concat(F.lit(f"{name}/"), tail).alias("archive_path"),
-            F.col("length").alias("size_bytes"),
-            F.sha2("content", 256).alias("sha256"),
-        )
-        parts = part if parts is None else parts.unionByName(part)
+        for chosen, digest in (
+            (F.col("length") <= ONE_VALUE, F.sha2("content", 256)),
+            (F.col("length") > ONE_VALUE, streamed_sha256("path")),
+        ):
+            part = files.where(chosen).select(
+                F.concat(F.lit(f"{name}/"), tail).alias("archive_path"),
+                F.col("length").alias("size_bytes"),
+                digest.alias("sha256"),
+            )
+            parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
+@F.pandas_udf(StringType())
+def streamed_sha256(paths: pd.Series) -> pd.Series:
+    """Hash of files of any size, a few megabytes at a time."""
+
+    def digest(path: str) -> str:
+        system, name = fs.FileSystem.from_uri(path)
+        made = hashlib.sha256()
+        with system.open_input_stream(name, compression=None) as file:
+            while chunk := file.read(4 << 20):
+                made.update(chunk)
+        return made.hexdigest()
+
+    return paths.map(digest)
+
+
 def missing_sources(spark: SparkSession, sources: dict[str, str]) -> list[str]:
     """Names of the sources whose folder does not exist."""
     absent = []

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators import history, model, quality
+from faultline.session import materialise
 from faultline.sources import sinks
 from faultline.streaming import alerts
 
@@ -30,9 +33,8 @@ def score_and_alert(
     spark: SparkSession, root: str, run_id: str, scored_at: Column | None = None
 ) -> int:
     """Score the newest cohort under its run, check what was stored, write the alerts."""
-    features = history.risk_features(
-        spark.read.parquet(f"{root}/silver"), require_targets=False
-    )
+    silver = spark.read.parquet(f"{root}/silver")
+    features = materialise(history.latest_features(silver))
     scores = model.score_latest(current_model(spark, root), features, scored_at)
     dated = scores.withColumn("reference_date", F.to_date("scored_at"))
     sinks.write_run(dated, f"{root}/risk/scores", "reference_date", run_id)
@@ -41,5 +43,9 @@ def score_and_alert(
     if difference["only_left"] or difference["only_right"]:
         raise quality.ContractError("Stored scores differ from the scored cohort.")
     events = alerts.alert_events(stored)
-    events.select("value").write.mode("append").text(f"{root}/risk/alerts/run_id={run_id}")
+    events.select("value").write.mode("overwrite").text(f"{root}/risk/alerts/run_id={run_id}")
+    version = stored.select("model_version").first()
+    if version:
+        once = f"{run_id}-{uuid.uuid4().hex}"
+        sinks.publish_version(stored.drop("model_version"), f"{root}/risk/serving", version[0], once)
     return stored.count()

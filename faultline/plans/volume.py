@@ -27,7 +27,7 @@ def run(
     periods: Periods,
     generated_at: Column,
     version: str,
-    boosted: bool = False,
+    boosted: bool = True,
 ) -> DataFrame:
     """Store candidates, metrics, bands and forecasts; publish the current rows last."""
     incidents = spark.read.parquet(f"{root}/silver")

@@ -22,10 +22,18 @@ def require_source_header(frame: DataFrame) -> DataFrame:
     return trimmed.select(*[f"`{name}`" for name in S.COLUMN_MAP])
 
 
-def read_raw(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
-    """The raw table as text; types are given by the cleaning step."""
+def read_raw(
+    spark: SparkSession, path: str, kind: str = "csv", multi_line: bool = False
+) -> DataFrame:
+    """The raw table as text; types are given by the cleaning step.
+
+    multi_line: quoted texts may hold line breaks. A file is then one block, so large
+    tables come as many files; row numbers hold either way.
+    """
     if kind == "csv":
-        frame = spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
+        frame = spark.read.csv(
+            path, header=True, inferSchema=False, multiLine=multi_line, escape='"'
+        )
     else:
         frame = spark.read.format(kind).load(path)
     return require_source_header(frame)

@@ -28,15 +28,20 @@ def write_csv(frame: DataFrame, path: str, sort: Sequence[str] = (), separator:
         path,
         header=True,
         sep=separator,
+        escape='"',
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )
 
 
 def write_run(frame: DataFrame, path: str, date_column: str, run_id: str) -> None:
-    """Append one run under ``<date_column>=/run_id=``."""
-    stamped = frame.withColumn("run_id", F.lit(run_id))
-    stamped.write.mode("append").partitionBy(date_column, "run_id").parquet(path)
+    """Write one run under ``<date_column>=/run_id=``; a repeated run replaces itself.
+
+    Rows of one partition come together first, split only where they are many.
+    """
+    stamped = frame.withColumn("run_id", F.lit(run_id)).hint("rebalance", date_column, "run_id")
+    writer = stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(date_column, "run_id").parquet(path)
 
 
 def replace_serving(frame: DataFrame, url: str, table: str, **options: str) -> None:

@@ -167,6 +167,30 @@ def test_forecast_end_to_end(incidents):
     assert all(r["predicted_incident_count"] == 0 for r in constant)
 
 
+def test_boosted_counts_follow_a_step():
+    rng = np.random.default_rng(1)
+    x = rng.random((600, 3))
+    y = rng.poisson(np.where(x[:, 1] > 0.5, 20, 4))
+    at = np.array([[0.5, 0.9, 0.5], [0.5, 0.1, 0.5]])
+    high, low = forecast._boosted(x, y.astype(float), at, 250)
+    assert 15 < high < 25 and 2 < low < 7
+    assert np.allclose(forecast._boosted(x, np.full(600, 3.0), at, 5), 3)
+
+
+def test_boosted_forecasts_read_only_the_past(incidents):
+    features = series.feature_frame(series.series_context(incidents, "2025-01-01"))
+    first = features.agg(F.date_sub(F.max("day"), 5)).first()[0].isoformat()
+    whole = forecast.boosted_forecasts(features, first, trees=5, block_days=2)
+    days = [r[0] for r in whole.select("day").distinct().orderBy("day").collect()]
+    assert len(days) >= 4
+    cut = F.lit(days[1]).cast("date")
+    blind = features.withColumn("y", F.when(F.col("day") <= cut, F.col("y")))
+    early = forecast.boosted_forecasts(blind, first, trees=5, block_days=2, last_day=days[1].isoformat())
+    assert rows(early, "scope", "horizon", "day") == rows(
+        whole.where(F.col("day") <= cut), "scope", "horizon", "day"
+    )
+
+
 def test_occam_prefers_the_simpler(spark):
     data = [("ALL", "D+1", START, c, 100.0, 100.0 + e) for c, e in
             (("naive7", 10.6), ("media7", 10.4), ("ultimo", 20.0), ("ridge", 10.0))]

@@ -1,5 +1,6 @@
 """Warehouse, sinks, snapshots, alerts and the registered queries."""
 
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -24,13 +25,25 @@ def store(spark):
     return warehouse.build_warehouse(incidents.unionByName(unlabelled))
 
 
+def test_scratch_tables_are_cleared(spark, monkeypatch):
+    from faultline import session
+
+    # Tables of other tests stay.
+    monkeypatch.setattr(session, "_made", [])
+    stored = session.materialise(spark.range(5))
+    assert stored.count() == 5
+    assert session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|FileNotFound|does not exist"):
+        stored.select(F.sum("id")).collect()
+
+
 def test_dimensions(store):
     assert rows(store.dim_prioridade, "sk_prioridade") == [
         (1, 2, "Alta"), (2, 3, "Média"), (3, 4, "Baixa"), (4, None, None),
     ]
-    assert rows(store.dim_produto, "sk_produto") == [(1, "Não informado"), (2, "prod1"), (3, "prod2")]
+    assert rows(store.dim_produto, "sk_produto") == [(1, "Não informado"), (2, "dns"), (3, "mail")]
     assert rows(store.dim_tempo.select("sk_tempo", "dia_semana", "semana_ano", "fim_semana"), "sk_tempo") == [
-        (20250101, 3, 1, False), (20250102, 4, 1, False), (20250103, 5, 1, False),
+        (20250214, 5, 7, False), (20250215, 6, 7, True), (20250216, 7, 7, True),
     ]
 
 
@@ -46,8 +59,8 @@ def test_orphans_are_counted(store):
 
 
 def test_star_query(store):
-    got = rows(warehouse.analytic_query(store, "star"), "incident_id")
-    assert len(got) == 4 and got[0][2] == "Alta"
+    got = rows(warehouse.star(store), "incident_id")
+    assert len(got) == 4 and [r[2] for r in got] == [None, "Alta", "Média", "Baixa"]
 
 
 def test_version_pointer(spark, tmp_path):
@@ -99,6 +112,17 @@ def test_snapshot_diff_and_replay(spark):
     ]
 
 
+def test_large_files_are_streamed(spark, tmp_path, monkeypatch):
+    (tmp_path / "small").write_bytes(b"abc")
+    (tmp_path / "large").write_bytes(b"x" * 5000)
+    monkeypatch.setattr(snapshots, "ONE_VALUE", 100)
+    got = rows(snapshots.file_manifest(spark, {"a": str(tmp_path)}), "archive_path")
+    assert got == [
+        ("a/large", 5000, hashlib.sha256(b"x" * 5000).hexdigest()),
+        ("a/small", 3, hashlib.sha256(b"abc").hexdigest()),
+    ]
+
+
 def test_snapshot_mode_and_retention(spark):
     kind = "snapshot_id string, mode string, created_at timestamp"
     empty = spark.createDataFrame([], kind)

@@ -1,6 +1,6 @@
 """The three runs, end to end on a small raw table."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -40,19 +40,37 @@ def test_daily_run(spark, root):
     bronze = spark.read.parquet(f"{root}/bronze")
     assert bronze.select("_source_file", "_source_row_number").distinct().count() == 1200
     daily.build_gold(spark, root, S.FORECAST_SCOPES)
-    daily.analyse(spark, root, "2025-01-01", "2025-03-01")
+    daily.analyse(spark, root, "2025-01-01", "2025-03-01", S.FORECAST_SCOPES)
     assert spark.read.csv(f"{root}/analysis/monthly", header=True).count() == 24
     daily.build_star(spark, root)
-    assert spark.read.parquet(f"{root}/warehouse/fato_incidente").count() == 1200
-    daily.snapshot(spark, root, ["gold", "warehouse"])
+    assert sinks.read_current(spark, f"{root}/warehouse/fato_incidente").count() == 1200
+    areas = ["gold", "warehouse"]
+    assert daily.snapshot(spark, root, areas, datetime(2025, 6, 1)) == "full"
     assert spark.read.parquet(f"{root}/snapshots/manifest").count() > 9
+    assert daily.snapshot(spark, root, areas, datetime(2025, 6, 2)) == "incremental"
+    assert spark.read.parquet(f"{root}/snapshots/entries/snapshot_id=20250602000000").count() == 0
+    sinks.write_table(spark.range(3), f"{root}/gold/more")
+    assert daily.snapshot(spark, root, areas, datetime(2025, 6, 3)) == "incremental"
+    added = spark.read.parquet(f"{root}/snapshots/entries/snapshot_id=20250603000000")
+    assert {r.change for r in added.select("change").collect()} == {"added"}
+    assert daily.snapshot(spark, root, areas, datetime(2025, 7, 20)) == "full"
+    late = spark.read.parquet(f"{root}/snapshots/expired")
+    assert sorted(r.snapshot_id[:8] for r in late.collect()) == ["20250601", "20250602", "20250603"]
 
 
 def test_risk_run(spark, root):
     protocol = model.Protocol("2025-03-01", "2025-03-31", "2025-03-31", "2025-04-01", "month", "r1")
     risk.train_and_publish(spark, root, protocol)
     assert risk.current_model(spark, root).version == "r1"
-    assert risk.score_and_alert(spark, root, "run-1", F.lit("2025-05-01").cast("timestamp")) > 0
+    at = F.lit("2025-05-01").cast("timestamp")
+    scored = risk.score_and_alert(spark, root, "run-1", at)
+    assert scored > 0
+    # The same run again replaces itself, alerts included.
+    assert risk.score_and_alert(spark, root, "run-1", at) == scored
+    assert spark.read.parquet(f"{root}/risk/scores").count() == scored
+    assert sinks.read_current(spark, f"{root}/risk/serving").count() == scored
+    alerts = spark.read.text(f"{root}/risk/alerts/run_id=run-1").select("value")
+    assert alerts.count() == alerts.distinct().count()
 
 
 def test_volume_run(spark, root):

@@ -339,11 +339,47 @@ def test_model_end_to_end(spark, tmp_path):
     fitted = model.train(frame, protocol)
     scores = model.score_latest(fitted, frame, F.lit("2025-02-01").cast("timestamp"))
     assert scores.columns == S.RISK_SCORE_SCHEMA.names and scores.count() > 0
+    # The terms of the row give what fourteen copies of it through the model give.
+    inside = fitted.explained(frame).select("incident_id", "top_risk_factors")
+    unfolded = explain.top_factors(frame, fitted.typical, fitted.probability)
+    assert rows(inside, "incident_id") == rows(unfolded, "incident_id")
     model.save(fitted, str(tmp_path / "m"))
     again = model.score_latest(model.load(spark, str(tmp_path / "m")), frame, F.lit("2025-02-01").cast("timestamp"))
     assert rows(scores, "incident_id") == rows(again, "incident_id")
 
 
+def test_validation_lies_after_fitting_and_before_the_test(spark):
+    frame = feature_rows(spark, 240)
+    protocol = model.Protocol("2025-01-13", "2025-01-20", "2025-01-20", "2025-01-27", "week", "t1")
+    fit, validation, test = model._protocol_rows(frame, protocol)
+    edges = [part.agg(F.min("opened_at"), F.max("opened_at")).first() for part in (fit, validation, test)]
+    assert edges[0][1] < edges[1][0] and edges[1][1] < edges[2][0]
+    assert abs(fit.count() - 3 * validation.count()) <= 4
+
+
+def test_features_of_the_cohort_need_thirty_days(spark):
+    from faultline.operators.silver import derive
+
+    raw = spark.createDataFrame(
+        [
+            (f"INC{i:07}", f"{i % 4 + 1} - x", f"p{i % 3}", f"c{i % 2}", "s", f"g{i % 3}", f"i{i % 5}",
+             at(f"2025-0{i % 4 + 1}-{i % 27 + 1:02}T{i % 24:02}:00:00"),
+             at(f"2025-0{i % 4 + 1}-{i % 27 + 1:02}T{i % 24:02}:30:00") if i % 5 else at("2025-04-20T00:00:00"),
+             1800, "Manual", None, "Encerrado", "SIM", "SIM" if i % 3 else "NAO")
+            for i in range(800)
+        ],
+        "incident_id string, priority_raw string, product string, category string, subcategory string, "
+        "assigned_group string, configuration_item string, opened_at timestamp, closed_at timestamp, "
+        "duration_seconds long, opened_by string, parent_incident_id string, status string, "
+        "entered_kpi_raw string, kpi_breached_raw string",
+    ).withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    silver = derive(raw)
+    bounded = history.latest_features(silver)
+    full = history.latest_cohort(history.risk_features(silver, check=False))
+    assert bounded.count() > 0
+    assert rows(bounded, "incident_id") == rows(full, "incident_id")
+
+
 def test_serving_views(spark):
     scores = score_frame(spark, {}, {"risk_score": 20, "risk_level": "LOW", "scored_at": at("2026-08-10T00:00:00")})
     newest = serving.latest_scores(scores).collect()

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from faultline import schema as S
 from faultline.functions.calendars import calendar_features
 from faultline.operators import forecast, gold, quality, serving, series
-from faultline.session import materialise
+from faultline.session import materialise, scratch_path
 from faultline.sources import sinks
 from workload.tables import Tables
 
-START, FIRST, SELECTION_END, REPORT = "2000-01-01", "2001-04-01", "2001-05-31", "2001-06-01"
+# The series start with the data; models are fitted to the days from FITTED_FROM on.
+FITTED_FROM = "2000-01-01"
+START, FIRST, SELECTION_END, REPORT = "1995-01-01", "2001-04-01", "2001-05-31", "2001-06-01"
 GENERATED_AT = "2026-01-01 00:00:00"
 VERSION = "volume-check"
 
@@ -48,7 +50,8 @@ def generated():
 
 def stored_features(t: Tables) -> DataFrame:
     """Features written once: a few rows per day, read by several steps."""
-    return materialise(features(t))
+    context_rows = series.series_context(t.order_silver(), FITTED_FROM)
+    return materialise(series.feature_frame(context_rows))
 
 
 def baseline_coefficients(t: Tables) -> DataFrame:
@@ -58,9 +61,9 @@ def baseline_coefficients(t: Tables) -> DataFrame:
     return fitted.select("priority_scope", F.posexplode("coefficients").alias("place", "value"))
 
 
-def full_run(t: Tables, boosted: bool = False) -> tuple[DataFrame, ...]:
+def full_run(t: Tables) -> tuple[DataFrame, ...]:
     rows = stored_features(t)
-    candidates = materialise(forecast.candidate_forecasts(rows, FIRST, boosted))
+    candidates = materialise(forecast.candidate_forecasts(rows, FIRST))
     selection = forecast.occam_select(candidates, SELECTION_END)
     chosen = forecast.chosen_forecasts(candidates, selection)
     bands = materialise(forecast.conformal_bands(chosen))
@@ -79,11 +82,14 @@ def volume_forecast(t: Tables) -> DataFrame:
 
 
 def forecast_parity(t: Tables) -> DataFrame:
-    return forecast.parity_check(full_run(t)[4], full_run(t)[4])
+    """The published rows against a second run that publishes and reads them back."""
+    root = scratch_path(t.spark, "forecasts")
+    sinks.publish_version(full_run(t)[4].drop("model_version"), root, VERSION, "parity")
+    return forecast.parity_check(full_run(t)[4], sinks.read_current(t.spark, root))
 
 
 def boosted_metrics(t: Tables) -> DataFrame:
-    candidates = full_run(t, boosted=True)[1]
+    candidates = full_run(t)[1]
     return forecast.forecast_metrics(candidates, REPORT)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType
 
 from faultline import schema as S
 from faultline.functions import text
-from faultline.operators import gold, quality, silver, temporal, warehouse
-from faultline.session import scratch_path
+from faultline.operators import gold, quality, series, silver, temporal, warehouse
+from faultline.session import materialise, scratch_path
 from faultline.sources import raw as raw_source
 from faultline.sources import sinks, tables
 from workload.tables import Tables
@@ -36,10 +39,60 @@ def bronze_provenance(t: Tables) -> DataFrame:
 
 def text_provenance(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "orders-text")
-    slim = t.read("orders").select("o_orderkey").orderBy("o_orderkey")
-    slim.coalesce(1).write.csv(path, header=True)
-    stored = t.spark.read.schema("o_orderkey long").csv(path, header=True)
-    return raw_source.with_text_provenance(stored).select("o_orderkey", "_source_row_number")
+    # Several files; each holds every eighth block of keys in order.
+    slim = t.read("orders").select("o_orderkey", (F.col("o_orderkey") % 8).alias("part"))
+    sorted_files = slim.repartition(8, "part").sortWithinPartitions("part", "o_orderkey")
+    sorted_files.write.partitionBy("part").csv(path, header=True)
+    stored = t.spark.read.schema("o_orderkey long, part int").csv(path, header=True)
+    return raw_source.with_text_provenance(stored).select(
+        "o_orderkey", "part", "_source_row_number"
+    )
+
+
+def spoiled_volume(t: Tables) -> DataFrame:
+    """The volume with broken rows on certain days of the month, for the contracts to find."""
+    rows, day = materialise(volume(t)), F.dayofmonth("reference_date")
+    spoiled = rows.where(day != 11).withColumns(
+        {
+            "reference_date": F.when(day != 9, F.col("reference_date")),
+            "priority_scope": F.when(day == 7, F.lit("ZZ")).otherwise(F.col("priority_scope")),
+            "incident_count": F.when(day == 3, -1 - F.col("incident_count")).otherwise(
+                F.col("incident_count")
+            ),
+        }
+    )
+    return spoiled.unionByName(rows.where(day == 5))
+
+
+def dirty_raw(t: Tables) -> DataFrame:
+    """Dates in every layout, durations that are no numbers, quoted line breaks."""
+    key = F.col("o_orderkey")
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + key * 7919 % 86400)
+    layouts = ["d/M/yyyy H:mm:ss", "d/M/yyyy", "dd/MM/yyyy HH:mm", "yyyy-MM-dd'T'HH:mm:ss",
+               "yyyy-MM-dd HH:mm:ss'.250'", "yyyy-M-d H:mm:ss", "'  'dd/MM/yyyy HH:mm:ss' '"]
+    shown = F.lit("31/02/2025 25:00")
+    for i, layout in enumerate(layouts):
+        shown = F.when(key % 8 == i, F.date_format(at, layout)).otherwise(shown)
+    numbers = ["NaN", "inf", "-Infinity", "1e300", "ten", "2.5", " 3.5 "]
+    duration = F.when(key % 9 == 7, key.cast("string")).otherwise((-key).cast("string"))
+    for i, number in enumerate(numbers):
+        duration = F.when(key % 9 == i, F.lit(number)).otherwise(duration)
+    named = dict.fromkeys(S.COLUMN_MAP, F.lit("x")) | {
+        "Número": key.cast("string"),
+        "Aberto": shown,
+        "Duração": duration,
+        "Descrição resumida": F.concat(F.lit("line "), key, F.lit('\nand "'), key, F.lit('"')),
+    }
+    path = scratch_path(t.spark, "dirty")
+    made = t.read("orders").select(*[named[c].alias(c) for c in S.COLUMN_MAP])
+    sinks.write_csv(made, path)
+    read = raw_source.read_raw(t.spark, path, multi_line=True)
+    return silver.clean(read).select(
+        F.col("incident_id").cast("long").alias("order_key"),
+        "opened_at",
+        "duration_seconds",
+        F.col("short_description").alias("description"),
+    )
 
 
 def parquet_scan(t: Tables) -> DataFrame:
@@ -120,6 +173,42 @@ def leakage_audit(t: Tables) -> DataFrame:
     return filled.join(quality.leakage_report(frame), "column_name")
 
 
+def layer_table(t: Tables) -> DataFrame:
+    """A layer table written, written over with fewer rows, and read back."""
+    path, rows = scratch_path(t.spark, "layer"), t.order_silver().select("incident_id", "opened_at")
+    sinks.write_table(rows, path)
+    sinks.write_table(rows.where(F.month("opened_at") <= 6), path, ["opened_at"])
+    return t.spark.read.parquet(path)
+
+
+def schema_difference(t: Tables) -> DataFrame:
+    """Columns of the silver table against the expected ones, with the rows that have a value."""
+    silver_rows = t.order_silver()
+    frame = silver_rows.withColumn("extra", F.col("product")).drop("status")
+    filled = quality.tidy(
+        frame.agg(*[F.count(n).alias(n) for n in frame.columns]), "column_name", "filled_rows"
+    )
+    difference = quality.schema_difference(frame, silver_rows.columns)
+    return difference.join(filled, "column_name", "left")
+
+
+def gate(t: Tables) -> DataFrame:
+    """What the gate says of the silver table, and of one with a broken row each month."""
+    rows = t.order_silver()
+    first = F.dayofmonth("opened_at") == 1
+    broken = rows.withColumn("incident_id", F.when(first, F.lit("?")).otherwise(F.col("incident_id")))
+    parts = []
+    for name, frame in (("clean", rows), ("broken", broken)):
+        checks = materialise(quality.silver_checks(frame))
+        try:
+            answer = quality.quality_gate(checks)
+        except quality.ContractError:
+            answer = "stopped"
+        found = checks.where("check_name = 'invalid_incident_ids'").select("violations")
+        parts.append(found.select(F.lit(name).alias("table"), F.lit(answer).alias("gate"), "violations"))
+    return parts[0].unionByName(parts[1])
+
+
 def volume(t: Tables) -> DataFrame:
     return gold.daily_volume(t.order_silver())
 
@@ -149,26 +238,35 @@ def reconciliation(t: Tables) -> DataFrame:
     return quality.reconciliation(t.order_silver(), volume(t))
 
 
-def root_events(frame: DataFrame) -> DataFrame:
-    return frame.where(text.trimmed(F.col("parent_incident_id")).isNull())
-
-
 def dedup_effect(t: Tables) -> DataFrame:
-    roots = gold.daily_volume(root_events(t.order_silver()))
+    roots = gold.daily_volume(series.root_events(t.order_silver()))
     return temporal.dedup_effect(volume(t), roots)
 
 
 def period_filter(t: Tables) -> DataFrame:
-    first, last = F.lit("1998-01-01").cast("date"), F.lit("1998-03-31").cast("date")
-    return volume(t).where(F.col("reference_date").between(first, last))
+    return gold.in_period(volume(t), "custom", first="1998-01-01", last="1998-03-31")
+
+
+def period_presets(t: Tables) -> DataFrame:
+    """Days and incidents of each preset."""
+    rows = materialise(volume(t))
+    parts = [
+        gold.in_period(rows, preset, regime_start=CUTOFF)
+        .groupBy("priority_scope")
+        .agg(F.count(F.lit(1)).alias("days"), F.sum("incident_count").alias("incident_count"))
+        .withColumn("preset", F.lit(preset))
+        for preset in (*gold.PERIOD_DAYS, "regime", "custom")
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def store(t: Tables) -> warehouse.Warehouse:
     return warehouse.build_warehouse(t.order_silver())
 
 
-def analytic(name: str):
-    return lambda t: warehouse.analytic_query(store(t), name)
+def measured(dimension: str, columns: list[str], measures, top: int | None = None):
+    return lambda t: warehouse.measure_by(store(t), dimension, columns, measures(), top)
+
 
 
 def dimension(name: str):
@@ -180,6 +278,21 @@ def narrowed(t: Tables) -> DataFrame:
     return warehouse.narrow_types(store(t).fato_incidente, types)
 
 
+def narrow_dimensions(t: Tables) -> DataFrame:
+    """Values that the narrow types of the dimensions would lose: the item keys as bytes do."""
+    made, parts = store(t).tables(), []
+    for name, types in warehouse.SERVING_TYPES.items():
+        if name != "fato_incidente":
+            narrow = warehouse.narrow_types(made[name], types)
+            assert all(narrow.schema[c].dataType == kind for c, kind in types.items())
+            losses = warehouse.narrowing_losses(made[name], types)
+            parts.append(losses.select(F.lit(name).alias("tabela"), "column_name", "lost_values"))
+    item = {"sk_item_configuracao": ByteType()}
+    losses = warehouse.narrowing_losses(made["dim_item_configuracao"], item)
+    parts.append(losses.select(F.lit("as_byte").alias("tabela"), "column_name", "lost_values"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def narrowing_losses(t: Tables) -> DataFrame:
     types = warehouse.SERVING_TYPES["fato_incidente"]
     wide = store(t).fato_incidente.withColumn("qtd_incidente", F.col("sk_item_configuracao"))
@@ -202,6 +315,7 @@ QUERIES = {
     "raw_round_trip": raw_round_trip,
     "bronze_provenance": bronze_provenance,
     "text_provenance": text_provenance,
+    "dirty_raw": dirty_raw,
     "parquet_scan": parquet_scan,
     "optional_artifact": optional_artifact,
     "rename_columns": lambda t: silver.rename_columns(t.raw()),
@@ -232,6 +346,9 @@ QUERIES = {
     "coerce_flag": coerce_flag,
     "normalize_level": normalize_level,
     "leakage_audit": leakage_audit,
+    "layer_table": layer_table,
+    "schema_difference": schema_difference,
+    "quality_gate": gate,
     "silver_checks": lambda t: quality.silver_checks(t.order_silver()),
     "quality_status": silver_status,
     "null_profile": lambda t: quality.null_profile(t.order_silver(), list(S.COLUMN_MAP.values())),
@@ -245,11 +362,18 @@ QUERIES = {
     "gold_checks": gold_checks,
     "reconciliation": reconciliation,
     "volume_contract": lambda t: quality.volume_contract(volume(t)),
+    "volume_contract_seeded": lambda t: quality.volume_contract(spoiled_volume(t)),
+    "gold_checks_seeded": lambda t: quality.gold_checks(
+        t.order_silver(), spoiled_volume(t), materialise(breakdown(t))
+    ),
+    "continuous_series_seeded": lambda t: quality.continuous_series(spoiled_volume(t)),
     "continuous_series": lambda t: quality.continuous_series(volume(t)),
     "serving_volume": lambda t: gold.normalize_volume(volume(t)),
     "serving_breakdown": lambda t: gold.normalize_breakdown(breakdown(t)),
     "period_filter": period_filter,
-    "root_events": lambda t: root_events(t.order_silver()).select("incident_id", "opened_at"),
+    "period_presets": period_presets,
+    "narrow_dimensions": narrow_dimensions,
+    "root_events": lambda t: series.root_events(t.order_silver()).select("incident_id", "opened_at"),
     "cascade_sizes": lambda t: gold.cascade_sizes(t.order_silver()),
     "active_items": lambda t: gold.active_items(t.order_silver(), 7),
     "ranking_by_volume": ranking("incident_count", dimension="assigned_group", limit=10),
@@ -282,14 +406,16 @@ QUERIES = {
     "warehouse_checks": lambda t: warehouse.validate_warehouse(store(t)),
     "orphan_check": lambda t: warehouse.orphans(store(t)),
     "table_counts": lambda t: warehouse.table_counts(store(t)),
-    "grain_check": analytic("grain"),
-    "incidents_by_priority": analytic("by_priority"),
-    "incidents_by_year": analytic("by_year"),
-    "top_products": analytic("top_products"),
-    "top_groups": analytic("top_groups"),
-    "kpi_by_priority": analytic("kpi_by_priority"),
-    "star_join": analytic("star"),
-    "incident_summary": analytic("summary"),
+    "grain_check": lambda t: warehouse.grain(store(t)),
+    "incidents_by_priority": measured(
+        "dim_prioridade", ["priority_code", "priority_label"], warehouse.incident_count
+    ),
+    "incidents_by_year": measured("dim_tempo", ["ano"], warehouse.incident_count),
+    "top_products": measured("dim_produto", ["produto"], warehouse.incident_count, 10),
+    "top_groups": measured("dim_grupo", ["grupo"], warehouse.incident_count, 10),
+    "kpi_by_priority": measured("dim_prioridade", ["priority_label"], warehouse.kpi_counts),
+    "star_join": lambda t: warehouse.star(store(t)),
+    "incident_summary": lambda t: warehouse.fact_size(store(t)),
     "narrow_types": narrowed,
     "narrowing_losses": narrowing_losses,
 }

@@ -108,12 +108,12 @@ def retention(t: Tables) -> DataFrame:
 
 
 def snapshot_changes(t: Tables) -> DataFrame:
-    return snapshots.manifest_diff(order_manifest(t), order_manifest(t, 1)).drop("sha256")
+    return snapshots.manifest_diff(order_manifest(t), order_manifest(t, 1))
 
 
 def replayed(t: Tables) -> DataFrame:
     """Full, then two incremental snapshots: the state after the last one."""
-    return snapshots.replay(*recorded(t)).select("archive_path")
+    return snapshots.replay(*recorded(t))
 
 
 def recorded(t: Tables) -> tuple[DataFrame, DataFrame]:

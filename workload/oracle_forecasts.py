@@ -6,7 +6,7 @@ from faultline import schema as S
 from workload.oracle_base import EVERY, cte, day, sql, stamp
 
 SCOPES = ", ".join(f"('{s}', {'NULL' if c is None else c})" for s, c in EVERY.items())
-START = "DATE '2000-01-01'"
+START = "DATE '1995-01-01'"
 
 cte("years", "SELECT unnest(range(1990, 2040))::BIGINT AS y")
 cte(

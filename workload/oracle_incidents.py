@@ -242,26 +242,75 @@ DECOMPOSED = " UNION ALL ".join(
         FROM volume WHERE priority_scope = 'ALL' AND reference_date >= {START}"""
     for cut, m in MEASURES.items()
 )
-CONTRACT = " UNION ALL ".join(
-    f"SELECT '{name}' AS check_name, 0::BIGINT AS violations"
-    for name in [
-        "invalid_dates",
-        "unexpected_scopes",
-        *[f"{kind}_{name}" for name in S.VOLUME_COUNTS for kind in ("invalid", "negative")],
-        "duplicate_keys",
-        "empty_table",
-    ]
+# A volume table with broken rows on certain days of the month.
+cte(
+    "spoiled_volume",
+    """
+    SELECT CASE WHEN day(reference_date) = 9 THEN NULL ELSE reference_date END AS reference_date,
+      CASE WHEN day(reference_date) = 7 THEN 'ZZ' ELSE priority_scope END AS priority_scope,
+      * EXCLUDE (reference_date, priority_scope)
+        REPLACE (CASE WHEN day(reference_date) = 3 THEN -1 - incident_count ELSE incident_count END
+          AS incident_count)
+    FROM volume WHERE day(reference_date) <> 11
+    UNION ALL SELECT * FROM volume WHERE day(reference_date) = 5""",
+    "volume",
 )
-GOLD_CHECKS = " UNION ALL ".join(
-    f"SELECT '{name}' AS check_name, 0::BIGINT AS violations"
-    for name in [
-        "daily_duplicate_keys",
-        "breakdown_duplicate_keys",
-        "daily_null_values",
-        "breakdown_null_values",
-        "negative_counts",
+
+
+def contract(table: str) -> str:
+    rules = {
+        "invalid_dates": "count(*) FILTER (reference_date IS NULL)",
+        "unexpected_scopes": f"count(*) FILTER (priority_scope NOT IN {tuple(S.GOLD_SCOPES)})",
+        **{f"invalid_{n}": f"count(*) FILTER ({n} IS NULL)" for n in S.VOLUME_COUNTS},
+        **{f"negative_{n}": f"count(*) FILTER ({n} < 0)" for n in S.VOLUME_COUNTS},
+        "duplicate_keys": f"""count(*) - (SELECT count(*) FROM
+          (SELECT DISTINCT reference_date, priority_scope FROM {table}))""",
+        "empty_table": "(count(*) = 0)::BIGINT",
+    }
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS check_name, {rule} AS violations FROM {table}"
+        for name, rule in rules.items()
+    )
+
+
+def gold_rules(volume: str) -> str:
+    def repeated(table: str, key: list[str]) -> str:
+        names = ", ".join(key)
+        return f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT {names} FROM {table}))"
+
+    def nulls(names: list[str]) -> str:
+        return " + ".join(f"count(*) FILTER ({n} IS NULL)" for n in names)
+
+    def below(names: list[str]) -> str:
+        return " + ".join(f"count(*) FILTER ({n} < 0)" for n in names)
+
+    rules = [
+        ("daily_duplicate_keys", repeated(volume, S.VOLUME_KEY), volume),
+        ("breakdown_duplicate_keys", repeated("breakdown", S.BREAKDOWN_KEY), "breakdown"),
+        ("daily_null_values", nulls(S.VOLUME_KEY + S.VOLUME_COUNTS), volume),
+        ("breakdown_null_values", nulls(S.BREAKDOWN_KEY + S.BREAKDOWN_COUNTS), "breakdown"),
     ]
-)
+    made = [f"SELECT '{n}' AS check_name, {rule} AS violations FROM {t}" for n, rule, t in rules]
+    made.append(
+        f"""SELECT 'negative_counts', (SELECT {below(S.VOLUME_COUNTS)} FROM {volume})
+          + (SELECT {below(S.BREAKDOWN_COUNTS)} FROM breakdown)"""
+    )
+    sources = {"ALL": "true", "P2": "priority_code = 2", "P3": "priority_code = 3"}
+    matches = " AND ".join(
+        f"""(SELECT count(*) FROM silver WHERE {rule})
+          = coalesce((SELECT sum(incident_count) FROM {volume} WHERE priority_scope = '{scope}'), 0)"""
+        for scope, rule in sources.items()
+    )
+    made.append(f"SELECT 'reconciliation_failed', (NOT ({matches}))::BIGINT")
+    return " UNION ALL ".join(made)
+
+
+def continuity(table: str) -> str:
+    return f"""SELECT priority_scope, count(reference_date) - count(DISTINCT reference_date)
+        AS duplicate_days,
+      CAST(date_diff('day', min(reference_date), max(reference_date)) + 1
+        - count(DISTINCT reference_date) AS BIGINT) AS missing_days
+      FROM {table} GROUP BY 1"""
 STAR = f"""
     SELECT incident_id, {day("data")} AS data, priority_label AS prioridade, produto, categoria,
       subcategoria, grupo, item_configuracao, round(duration_hours, 6) AS duration_hours,
@@ -282,8 +331,21 @@ SQL = {
         SELECT o_orderkey, 'orders.parquet' AS _source_file, o_orderkey + 2 AS _source_row_number,
           {LOADED} AS _ingested_at_utc FROM orders""",
     "text_provenance": """
-        SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS _source_row_number
+        SELECT o_orderkey, o_orderkey % 8 AS part,
+          row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) + 1
+            AS _source_row_number
         FROM orders""",
+    "dirty_raw": f"""
+        WITH o AS (
+          SELECT o_orderkey AS k, o_orderdate::TIMESTAMP
+            + to_seconds(o_orderkey * 7919 % 86400) AS at FROM orders)
+        SELECT k AS order_key,
+          strftime(CASE k % 8 WHEN 1 THEN date_trunc('day', at) WHEN 2 THEN date_trunc('minute', at)
+            WHEN 4 THEN at + INTERVAL 250000 MICROSECOND WHEN 7 THEN NULL ELSE at END,
+            '%Y-%m-%d %H:%M:%S.%f') AS opened_at,
+          CASE k % 9 WHEN 5 THEN 2 WHEN 6 THEN 4 WHEN 7 THEN k WHEN 8 THEN -k END AS duration_seconds,
+          'line ' || k || chr(10) || 'and "' || k || '"' AS description
+        FROM o""",
     "parquet_scan": "SELECT o_orderkey, o_orderpriority FROM orders",
     "optional_artifact": silver("CAST(NULL AS BIGINT) AS risk_score"),
     "rename_columns": sql(f"SELECT {RENAMED} FROM silver", "silver"),
@@ -338,6 +400,21 @@ SQL = {
         f"SELECT *, column_name IN ({FORBIDDEN}) AS forbidden FROM ({LEAKAGE})", "silver"
     ),
     "silver_checks": sql("SELECT * FROM checks", "checks"),
+    "layer_table": silver(f"{stamp('opened_at')} AS opened_at") + " WHERE month(opened_at) <= 6",
+    "schema_difference": sql(
+        """SELECT 'status' AS column_name, 'missing' AS problem, NULL::BIGINT AS filled_rows
+           UNION ALL SELECT 'extra', 'unexpected', count(product) FROM silver""",
+        "silver",
+    ),
+    "quality_gate": sql(
+        """SELECT 'clean' AS "table", quality_status AS gate, 0::BIGINT AS violations
+           FROM (SELECT CASE WHEN sum(violations) FILTER (severity = 'blocking') > 0 THEN 'stopped'
+             WHEN sum(violations) > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS quality_status
+             FROM checks)
+           UNION ALL SELECT 'broken', CASE WHEN n > 0 THEN 'stopped' ELSE 'passed' END, n
+           FROM (SELECT count(*) AS n FROM silver WHERE day(opened_at) = 1)""",
+        "checks",
+    ),
     "quality_status": sql(
         """SELECT CASE WHEN sum(violations) FILTER (severity = 'blocking') > 0 THEN 'failed'
            WHEN sum(violations) > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS quality_status
@@ -370,12 +447,8 @@ SQL = {
            AS duplicate_keys FROM silver""",
         "silver",
     ),
-    "gold_checks": sql(
-        f"""{GOLD_CHECKS} UNION ALL SELECT 'reconciliation_failed',
-            CAST((SELECT count(*) FROM silver) <> (SELECT sum(incident_count) FROM volume
-              WHERE priority_scope = 'ALL') AS BIGINT)""",
-        "volume",
-    ),
+    "gold_checks": sql(gold_rules("volume"), "volume", "breakdown"),
+    "gold_checks_seeded": sql(gold_rules("spoiled_volume"), "spoiled_volume", "breakdown"),
     "reconciliation": sql(
         """SELECT scope AS priority_scope, n AS source_count,
              (SELECT CAST(sum(incident_count) AS BIGINT) FROM volume v
@@ -385,14 +458,10 @@ SQL = {
              UNION ALL SELECT 'P3', count(*) FROM silver WHERE priority_code = 3)""",
         "volume",
     ),
-    "volume_contract": CONTRACT,
-    "continuous_series": sql(
-        """SELECT priority_scope, count(*) - count(DISTINCT reference_date) AS duplicate_days,
-           CAST(date_diff('day', min(reference_date), max(reference_date)) + 1
-             - count(DISTINCT reference_date) AS BIGINT) AS missing_days
-           FROM volume GROUP BY 1""",
-        "volume",
-    ),
+    "volume_contract": sql(contract("volume"), "volume"),
+    "volume_contract_seeded": sql(contract("spoiled_volume"), "spoiled_volume"),
+    "continuous_series": sql(continuity("volume"), "volume"),
+    "continuous_series_seeded": sql(continuity("spoiled_volume"), "spoiled_volume"),
     "serving_volume": sql(f"SELECT {VOLUME} FROM volume", "volume"),
     "serving_breakdown": sql(f"SELECT {BREAKDOWN} FROM breakdown", "breakdown"),
     "period_filter": sql(
@@ -400,6 +469,29 @@ SQL = {
             WHERE reference_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'""",
         "volume",
     ),
+    "period_presets": sql(
+        """SELECT priority_scope, count(*) AS days, CAST(sum(incident_count) AS BIGINT) AS incident_count, preset
+           FROM (SELECT *, max(reference_date) OVER () AS newest FROM volume) JOIN
+             (VALUES ('7d', 7), ('14d', 14), ('30d', 30), ('regime', NULL), ('custom', NULL)) p(preset, n)
+             ON CASE preset WHEN 'regime' THEN reference_date >= """
+        + CUTOFF
+        + """ WHEN 'custom' THEN true
+               ELSE reference_date > newest - n * INTERVAL 1 DAY END
+           GROUP BY 1, 4""",
+        "volume",
+    ),
+    "narrow_dimensions": sql(
+        """SELECT tabela, column_name, CASE tabela WHEN 'as_byte' THEN
+             (SELECT count(*) FROM dim_item_configuracao WHERE sk_item_configuracao > 127)
+             ELSE 0 END::BIGINT AS lost_values
+           FROM (VALUES ('dim_tempo', ['sk_tempo', 'data', 'ano', 'mes', 'dia', 'dia_semana',
+               'semana_ano', 'trimestre', 'fim_semana']),
+             ('dim_prioridade', ['sk_prioridade', 'priority_code']), ('dim_produto', ['sk_produto']),
+             ('dim_categoria', ['sk_categoria']), ('dim_grupo', ['sk_grupo']),
+             ('dim_item_configuracao', ['sk_item_configuracao']),
+             ('as_byte', ['sk_item_configuracao'])) v(tabela, names), unnest(names) u(column_name)""",
+        "dim_item_configuracao",
+    ),
     "root_events": sql(
         f"SELECT incident_id, {stamp('opened_at')} AS opened_at FROM roots", "roots"
     ),

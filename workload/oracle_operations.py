@@ -35,6 +35,11 @@ def changed(status: str, version: int) -> str:
     return one if version == 1 else f"CASE WHEN o_orderkey % 5 = 0 THEN 'Y' ELSE {one} END"
 
 
+def hashed(status: str) -> str:
+    record = """'{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' """
+    return f"""sha256({record} || {status} || '"}}')"""
+
+
 cte(
     "snapshots",
     """
@@ -93,8 +98,9 @@ SQL = {
         "event_silver",
     ),
     "snapshot_diff": f"""
-        SELECT 'orders/' || o_orderkey AS archive_path, CASE
-            WHEN o_orderkey % 10 = 0 THEN 'deleted' WHEN o_orderkey % 13 = 0 THEN 'added'
+        SELECT 'orders/' || o_orderkey AS archive_path,
+          CASE WHEN o_orderkey % 10 <> 0 THEN {hashed(changed("o_orderstatus", 1))} END AS sha256,
+          CASE WHEN o_orderkey % 10 = 0 THEN 'deleted' WHEN o_orderkey % 13 = 0 THEN 'added'
             ELSE 'changed' END AS change
         FROM orders WHERE CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey % 10 <> 0
           ELSE o_orderkey % 10 = 0 OR {changed("o_orderstatus", 1)} <> o_orderstatus END""",
@@ -113,9 +119,26 @@ SQL = {
         "snapshots",
     ),
     "replay": f"""
-        SELECT 'orders/' || o_orderkey AS archive_path FROM orders
+        SELECT 'orders/' || o_orderkey AS archive_path,
+          {hashed(changed("o_orderstatus", 2))} AS sha256 FROM orders
         WHERE {SCOPED} AND o_orderkey % 11 <> 0""",
-    "replay_parity": "SELECT 0::BIGINT AS differences FROM orders LIMIT 1",
+    # Both sides are written out in SQL and compared.
+    "replay_parity": f"""
+        WITH table_state AS (
+          SELECT o_orderkey, {hashed(changed("o_orderstatus", 2))} AS h FROM orders
+          WHERE {SCOPED} AND o_orderkey % 11 <> 0),
+        replayed AS (
+          SELECT o_orderkey, arg_max(h, n) AS h, arg_max(gone, n) AS gone FROM (
+            SELECT o_orderkey, 0 AS n, {hashed("o_orderstatus")} AS h, false AS gone FROM orders
+              WHERE o_orderkey % 13 <> 0
+            UNION ALL SELECT o_orderkey, 1, {hashed(changed("o_orderstatus", 1))},
+              o_orderkey % 10 = 0 FROM orders
+            UNION ALL SELECT o_orderkey, 2, {hashed(changed("o_orderstatus", 2))},
+              o_orderkey % 11 = 0 FROM orders WHERE {SCOPED})
+          GROUP BY 1)
+        SELECT count(*) AS differences FROM table_state t
+          FULL JOIN (SELECT * FROM replayed WHERE NOT gone) r ON t.o_orderkey = r.o_orderkey
+        WHERE t.h IS DISTINCT FROM r.h""",
     "integrity_check": f"""
         SELECT 'orders/' || o_orderkey AS archive_path,
           CASE WHEN o_orderkey % 10 = 0 THEN 'missing' ELSE 'checksum_mismatch' END AS reason

@@ -280,6 +280,13 @@ SQL = {
              WHERE entered_kpi_source)""",
         "event_silver",
     ),
+    "bounded_cohort": sql(
+        """SELECT count(*) AS cohort_rows, 0::BIGINT AS differing
+           FROM event_silver WHERE entered_kpi_source
+           AND CAST(opened_at AS DATE) = (SELECT max(CAST(opened_at AS DATE)) FROM event_silver
+             WHERE entered_kpi_source)""",
+        "event_silver",
+    ),
     "breach_rate_by_priority": sql(
         """SELECT priority_code, count(*) AS eligible,
            round(avg(CAST(kpi_breached_source AS INTEGER)), 6) AS breach_rate

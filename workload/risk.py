@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +76,9 @@ def audited(t: Tables) -> DataFrame:
     return quality.label_audit(t.order_silver())
 
 
-@lru_cache(maxsize=4)
-def _trained(spark, folder: str) -> tuple[DataFrame, model.RiskModel]:
-    rows = materialise(features(Tables(spark, folder)))
-    return rows, model.train(rows, PROTOCOL)
-
-
 def trained(t: Tables) -> tuple[DataFrame, model.RiskModel]:
-    return _trained(t.spark, t.folder)
+    rows = materialise(features(t))
+    return rows, model.train(rows, PROTOCOL)
 
 
 def fitted_coefficients(t: Tables) -> DataFrame:
@@ -102,8 +95,7 @@ def out_of_fold(t: Tables) -> DataFrame:
     return trained(t)[1].validation
 
 
-def test_rows(t: Tables) -> DataFrame:
-    rows, fitted = trained(t)
+def test_rows(rows: DataFrame, fitted: model.RiskModel) -> DataFrame:
     marked = history.temporal_split(rows, PROTOCOL.train_end, PROTOCOL.test_start, PROTOCOL.unit)
     test = marked.where(F.col("dataset_split") == "final_test")
     # Written once: ranks and sizes below must see the same scores.
@@ -111,9 +103,9 @@ def test_rows(t: Tables) -> DataFrame:
 
 
 def model_metrics(t: Tables) -> DataFrame:
-    fitted = trained(t)[1]
+    rows, fitted = trained(t)
     return metrics.classification_metrics(
-        test_rows(t), "breach_probability", "label", fitted.threshold
+        test_rows(rows, fitted), "breach_probability", "label", fitted.threshold
     )
 
 
@@ -149,36 +141,28 @@ def new_incident_scores(t: Tables) -> DataFrame:
 def explained(t: Tables) -> DataFrame:
     rows, fitted = trained(t)
     cohort = history.latest_cohort(rows)
-    return explain.top_factors(cohort, fitted.typical, fitted.probability)
+    return fitted.explained(cohort).select("incident_id", "top_risk_factors")
 
 
-def _encoded(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows, fitted = trained(t)
-    marked = history.temporal_split(rows, PROTOCOL.train_end, PROTOCOL.test_start, PROTOCOL.unit)
-    ready = materialise(fitted.encoder.transform(model.with_label(marked)))
-    return (
-        ready.where(F.col("dataset_split") == "pretest_train"),
-        ready.where(F.col("dataset_split") == "final_test"),
-    )
+def bounded_cohort(t: Tables) -> DataFrame:
+    """Cohort rows whose features from 30 days of history differ from those of all of it."""
+    silver = t.event_silver()
+    bounded, full = history.latest_features(silver), history.latest_cohort(features(t))
+    both = [frame.select(*full.columns) for frame in (bounded, full)]
+    one, two = [materialise(frame) for frame in both]
+    differing = one.exceptAll(two).count() + two.exceptAll(one).count()
+    return one.agg(F.count(F.lit(1)).alias("cohort_rows")).withColumn("differing", F.lit(differing))
 
 
 def clusters(t: Tables) -> DataFrame:
-    fit, check = _encoded(t)
-    base = model.fit_logistic(fit)
-    scored = model.positive_probability(base, check)
-    row = metrics.classification_metrics(scored, "raw_probability", "label", 0.5).first()
-    result = model.evaluate_clusters(fit, check, row["pr_auc"])
+    rows, fitted = trained(t)
+    result = model.cluster_protocol(rows, fitted, PROTOCOL)
     return result.withColumn("breach_rates", F.to_json("breach_rates"))
 
 
 def challenger(t: Tables) -> DataFrame:
-    fit, check = _encoded(t)
-    _, hidden, _, scored = model.train_challenger(fit, check, iterations=20)
-    calibrator = model.Calibrator.fit(scored)
-    calibrated = scored.withColumn("p", calibrator.apply(F.col("raw_probability")))
-    return metrics.classification_metrics(calibrated, "p", "label", 0.5).withColumn(
-        "hidden_layers", F.lit(str(hidden))
-    )
+    rows, fitted = trained(t)
+    return model.challenger_protocol(rows, fitted, PROTOCOL)
 
 
 def p(build):
@@ -194,6 +178,7 @@ QUERIES = {
     "split_summary": lambda t: history.split_summary(split(t)),
     "label_audit": audited,
     "latest_cohort": lambda t: history.latest_cohort(t.event_silver()).select("incident_id"),
+    "bounded_cohort": bounded_cohort,
     "breach_rate_by_priority": lambda t: history.breach_rate_by_priority(t.order_silver()),
     "monthly_breach_rate": lambda t: history.monthly_breach_rate(t.order_silver()),
     "pressure_reference": lambda t: scoring.pressure_reference(training(t)),
@@ -228,7 +213,7 @@ QUERIES = {
     "fitted_coefficients": fitted_coefficients,
     "out_of_fold": out_of_fold,
     "model_metrics": model_metrics,
-    "model_topk": lambda t: metrics.topk_metrics(test_rows(t), "breach_probability", "label"),
+    "model_topk": lambda t: metrics.topk_metrics(test_rows(*trained(t)), "breach_probability", "label"),
     "latest_scores": latest_scores,
     "saved_model_scores": saved_model_scores,
     "new_incident_scores": new_incident_scores,
