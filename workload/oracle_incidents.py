@@ -338,10 +338,10 @@ SQL = {
     "dirty_raw": f"""
         WITH o AS (
           SELECT o_orderkey AS k, o_orderdate::TIMESTAMP
-            + to_seconds(o_orderkey * 7919 % 86400) AS at FROM orders)
+            + to_seconds(o_orderkey * 7919 % 86400) AS ts FROM orders)
         SELECT k AS order_key,
-          strftime(CASE k % 8 WHEN 1 THEN date_trunc('day', at) WHEN 2 THEN date_trunc('minute', at)
-            WHEN 4 THEN at + INTERVAL 250000 MICROSECOND WHEN 7 THEN NULL ELSE at END,
+          strftime(CASE k % 8 WHEN 1 THEN date_trunc('day', ts) WHEN 2 THEN date_trunc('minute', ts)
+            WHEN 4 THEN ts + INTERVAL 250000 MICROSECOND WHEN 7 THEN NULL ELSE ts END,
             '%Y-%m-%d %H:%M:%S.%f') AS opened_at,
           CASE k % 9 WHEN 5 THEN 2 WHEN 6 THEN 4 WHEN 7 THEN k WHEN 8 THEN -k END AS duration_seconds,
           'line ' || k || chr(10) || 'and "' || k || '"' AS description
