@@ -10,9 +10,9 @@ with all values within its own ``T_i``, and every hit is verified on all bits.
   parts, which the fingerprints concerned can leave out.
 * ``T`` is chosen for each fingerprint by dynamic programming over the parts, on
   candidate counts estimated from histograms over all fingerprints.
-* Equal fingerprints are one row from the start. Each part value first links its
-  members to its smallest one; the probes then only look for links between the
-  components this gave, so a dense cloud of near copies yields few rows.
+* Equal fingerprints are one row from the start. Each value of two parts together first
+  links its members to its smallest one; the probes then only look for links between the
+  components this gave, each in one part, so a dense cloud of near copies yields few rows.
 
 Each link is a true one and none within the radius is lost.
 """
@@ -36,6 +36,7 @@ from faultline.session import materialise
 
 SEED = 42
 HASHES_AT_ONCE = 60_000  # under 65,536, so that 16-bit counters suffice
+KEY_BITS = 44  # most bits of one key
 CELL_BITS = 8  # bits of a histogram cell; a part has one or more cells
 
 
@@ -262,9 +263,10 @@ def allocate(bits: np.ndarray, plan: PartPlan, spec: SimHash) -> np.ndarray:
     return chosen - 1
 
 
-def _index(frame: DataFrame, plan: PartPlan, spec: SimHash, *carried: str) -> DataFrame:
+def _index(
+    frame: DataFrame, parts: list[list[int]], spec: SimHash, *carried: str
+) -> DataFrame:
     """A row for each part of each fingerprint, keyed by the part's value."""
-    parts = plan.parts
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = _bits(batch, spec)
@@ -285,19 +287,45 @@ def _probes(frame: DataFrame, plan: PartPlan, spec: SimHash, *carried: str) -> D
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = _bits(batch, spec)
         wanted, keys, rows = allocate(bits, plan, spec), [], []
+        used = (wanted >= 0) @ (1 << np.arange(len(parts), dtype=np.int64))
         for i, t in masks:
             at = np.flatnonzero(wanted[:, i] == t)
             values = _values(bits[at], parts[i]) | (i << 48)
             keys.append((values[:, None] ^ masks[i, t]).ravel())
             rows.append(np.repeat(at, len(masks[i, t])))
-        taken = batch.take(pa.array(np.concatenate(rows)))
+        at = np.concatenate(rows)
+        taken = batch.take(pa.array(at))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys)), *taken.columns], ["key", *taken.schema.names]
+            [pa.array(np.concatenate(keys)), pa.array(used[at]), *taken.columns],
+            ["key", "used", *taken.schema.names],
         )
 
     lanes = ", ".join(f"{c} long" for c in spec.columns)
     extra = "".join(f", {c} string" for c in carried)
-    return map_batches(frame.select(*spec.columns, *carried), run, f"key long, {lanes}{extra}")
+    schema = f"key long, used long, {lanes}{extra}"
+    return map_batches(frame.select(*spec.columns, *carried), run, schema)
+
+
+def _met_before(plan: PartPlan, spec: SimHash) -> Column:
+    """True if the probing fingerprint ``a`` has met ``b`` in an earlier part for sure."""
+    met = F.lit(False)
+    for j, part in enumerate(plan.parts):
+        equal = (F.shiftright("a.key", 48) > j) & (F.shiftright("a.used", j).bitwiseAND(1) == 1)
+        for lane, name in enumerate(spec.columns):
+            mask = sum(1 << (63 - b % 64) for b in part if b // 64 == lane)
+            if mask:
+                signed = mask - (1 << 64) if mask >> 63 else mask
+                differs = F.col(f"a.{name}").bitwiseXOR(F.col(f"b.{name}"))
+                equal = equal & (differs.bitwiseAND(F.lit(signed).cast("long")) == 0)
+        met = met | equal
+    return met
+
+
+def star_parts(parts: list[list[int]]) -> list[list[int]]:
+    """Two parts at a time: long values, which near copies share and strangers do not."""
+    count = len(parts)
+    pairs = {tuple(sorted({i, (i + step) % count})) for step in (1, 2) for i in range(count)}
+    return [[b for i in pair for b in parts[i]][:KEY_BITS] for pair in sorted(pairs)]
 
 
 def _apart(left: str, right: str, spec: SimHash) -> Column:
@@ -332,7 +360,7 @@ def near_duplicates(docs: DataFrame, spec: SimHash) -> DataFrame:
         rows.groupBy("fingerprint", *spec.columns).agg(F.min("doc_id").alias("first_id"))
     )
     plan = plan_parts(distinct, spec)
-    index = _index(distinct, plan, spec)
+    index = _index(distinct, star_parts(plan.parts), spec)
     lanes = F.struct(*spec.columns)
     centres = (
         index.groupBy("key")
@@ -350,12 +378,12 @@ def near_duplicates(docs: DataFrame, spec: SimHash) -> DataFrame:
     star = materialise(star)
     grouped = materialise(_labelled(distinct, connected_components(star)))
     probes = _probes(grouped, plan, spec, "component")
-    index = _index(grouped, plan, spec, "component")
+    index = _index(grouped, plan.parts, spec, "component")
     across = (
         probes.alias("a")
         .join(index.alias("b"), (F.col("a.key") == F.col("b.key"))
               & (_apart("a", "b", spec) <= spec.limit)
-              & (F.col("a.component") != F.col("b.component")))
+              & (F.col("a.component") < F.col("b.component")) & ~_met_before(plan, spec))
         .select(F.col("a.component").alias("a"), F.col("b.component").alias("b"))
         .distinct()
     )
