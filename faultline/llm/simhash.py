@@ -404,7 +404,11 @@ def keep_one(docs: DataFrame, spec: SimHash) -> DataFrame:
 
     All columns of ``docs`` are returned; they may have any names.
     """
-    grouped = near_duplicates(docs, spec)
+    return keep_first(docs, near_duplicates(docs, spec))
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """As ``keep_one``, of groups given by ``doc_id``, ``text_hash`` and ``component``."""
     counted = grouped.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash", "n")
     keepers = materialise(

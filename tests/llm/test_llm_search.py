@@ -275,3 +275,41 @@ def test_reader_keeps_few_files(tmp_path):
     for i in range(files.KEPT + 4):
         assert reader.read(str(tmp_path / "deep" / f"{i}"), 2, 2) == b"c%d" % (i % 10 if i < 10 else 1)
     assert len(reader.open) == files.KEPT
+
+
+# --- near copies of the pipeline
+
+
+def pair_at(similarity, draw, total=200):
+    """Two texts of about ``total`` five-word shingles each with this similarity, by exact counts."""
+    from faultline.llm import nearcopies
+
+    words = [f"w{draw.randrange(10**6)}" for _ in range(total + 4)]
+    copy, order = list(words), draw.sample(range(len(words)), len(words))
+    one = nearcopies.shingles(" ".join(words).encode(), 5)
+    for at in order:
+        before, copy[at] = copy[at], f"x{draw.randrange(10**6)}"
+        if nearcopies.jaccard(one, nearcopies.shingles(" ".join(copy).encode(), 5)) < similarity:
+            copy[at] = before
+    return " ".join(words), " ".join(copy)
+
+
+def test_isolated_pairs_are_judged_by_their_shingles(spark, documents):
+    from corpus_pipeline import NEAR_COPIES
+    from faultline.llm import nearcopies
+
+    draw, rows, expected = random.Random(2), [], set()
+    for n in range(400):
+        wanted = draw.uniform(0.80, 0.85) if n % 2 else draw.uniform(0.60, 0.75)
+        left, right = pair_at(wanted, draw, 100)
+        rows += [(2 * n, left), (2 * n + 1, right)]
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(100)} for t in (left, right))
+        expected |= {2 * n} | ({2 * n + 1} if len(a & b) / len(a | b) < 0.8 else set())
+    # A line said a thousand times is one shingle set, not a thousand.
+    line, own = "again and again and again ", [" ".join(f"{c}{i}" for i in range(60)) for c in "pq"]
+    rows += [(9000, line * 500 + own[0]), (9001, line * 500 + own[1]), (9002, line * 3 + own[0])]
+    rows += [(9003, None), (9004, " "), (9005, "only four words here"), (9006, "ONLY four words  here")]
+    expected |= {9000, 9001, 9003, 9005}
+    kept = nearcopies.keep_one(documents(rows), NEAR_COPIES)
+    assert {r.doc_id for r in kept.collect()} == expected
+    assert nearcopies.keep_one(documents([]), NEAR_COPIES).count() == 0
