@@ -3,9 +3,14 @@
 Each benchmark item is cut into overlapping segments. Two strings within ``k``
 edits share at least ``m - q + 1 - k q`` of the ``m - q + 1`` q-grams of a segment
 of ``m`` bytes (the q-gram lemma), and the shared ones lie within ``k`` diagonals
-of each other. So q-grams that a text shares with a segment are counted in
-diagonal bands that overlap by ``k``; a band that meets the bound is verified by
-an alignment banded to its diagonals. Nothing within the budget is lost.
+of each other. So q-grams that a text shares with an item are put in diagonal bands
+that overlap by ``k`` and counted for each segment; one that meets the bound in a band
+is verified by an alignment banded to its diagonals. No segment within the budget is lost.
+
+Any exact excerpt of ``segment + step - 1`` bytes of a normalised item holds a whole
+segment and is found: 79 bytes by default, some 14 words. A shorter excerpt is found where
+it holds a segment, from 72 bytes on; an item shorter than a segment as a whole. In any
+segment a replaced word of up to seven letters is within the budget.
 
 The benchmark is a stated query set: it is handed to the tasks in blocks of a
 bounded size, one pass over the documents for each block.
@@ -33,9 +38,9 @@ class Passages:
     """segment: bytes; step: between segment starts; edits: share of a segment's bytes
     that may be inserted, deleted or replaced; block: benchmark bytes of one pass."""
 
-    segment: int = 96
-    step: int = 48
-    edits: float = 0.07
+    segment: int = 72
+    step: int = 8
+    edits: float = 0.1
     block: int = 4_000_000
 
     def budget(self, length: int) -> int:
@@ -76,19 +81,22 @@ _SIEVE_BITS = 20
 
 
 class Index:
-    """Q-grams of all segments of a block."""
+    """Q-grams of all items of a block, each once, and the segments they belong to."""
 
     def __init__(self, items: list[tuple[int, str]], spec: Passages):
         self.spec = spec
         self.parts: list[tuple[int, int, bytes]] = []
-        keys, places, owners = [], [], []
-        for item_id, text in items:
-            for start, part in segments(normalised(text), spec):
-                found = grams(part)
-                keys.append(found)
-                places.append(np.arange(len(found)))
-                owners.append(np.full(len(found), len(self.parts)))
-                self.parts.append((item_id, start, part))
+        keys, places, owners, counts, longest = [], [], [], [], 0
+        for number, (item_id, text) in enumerate(items):
+            item = normalised(text)
+            found = grams(item)
+            keys.append(found)
+            places.append(np.arange(len(found)))
+            owners.append(np.full(len(found), number))
+            made = segments(item, spec)
+            counts.append(len(made))
+            self.parts.extend((item_id, start, part) for start, part in made)
+            longest = max(longest, len(item))
         empty = [np.zeros(0, np.int64)]
         key = np.concatenate(keys or [np.zeros(0, np.uint64)])
         order = np.argsort(key, kind="stable")
@@ -98,9 +106,19 @@ class Index:
         self.first = first
         self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
         self.sieve[self._cell(self.key)] = True
-        lengths = np.array([len(p) for _, _, p in self.parts], np.int64)
-        self.budget = np.array([spec.budget(n) for n in lengths], np.int64)
-        self.bound = lengths - Q + 1 - self.budget * Q
+        self.lengths = np.array([len(p) for _, _, p in self.parts], np.int64)
+        self.starts = np.array([s for _, s, _ in self.parts], np.int64)
+        self.budget = np.array([spec.budget(n) for n in self.lengths.tolist()], np.int64)
+        self.bound = self.lengths - Q + 1 - self.budget * Q
+        # Of each item: its segments, its least bound and its largest budget.
+        self.counts = np.array(counts, np.int64)
+        self.heads = np.cumsum(self.counts) - self.counts
+        item_of = np.repeat(np.arange(len(counts)), self.counts)
+        self.least = np.full(len(counts), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, item_of, self.bound)
+        self.most = np.zeros(len(counts), np.int64)
+        np.maximum.at(self.most, item_of, self.budget)
+        self.span = longest + spec.segment + 1
 
     @staticmethod
     def _cell(keys: np.ndarray) -> np.ndarray:
@@ -108,7 +126,7 @@ class Index:
             return (keys * _GOLDEN >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)
 
     def _hits(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segment, place in the segment and place in the text of each shared q-gram."""
+        """Item, place in the item and place in the text of each shared q-gram."""
         found = grams(text)
         at = np.flatnonzero(self.sieve[self._cell(found)])
         slot = np.searchsorted(self.key, found[at])
@@ -126,30 +144,71 @@ class Index:
         if not len(self.key):
             return []
         owner, place, at = self._hits(text)
-        enough = np.bincount(owner, minlength=len(self.parts)) >= self.bound
-        chosen = enough[owner]
+        chosen = (np.bincount(owner, minlength=len(self.counts)) >= self.least)[owner]
         owner, place, diagonal = owner[chosen], place[chosen], (at - place)[chosen]
         if not len(owner):
             return []
         # Bands of 2 w diagonals start every w; a match spans at most 2 k + 1 <= w.
-        width = 2 * self.budget[owner] + 2
+        width = 2 * self.most[owner] + 2
         band = diagonal // width
         lowest = int(band.min()) - 1
         spread = int(band.max()) - lowest + 2
         slots = np.concatenate([owner * spread + (band - lowest), owner * spread + (band - lowest - 1)])
-        # Each q-gram of a segment counts once in a band.
-        pairs = np.unique(slots * (self.spec.segment + 1) + np.tile(place, 2))
-        bands, counts = np.unique(pairs // (self.spec.segment + 1), return_counts=True)
+        # Each q-gram of an item counts once in a band.
+        code = np.unique(slots * self.span + np.tile(place, 2))
+        # Bands in which some stretch of a segment's length has enough of them.
+        ahead = np.searchsorted(code, code + self.spec.segment - Q, "right") - np.arange(len(code))
+        slots = code // self.span
+        slots = np.unique(slots[ahead >= self.least[slots // spread]])
+        times = self.counts[slots // spread]
+        offsets = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        part = np.repeat(self.heads[slots // spread], times) + offsets
+        slots = np.repeat(slots, times)
+        begin = slots * self.span + self.starts[part]
+        shared = np.searchsorted(code, begin + self.lengths[part] - Q, "right")
+        shared -= np.searchsorted(code, begin, "left")
+        enough = shared >= self.bound[part]
+        part, slots = part[enough], slots[enough]
+        w = 2 * self.most[slots // spread] + 2
+        # Diagonals of the item become those of the segment.
+        low = (slots % spread + lowest) * w + self.starts[part]
+        close = self._close(part, text, low, low + 2 * w - 1)
         found = []
-        for slot in bands[counts >= self.bound[bands // spread]].tolist():
-            part = slot // spread
-            w = 2 * int(self.budget[part]) + 2
-            low = (slot % spread + lowest) * w
+        for part, low, w in zip(part[close].tolist(), low[close].tolist(), w[close].tolist(), strict=True):
             best = self._align(part, text, low, low + 2 * w - 1)
             if best is not None:
                 found.append((part, *best))
         return found
 
+    def _close(self, part: np.ndarray, text: bytes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Candidates whose first 64 bytes have their budget's edits at most somewhere in the
+        stretch that ``_align`` looks at: Myers' bit vectors, one candidate in each lane."""
+        if not len(part):
+            return np.zeros(0, bool)
+        one = np.uint64(1)
+        budget, lengths = self.budget[part], np.minimum(self.lengths[part], 64)
+        begin = np.maximum(low - budget, 0)
+        end = np.minimum(len(text), high + budget + self.lengths[part] + 1)
+        distinct, lane = np.unique(part, return_inverse=True)
+        masks = np.zeros((len(distinct), 256), np.uint64)
+        for row, number in enumerate(distinct.tolist()):
+            head = np.frombuffer(self.parts[number][2][:64], np.uint8)
+            np.bitwise_or.at(masks[row], head, one << np.arange(len(head), dtype=np.uint64))
+        body = np.frombuffer(text, np.uint8)
+        top = one << (lengths - 1).astype(np.uint64)
+        plus, minus = np.full(len(part), ~np.uint64(0)), np.zeros(len(part), np.uint64)
+        score, best = lengths.copy(), lengths.copy()
+        for step in range(int((end - begin).max())):
+            at = begin + step
+            same = masks[lane, body[np.minimum(at, len(body) - 1)]]
+            across = (((same & plus) + plus) ^ plus) | same
+            up, down = minus | ~(across | plus), plus & across
+            score += ((up & top) != 0).astype(np.int64) - ((down & top) != 0)
+            best = np.where(at < end, np.minimum(best, score), best)
+            vertical, up, down = same | minus, up << one, down << one
+            plus, minus = down | ~(vertical | up), up & vertical
+        return best <= budget
+
     def _align(self, part: int, text: bytes, low: int, high: int) -> tuple[int, int, int] | None:
         """Edits, start and end of the best place of a segment on diagonals low to high."""
         pattern, budget = self.parts[part][2], int(self.budget[part])
@@ -228,17 +287,17 @@ def _search_column(block: list[tuple[int, str]], spec: Passages):
 
 
 def _by_item(index: Index, text: bytes) -> list[dict]:
-    """One entry per item: distinct segments found, least edits, and where that one lies."""
-    best: dict[int | None, tuple] = {}
-    parts: dict[int | None, set] = {}
-    for part, edits, start, end in index.search(text):
-        item, place, _ = index.parts[part]
-        parts.setdefault(item, set()).add(place)
-        best[item] = min(best.get(item, (edits, start, end)), (edits, start, end))
-    return [
-        {"item_id": i, "segments": len(parts[i]), "edits": e, "start": s, "end": t}
-        for i, (e, s, t) in sorted(best.items(), key=lambda x: (x[0] is None, x[0]))
-    ]
+    """One entry per item: distinct segments found, and the one with most edits at its best place."""
+    best: dict[int | None, dict] = {}
+    for part, *place in index.search(text):
+        item, start, _ = index.parts[part]
+        parts = best.setdefault(item, {})
+        parts[start] = min(parts.get(start, place), place)
+    made = []
+    for item, parts in sorted(best.items(), key=lambda x: (x[0] is None, x[0])):
+        edits, start, end = min(parts.values(), key=lambda p: (-p[0], p[1]))
+        made.append({"item_id": item, "segments": len(parts), "edits": edits, "start": start, "end": end})
+    return made
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, spec: Passages) -> list[DataFrame]:
@@ -253,8 +312,9 @@ def _searched(docs: DataFrame, benchmark: DataFrame, spec: Passages) -> list[Dat
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, spec: Passages | None = None) -> DataFrame:
     """Benchmark items of which documents hold a segment: ``doc_id``, ``item_id``,
-    ``segments`` (how many of the item's), ``edits`` (of its best segment), ``start`` and
-    ``end`` (where that lies, in bytes of the normalised text).
+    ``segments`` (how many of the item's), ``edits`` (the most that one of these has at its
+    best place: 0 if all are exact), ``start`` and ``end`` (where that one lies, in bytes of
+    the normalised text).
 
     Null and empty texts hold nothing, and items shorter than a q-gram are never found.
     A repeated document row is reported again; items with the same id count as one.

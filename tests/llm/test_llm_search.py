@@ -313,3 +313,22 @@ def test_isolated_pairs_are_judged_by_their_shingles(spark, documents):
     kept = nearcopies.keep_one(documents(rows), NEAR_COPIES)
     assert {r.doc_id for r in kept.collect()} == expected
     assert nearcopies.keep_one(documents([]), NEAR_COPIES).count() == 0
+
+
+def test_excerpts_are_found_at_every_offset():
+    draw = random.Random(4)
+    item = " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randrange(2, 9))) for _ in range(60))
+    spec = decontamination.Passages()
+    index = decontamination.Index([(1, item)], spec)
+    length = spec.segment + spec.step - 1
+    assert length <= 80
+    for at in range(len(item) - length + 1):
+        assert index.search(b"zz yy xx " + item[at : at + length].encode() + b" ww vv uu"), at
+    # One word of up to seven letters is another one, wherever it stands, in an item of 15 words.
+    words = item.split(" ")[:15]
+    words[-1] += "z" * (90 - len(" ".join(words)))
+    short = decontamination.Index([(1, " ".join(words))], spec)
+    for place, word in enumerate(words[:-1]):
+        if len(word) <= 7:
+            text = " ".join([*words[:place], "Q" * len(word), *words[place + 1 :]])
+            assert short.search(decontamination.normalised("some words " + text + " more")), place
