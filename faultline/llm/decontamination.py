@@ -300,16 +300,6 @@ def _by_item(index: Index, text: bytes) -> list[dict]:
     return made
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, spec: Passages) -> list[DataFrame]:
-    """For each block: ``row`` (all columns of ``docs``) and ``found``."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"))
-    return [
-        rows.withColumn("found", _search_column(block, spec)(F.col("row.text")))
-        for block in _blocks(benchmark, spec)
-    ]
-
-
 def contaminations(docs: DataFrame, benchmark: DataFrame, spec: Passages | None = None) -> DataFrame:
     """Benchmark items of which documents hold a segment: ``doc_id``, ``item_id``,
     ``segments`` (how many of the item's), ``edits`` (the most that one of these has at its
@@ -321,11 +311,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, spec: Passages | None
     Rows of a null item_id are reported under null.
     """
     spec = spec or Passages()
-    parts = [
-        part.where(F.size("found") > 0)
-        .select(F.col("row.doc_id").cast("long").alias("doc_id"), F.inline("found"))
-        for part in _searched(docs, benchmark, spec)
-    ]
+    small_batches(docs.sparkSession)
+    parts = []
+    for block in _blocks(benchmark, spec):
+        found = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), _search_column(block, spec)(F.col("text")).alias("found")
+        )
+        # Stored before the next block is fetched, so that no plan holds two of them.
+        parts.append(materialise(found.where(F.size("found") > 0).select("doc_id", F.inline("found"))))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -332,3 +332,18 @@ def test_excerpts_are_found_at_every_offset():
         if len(word) <= 7:
             text = " ".join([*words[:place], "Q" * len(word), *words[place + 1 :]])
             assert short.search(decontamination.normalised("some words " + text + " more")), place
+
+
+def test_found_rows_are_stored_before_the_next_block(spark, documents, monkeypatch):
+    events, blocks, stored = [], decontamination._blocks, decontamination.materialise
+
+    def fetched(*given):
+        for block in blocks(*given):
+            events.append("block")
+            yield block
+
+    monkeypatch.setattr(decontamination, "_blocks", fetched)
+    monkeypatch.setattr(decontamination, "materialise", lambda f: (events.append("stored"), stored(f))[1])
+    bench = spark.createDataFrame([(i, f"item number {i} " + "abcdefgh " * i) for i in range(1, 4)], "item_id long, text string")
+    got = decontamination.contaminations(documents([(1, "item number 2 " + "abcdefgh " * 2)]), bench, decontamination.Passages(block=30))
+    assert events == ["block", "stored"] * 3 and 2 in {r.item_id for r in got.collect()}
