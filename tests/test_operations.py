@@ -221,3 +221,14 @@ def test_every_checked_query_is_registered():
 def test_facts_join_dimensions_without_nested_loops(store):
     plan = store.fato_incidente._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_stream_scores_every_eligible_row(spark):
+    from workload import operations, risk
+    from workload.tables import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    wanted = risk.features(tables).where(F.col(S.ELIGIBLE)).select("incident_id")
+    got = operations.incremental_scores(tables).select("incident_id")
+    assert rows(got, "incident_id") == rows(wanted, "incident_id")
+    assert wanted.count() > 0

@@ -252,8 +252,8 @@ def dead_letters(t: Tables) -> DataFrame:
     return dead.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("messages"))
 
 
-def incremental_scores(t: Tables) -> DataFrame:
-    """Scores of feature files that arrive in two batches."""
+def incremental_scores(t: Tables, batches: int = 3) -> DataFrame:
+    """Scores of all eligible rows, as feature files that arrive in batches, days in order."""
     rows, fitted = risk.trained(t)
     source, out = scratch_path(t.spark, "arriving"), scratch_path(t.spark, "scored")
     state = scratch_path(t.spark, "score-state")
@@ -263,9 +263,13 @@ def incremental_scores(t: Tables) -> DataFrame:
     def score(batch: DataFrame) -> DataFrame:
         return model.score(fitted, batch, at, check=False)
 
-    for day in ("2024-01-29", "2024-01-30"):
-        arrived = eligible.where(F.to_date("opened_at") == F.lit(day).cast("date"))
-        arrived.write.mode("append").parquet(source)
+    day = F.to_date("opened_at")
+    first, last = eligible.agg(F.min(day), F.max(day)).first()
+    days = (last - first).days + 1 if first else 1
+    # A row without a day arrives with the first batch.
+    place = F.coalesce(F.floor(F.datediff(day, F.lit(first)) * batches / days), F.lit(0))
+    for batch in range(batches):
+        eligible.where(place == batch).write.mode("append").parquet(source)
         alerts.score_stream(
             t.spark, source, eligible.schema, score, out, state
         ).awaitTermination()
