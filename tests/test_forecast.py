@@ -243,3 +243,12 @@ def test_prediction_contract_accepts(spark):
 def test_prediction_contract_refuses(spark, changes, rule):
     with pytest.raises(quality.ContractError, match=rule):
         quality.require_clean(quality.prediction_contract(prediction_frame(spark, *changes)))
+
+
+def test_fitted_features_start_with_the_data(spark):
+    from workload import forecasts
+    from workload.tables import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    first = tables.order_silver().agg(F.min("opened_date")).first()[0]
+    assert forecasts.stored_features(tables).agg(F.min("day")).first()[0] <= first

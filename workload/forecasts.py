@@ -12,8 +12,7 @@ from faultline.session import materialise, scratch_path
 from faultline.sources import sinks
 from workload.tables import Tables
 
-# The series start with the data; models are fitted to the days from FITTED_FROM on.
-FITTED_FROM = "2000-01-01"
+# The series and the fits start with the data.
 START, FIRST, SELECTION_END, REPORT = "1995-01-01", "2001-04-01", "2001-05-31", "2001-06-01"
 GENERATED_AT = "2026-01-01 00:00:00"
 VERSION = "volume-check"
@@ -50,7 +49,7 @@ def generated():
 
 def stored_features(t: Tables) -> DataFrame:
     """Features written once: a few rows per day, read by several steps."""
-    context_rows = series.series_context(t.order_silver(), FITTED_FROM)
+    context_rows = series.series_context(t.order_silver(), START)
     return materialise(series.feature_frame(context_rows))
 
 
