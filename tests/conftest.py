@@ -1,5 +1,4 @@
 import sys
-from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -30,12 +29,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(frame, *order):
-    ordered = frame.orderBy(*order) if order else frame
-    return [tuple(row) for row in ordered.collect()]
-
-
-def at(text):
-    return datetime.fromisoformat(text)

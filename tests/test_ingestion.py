@@ -1,7 +1,7 @@
 """Three raw incidents through cleaning, derived columns and quality checks."""
 
 import pytest
-from conftest import at, rows
+from support import at, rows
 from pyspark.sql import functions as F
 
 from faultline import schema as S

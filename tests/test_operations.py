@@ -4,7 +4,7 @@ import hashlib
 from datetime import datetime
 
 import pytest
-from conftest import at, rows
+from support import at, rows
 from pyspark.sql import functions as F
 
 from faultline import schema as S

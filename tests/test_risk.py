@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import at, rows
+from support import at, rows
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
