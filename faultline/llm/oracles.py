@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from faultline.llm.collocations import Phrases
+from faultline.llm.filteraudit import AuditRules
 from faultline.llm.linecleaning import MARK_RUN, MARKS, SPACES, SYMBOLS, LineRules
 from faultline.llm.secrets import ACCESS, ASSIGN, HEX, EntropyRule
 
@@ -143,9 +145,95 @@ FROM b LEFT JOIN e USING (id)
 """
 
 
+def _filter_audit(rules: AuditRules) -> str:
+    letters = "(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f)"
+    orders = ", ".join(f"{letters} f{i}" for i in range(5))
+    differ = " AND ".join(f"f{i}.f <> f{j}.f" for j in range(5) for i in range(j))
+    sums = ", ".join(
+        f"coalesce(sum({what}) FILTER ({where}), 0)::BIGINT AS {name}"
+        for name, what, where in (
+            ("kept", "n", "mask & (before | bit) = 0"),
+            ("removed", "n", "mask & before = 0 AND mask & bit <> 0"),
+            ("redundant", "n", "mask & before <> 0 AND mask & bit <> 0"),
+            ("unique_fails", "n", "mask = bit"),
+            ("good_lost", "good", "mask & before = 0 AND mask & bit <> 0"),
+            ("toxic_lost", "toxic", "mask & before = 0 AND mask & bit <> 0"),
+        )
+    )
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+m AS (
+  SELECT doc_id, part,
+    (len(ws) < {rules.least_words})::INTEGER
+    + 2 * (100 * len(list_distinct(ws)) < {rules.distinct} * len(ws))::INTEGER
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {rules.capitals} * length(t))::INTEGER
+    + 8 * regexp_matches(t, {_text("[" + rules.symbols + "]")})::INTEGER
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INTEGER AS mask,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AS is_good,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS is_toxic
+  FROM d),
+c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (is_good) AS good, count(*) FILTER (is_toxic) AS toxic
+  FROM m GROUP BY ALL),
+o AS (SELECT f0.f || f1.f || f2.f || f3.f || f4.f AS filter_order FROM {orders} WHERE {differ}),
+s AS (
+  SELECT filter_order, step::INTEGER AS step, filter_order[step] AS f, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    CASE WHEN step = 1 THEN 0 ELSE list_sum(list_transform(
+      string_split(filter_order[1:step - 1], ''), lambda x: 1 << (ascii(x) - 65))) END::INTEGER AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, bit, {sums}
+  FROM s CROSS JOIN c GROUP BY ALL)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r
+"""
+
+
+def _collocations(spec: Phrases) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH t AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+p AS (SELECT id, lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM t),
+w AS (
+  SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM w, (SELECT unnest(range(1, {spec.longest + 1})) AS size))),
+n AS (SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY lang),
+f AS (
+  SELECT lang, size, phrase, count(*) AS f, string_split(phrase, ' ') AS w
+  FROM g GROUP BY ALL HAVING count(*) >= {spec.least}),
+c AS (
+  SELECT lang, phrase, f AS a, size, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1)),
+s AS (
+  SELECT c.lang, c.phrase, c.a, k, h.f AS l, e.f AS r,
+    (c.a::HUGEINT * {spec.scale} // (h.f + e.f))::BIGINT AS score
+  FROM c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f e ON e.lang = c.lang AND e.phrase = c.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, array_to_string(w[j:j + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, size - m + 2)) AS j
+        FROM (SELECT *, unnest(range(2, size)) AS m FROM f WHERE size > 2))
+  GROUP BY ALL),
+k AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE longer IS NULL OR 100 * longer::HUGEINT < {spec.absorbed} * a::HUGEINT)
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN n ON n.lang = k.lang WHERE rank <= {spec.top}
+"""
+
+
 SQL: dict[str, str] = {
     "op1_warc": OP1,
     "op2_sharding": OP2,
     "op7_line_cleaning": _line_cleaning(LineRules()),
     "op9_secrets": _secrets(EntropyRule()),
+    "op12_filter_audit": _filter_audit(AuditRules()),
+    "op13_collocations": _collocations(Phrases()),
 }

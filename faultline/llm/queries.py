@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import (
+    bytebpe,
+    collocations,
     decontamination,
+    filteraudit,
     language,
     linecleaning,
     packing,
@@ -21,6 +24,7 @@ from faultline.llm import (
 from faultline.llm.common import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +98,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bytebpe.Vocabulary(public_tokenizers.path(RANKS))
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), vocabulary)
+    # One pass of the encoder, whose ids feed the digest and the decoder.
+    return bytebpe.decode(encoded, vocabulary).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
@@ -105,4 +129,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_collocations": op13_collocations,
 }
