@@ -12,12 +12,14 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -27,8 +29,10 @@ from faultline.llm.common import per_process
 
 #: Bits per key at each level of the perfect hash; more bits, fewer levels.
 GAMMA = 2
-#: Merged pre-tokens that a worker remembers (about 100 MB).
-REMEMBERED = 400_000
+#: Merged pre-tokens of each of the two generations a worker remembers (about 50 MB each).
+REMEMBERED = 250_000
+#: Ids decoded at once.
+IDS_AT_ONCE = 1 << 20
 #: Characters whose pre-tokens are looked up together.
 AT_ONCE = 1 << 20
 
@@ -43,6 +47,24 @@ def _mixed(hashes: np.ndarray, level: int) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def _stretches(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Rows of about ``limit`` in all at a time, a larger row by itself."""
+    start = total = 0
+    for at, size in enumerate(sizes.tolist()):
+        if total and total + size > limit:
+            yield slice(start, at)
+            start, total = at, 0
+        total += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -184,7 +206,8 @@ class Encoder:
             raise ValueError(f"{vocabulary.path} has ids above 16 bits")
         self.cut = Cutter(vocabulary.pattern)
         self.whole = PerfectHash(list(ranks))
-        self.id_at = np.array([ranks[w] for w in self.whole.words])
+        # Ids as 32-bit integers in bytes, which cost the garbage collector nothing.
+        self.packed_at = [ranks[w].to_bytes(4, "little") for w in self.whole.words]
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.pairs = {
             ranks[word[:i]] << 16 | ranks[word[i:]]: rank
@@ -192,7 +215,8 @@ class Encoder:
             for i in range(1, len(word))
             if word[:i] in ranks and word[i:] in ranks
         }
-        self.merged: dict[bytes, list[int]] = {}
+        self.merged: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token that is no word of the vocabulary."""
@@ -225,31 +249,30 @@ class Encoder:
                     heapq.heappush(heap, wider * size + left)
         return [i for i in ids if i >= 0]
 
-    def resolve(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of distinct pre-tokens."""
-        slots = self.whole.find(words)
-        whole = self.id_at[slots].tolist()
-        found = []
-        for slot, one, word in zip(slots, whole, words, strict=True):
-            if slot >= 0:
-                found.append([one])
-                continue
-            ids = self.merged.get(word)
+    def _merged(self, word: bytes) -> bytes:
+        """Packed ids of a merged pre-token; what was asked for lately is remembered."""
+        ids = self.merged.get(word)
+        if ids is None:
+            ids = self.older.get(word)
             if ids is None:
-                if len(self.merged) >= REMEMBERED:
-                    self.merged.clear()
-                ids = self.merged[word] = self.merge(word)
-            found.append(ids)
-        return found
+                ids = np.array(self.merge(word), "<u4").tobytes()
+            if len(self.merged) >= REMEMBERED:
+                self.merged, self.older = {}, self.merged
+            self.merged[word] = ids
+        return ids
+
+    def resolve(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pre-tokens."""
+        packed, merged = self.packed_at, self._merged
+        return [
+            packed[slot] if slot >= 0 else merged(word)
+            for slot, word in zip(self.whole.find(words), words, strict=True)
+        ]
 
-    def encode(self, texts: list[str | None]) -> pa.ListArray:
+    def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of each text; null has none. A stretch of short texts is looked up at once."""
-        parts, start, size = [], 0, 0
-        for at, text in enumerate(texts):
-            size += len(text or "")
-            if size > AT_ONCE or at + 1 == len(texts):
-                parts.append(self._encode(texts[start : at + 1]))
-                start, size = at + 1, 0
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+        parts = [self._encode(texts[part].to_pylist()) for part in _stretches(sizes, AT_ONCE)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     def _encode(self, texts: list[str | None]) -> pa.ListArray:
@@ -257,12 +280,11 @@ class Encoder:
         pieces = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
         codes = pieces.indices.to_numpy()
         resolved = self.resolve(pieces.dictionary.cast(pa.binary()).to_pylist())
-        lengths = np.fromiter(map(len, resolved), np.int64, len(resolved))
-        flat = np.fromiter(chain.from_iterable(resolved), np.int32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, resolved), np.int64, len(resolved)) // 4
+        flat = np.frombuffer(b"".join(resolved), "<i4")
         sizes = lengths[codes]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        first = (np.cumsum(lengths) - lengths)[codes]
-        ids = flat[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+        ids = flat[_spread((np.cumsum(lengths) - lengths)[codes], sizes)]
         offsets = ends[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
@@ -271,12 +293,38 @@ def encoder(vocabulary: Vocabulary) -> Encoder:
     return per_process(("byte bpe", vocabulary), lambda: Encoder(vocabulary))
 
 
-def _words_by_id(path: str) -> dict[int, bytes]:
-    def load():
-        with open(path, "rb") as file:
-            return {int(rank): base64.b64decode(word) for word, rank in map(bytes.split, file)}
+class Decoder:
+    """Bytes of ids: the words of the file end to end, and where each begins."""
 
-    return per_process(("byte bpe words", path), load)
+    def __init__(self, path: str):
+        with open(path, "rb") as file:
+            words = {int(rank): base64.b64decode(word) for word, rank in map(bytes.split, file)}
+        self.lengths = np.full(max(words) + 1, -1)
+        self.lengths[list(words)] = list(map(len, words.values()))
+        self.starts = np.zeros(len(self.lengths), np.int64)
+        self.starts[list(words)] = np.cumsum([0, *map(len, words.values())])[:-1]
+        self.joined = np.frombuffer(b"".join(words.values()), np.uint8)
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        parts = [self._decode(lists[part], sizes[part]) for part in _stretches(sizes, IDS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def _decode(self, lists: pa.ListArray, sizes: np.ndarray) -> pa.Array:
+        ids = lists.flatten().to_numpy()
+        lengths = self.lengths[ids]
+        if len(ids) and lengths.min() < 0:
+            raise ValueError(f"{ids[lengths.argmin()]} is no id of the file")
+        body = self.joined[_spread(self.starts[ids], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        offsets = ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+        return pa.BinaryArray.from_buffers(
+            pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(body)]
+        )
+
+
+def decoder(path: str) -> Decoder:
+    return per_process(("byte bpe words", path), lambda: Decoder(path))
 
 
 def ids_of(text: Column, vocabulary: Vocabulary) -> Column:
@@ -284,7 +332,7 @@ def ids_of(text: Column, vocabulary: Vocabulary) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        return encoder(vocabulary).encode(texts.to_pylist())
+        return encoder(vocabulary).encode(texts)
 
     return ids(text)
 
@@ -294,8 +342,7 @@ def bytes_of(ids: Column, vocabulary: Vocabulary) -> Column:
 
     @F.arrow_udf("binary")
     def decoded(lists: pa.Array) -> pa.Array:
-        word = _words_by_id(vocabulary.path).__getitem__
-        return pa.array([b"".join(map(word, one or ())) for one in lists.to_pylist()], pa.binary())
+        return decoder(vocabulary.path).decode(lists)
 
     return decoded(ids)
 
