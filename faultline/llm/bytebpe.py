@@ -10,17 +10,16 @@ pair to merge next (lowest rank first, then the leftmost).
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +28,14 @@ from faultline.llm.common import per_process
 
 #: Bits per key at each level of the perfect hash; more bits, fewer levels.
 GAMMA = 2
-#: Merged pre-tokens of each of the two generations a worker remembers (about 50 MB each).
-REMEMBERED = 250_000
+#: Merged pre-tokens of each of the two generations a worker remembers (about 100 MB each).
+REMEMBERED = 500_000
 #: Ids decoded at once.
 IDS_AT_ONCE = 1 << 20
-#: Characters whose pre-tokens are looked up together.
-AT_ONCE = 1 << 20
+#: Bytes of text whose pre-tokens are looked up together.
+AT_ONCE = 1 << 22
+#: Texts with code points below only (Latin, Greek, Cyrillic) are cut with short classes.
+NARROW = 0x530
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,7 +136,7 @@ def _ranges(points: list[int]) -> str:
     return "".join(out)
 
 
-def _library_classes() -> dict[str, str]:
+def _library_classes() -> dict[str, list[int]]:
     """Which code points the tokenizer library takes for letters, numbers and spaces.
 
     Unicode versions differ between libraries, so the library itself is asked: with
@@ -149,13 +150,16 @@ def _library_classes() -> dict[str, str]:
     for name in (r"\p{L}", r"\p{N}", r"\s"):
         only = tiktoken.Encoding("class", pat_str=name + "+", mergeable_ranks=single, special_tokens={})
         matched = bytes(only.encode_ordinary(every)).decode()
-        classes[name] = _ranges(sorted(map(ord, matched)))
+        classes[name] = sorted(map(ord, matched))
     return classes
 
 
-def compile_pattern(pattern: str) -> re.Pattern:
-    """``pattern`` with the library's classes written out."""
-    classes = per_process("library classes", _library_classes)
+def compile_pattern(pattern: str, below: int = 0x110000) -> re.Pattern:
+    """``pattern`` with the library's classes written out, for texts of code points ``below``."""
+    classes = {
+        name: _ranges([point for point in points if point < below])
+        for name, points in per_process("library classes", _library_classes).items()
+    }
     out, inside = [], False
     for part in re.findall(r"\\p\{\w\}|\\.|.", pattern, re.S):
         if part in classes:
@@ -173,25 +177,18 @@ def compile_pattern(pattern: str) -> re.Pattern:
 
 
 class Cutter:
-    """Pre-tokens of a text.
-
-    The installed ``regex`` cuts faster than written-out classes; its Unicode version is
-    trusted but for texts with a code point that it classes otherwise than the library.
-    """
+    """Pre-tokens of a text: ASCII and other narrow texts by patterns with short classes."""
 
     def __init__(self, pattern: str):
-        self.fast, self.exact = regex.compile(pattern).findall, compile_pattern(pattern).findall
-        points = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-        odd: set[str] = set()
-        for name, inside in per_process("library classes", _library_classes).items():
-            ours, theirs = regex.findall(f"{name}+", points), re.findall(f"[{inside}]+", points)
-            odd |= set("".join(ours)) ^ set("".join(theirs))
-        self.odd = re.compile(f"[{_ranges(sorted(map(ord, odd)))}]").search if odd else None
+        self.ascii, self.narrow, self.wide = (
+            compile_pattern(pattern, below).findall for below in (0x80, NARROW, 0x110000)
+        )
+        self.is_wide = re.compile(f"[{chr(NARROW)}-{chr(0x10FFFF)}]").search
 
     def __call__(self, text: str) -> list[str]:
-        if self.odd and not text.isascii() and self.odd(text):
-            return self.exact(text)
-        return self.fast(text)
+        if text.isascii():
+            return self.ascii(text)
+        return self.wide(text) if self.is_wide(text) else self.narrow(text)
 
 
 class Encoder:
@@ -202,51 +199,53 @@ class Encoder:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, file)}
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError(f"{vocabulary.path} lacks single bytes")
-        if max(ranks.values()) >= 1 << 16:
-            raise ValueError(f"{vocabulary.path} has ids above 16 bits")
         self.cut = Cutter(vocabulary.pattern)
         self.whole = PerfectHash(list(ranks))
         # Ids as 32-bit integers in bytes, which cost the garbage collector nothing.
         self.packed_at = [ranks[w].to_bytes(4, "little") for w in self.whole.words]
         self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pairs = {
-            ranks[word[:i]] << 16 | ranks[word[i:]]: rank
-            for word, rank in ranks.items()
-            for i in range(1, len(word))
-            if word[:i] in ranks and word[i:] in ranks
-        }
+        # What a word and the next one merge into, by the first and then the second.
+        self.joins: list[dict[int, int]] = [{} for _ in range(max(ranks.values()) + 1)]
+        for word, rank in ranks.items():
+            for i in range(1, len(word)):
+                if word[:i] in ranks and word[i:] in ranks:
+                    self.joins[ranks[word[:i]]][ranks[word[i:]]] = rank
+        self.first = [[self.joins[a].get(b, -1) for b in self.byte] for a in self.byte]
         self.merged: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token that is no word of the vocabulary."""
-        size, rank_of, byte = len(word), self.pairs.get, self.byte
+        size, joins, first, byte = len(word), self.joins, self.first, self.byte
         ids = [byte[b] for b in word]
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         # Rank of the pair that starts at each byte, -1 for none; the last byte starts none.
-        live = [rank_of(a << 16 | b, -1) for a, b in zip(ids, ids[1:], strict=False)]
-        live.append(-1)
+        live = [first[a][b] for a, b in zip(word, word[1:], strict=False)]
         heap = [rank * size + at for at, rank in enumerate(live) if rank >= 0]
-        heapq.heapify(heap)
+        live.append(-1)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heapify(heap)
         while heap:
-            rank, at = divmod(heapq.heappop(heap), size)
+            top = heappop(heap)
+            rank = top // size
+            at = top - rank * size
             # A pair one of whose sides has been merged since is out of date.
             if live[at] != rank:
                 continue
-            gone, wider = after[at], -1
-            ids[at], ids[gone], live[gone] = rank, -1, -1
+            gone = after[at]
+            ids[at] = rank
+            ids[gone] = live[gone] = wider = -1
             after[at] = right = after[gone]
             if right < size:
                 before[right] = at
-                wider = rank_of(rank << 16 | ids[right], -1)
+                wider = joins[rank].get(ids[right], -1)
                 if wider >= 0:
-                    heapq.heappush(heap, wider * size + at)
+                    heappush(heap, wider * size + at)
             live[at] = wider
             left = before[at]
             if left >= 0:
-                live[left] = wider = rank_of(ids[left] << 16 | rank, -1)
+                live[left] = wider = joins[ids[left]].get(rank, -1)
                 if wider >= 0:
-                    heapq.heappush(heap, wider * size + left)
+                    heappush(heap, wider * size + left)
         return [i for i in ids if i >= 0]
 
     def _merged(self, word: bytes) -> bytes:
