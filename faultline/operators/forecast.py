@@ -7,62 +7,52 @@ of incidents.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import schema as S
-from faultline.operators.quality import ContractError, require_clean, require_continuous
+from faultline.operators import linear, refit
+from faultline.operators.bands import band_limits
+from faultline.operators.quality import require_clean, require_continuous
 from faultline.operators.series import baseline_features, complete_rows, naive_forecasts
+from faultline.session import materialise
 
 HOLDOUT_DAYS = 60
-RIDGE_PENALTY = 5.0
-POISSON_PENALTY = 1e-4
 # Candidates from simple to complex, and the tolerance in which
 # the simpler one wins.
 COMPLEXITY_ORDER = ["naive7", "media7", "ultimo", "ridge", "poisson_off", "gbt"]
 NAIVE = COMPLEXITY_ORDER[:3]
 TOLERANCE = 0.05
-# Band target, burn-in and residual window in days, daily step
-# and limits of the adaptive level.
-BAND_ALPHA, BAND_BURN, BAND_WINDOW, BAND_STEP, BAND_LIMITS = 0.20, 28, 60, 0.03, (0.01, 0.60)
 
 
 # --- Baseline: least squares on seven features -------------------------------
 
 
-def _moment_names(size: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(size) for j in range(i, size)]
-
-
 def least_squares(rows: DataFrame, key: str, names: list[str], target: str) -> DataFrame:
     """Coefficients per key, intercept first.
 
-    Spark sums the products of every pair of columns; what is left per key is
-    one small symmetric system.
+    Spark sums the products of every pair of columns; what is left per key is one small
+    symmetric system. A column that is a combination of those before it gets zero.
     """
     columns = [F.lit(1.0), *[F.col(n).cast("double") for n in names]]
-    pairs = _moment_names(len(columns))
-    moments = rows.groupBy(key).agg(
-        F.array(*[F.sum(columns[i] * columns[j]) for i, j in pairs]).alias("xx"),
-        F.array(*[F.sum(c * F.col(target)) for c in columns]).alias("xy"),
-    )
+    sums = linear.moment_sums(columns, F.col(target).cast("double"), F.lit(True), F.sum)
+    summed = rows.groupBy(key).agg(*[column.alias(name) for name, column in sums.items()])
     size = len(columns)
+    systems = summed.select(
+        key,
+        linear.matrix("s", size).alias("xx"),
+        linear.vector("sy", size).alias("xy"),
+        # Columns of unlike size are brought to one scale.
+        F.array(*[F.sqrt(F.greatest(F.col(f"s_{i}_{i}"), F.lit(1e-300))) for i in range(size)]).alias("scale"),
+    )
 
-    @F.pandas_udf("array<double>")
-    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-        solved = []
-        for left, right in zip(xx, xy, strict=True):
-            matrix = np.zeros((size, size))
-            for (i, j), value in zip(pairs, left, strict=True):
-                matrix[i, j] = matrix[j, i] = value
-            scale = np.sqrt(np.maximum(np.diag(matrix), 1e-300))
-            scaled = np.linalg.lstsq(matrix / np.outer(scale, scale), right / scale, rcond=None)
-            solved.append(scaled[0] / scale)
-        return pd.Series(solved)
+    def at(i: Column) -> Column:
+        return F.get("scale", i)
 
-    return moments.select(key, solve("xx", "xy").alias("coefficients"))
+    scaled = F.transform("xx", lambda row, i: F.transform(row, lambda v, j: v / at(i) / at(j)))
+    right = F.transform("xy", lambda v, i: v / at(i))
+    solved = systems.withColumn("solution", linear.solve(scaled, right))
+    return solved.select(key, F.transform("solution", lambda v, i: v / at(i)).alias("coefficients"))
 
 
 def _linear(names: list[str], coefficients: Column) -> Column:
@@ -196,217 +186,33 @@ def baseline_predictions(
 # --- Candidates and walk-forward ---------------------------------------------
 
 
-def _standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    deviation = x.std(axis=0)
-    return x.mean(axis=0), np.where(deviation > 0, deviation, 1.0)
-
-
-def _ridge(x: np.ndarray, y: np.ndarray, row: np.ndarray) -> float:
-    """Ridge on standardised columns."""
-    mean, deviation = _standardise(x)
-    z = (x - mean) / deviation
-    centred = y - y.mean()
-    system = z.T @ z + RIDGE_PENALTY * np.eye(z.shape[1])
-    beta = np.linalg.solve(system, z.T @ centred)
-    return float(y.mean() + ((row - mean) / deviation) @ beta)
-
-
-def _poisson(x: np.ndarray, rate: np.ndarray, weight: np.ndarray, row: np.ndarray) -> float:
-    """Log-linear rate with exposure weights, by Newton steps."""
-    mean, deviation = _standardise(x)
-    z = np.column_stack([np.ones(len(x)), (x - mean) / deviation])
-    weight = weight / weight.sum()
-    penalty = np.full(z.shape[1], POISSON_PENALTY)
-    penalty[0] = 0.0
-    beta = np.zeros(z.shape[1])
-    beta[0] = np.log(max(float(weight @ rate), 1e-12))
-    for _ in range(50):
-        mu = np.exp(np.clip(z @ beta, -30, 30))
-        slope = z.T @ (weight * (mu - rate)) + penalty * beta
-        curve = (z * (weight * mu)[:, None]).T @ z + np.diag(penalty + 1e-12)
-        move = np.linalg.solve(curve, slope)
-        beta -= move
-        if np.abs(move).max() < 1e-9:
-            break
-    at = np.concatenate([[1.0], (row - mean) / deviation])
-    return float(np.exp(np.clip(at @ beta, -30, 30)))
-
-
-def _predict(kind: str, past: pd.DataFrame, row: pd.Series) -> float:
-    """One learned prediction from all earlier days of the series."""
-    y = past["y"].to_numpy(float)
-    if len(y) == 0:
-        return 0.0
-    if (y == y[0]).all():
-        return float(y[0])
-    if kind == "ridge":
-        x, at = past[S.LEVEL_FEATURES].to_numpy(float), row[S.LEVEL_FEATURES].to_numpy(float)
-        return max(0.0, _ridge(x, y, at))
-    exposure = past["exp_roll7"].clip(lower=1e-6).to_numpy(float)
-    rate = y / exposure
-    if rate.sum() == 0:
-        return 0.0
-    x, at = past[S.RATE_FEATURES].to_numpy(float), row[S.RATE_FEATURES].to_numpy(float)
-    return max(0.0, _poisson(x, rate, exposure, at) * max(1e-6, float(row["exp_roll7"])))
-
-
-def _walk(series: pd.DataFrame, first: pd.Timestamp) -> pd.DataFrame:
-    """Refit every day on the days before it and predict the day."""
-    series = series.sort_values("day", ignore_index=True)
-    known = series[series["y"].notna()]
-    out = []
-    for index, row in series[pd.to_datetime(series["day"]) >= first].iterrows():
-        past = known[known["day"] < row["day"]]
-        for kind in ("ridge", "poisson_off"):
-            out.append((row["scope"], row["horizon"], row["day"], kind, _predict(kind, past, row)))
-    return pd.DataFrame(out, columns=["scope", "horizon", "day", "candidate", "predicted"])
-
-
-def learned_forecasts(features: DataFrame, first_day: str) -> DataFrame:
-    """Walk-forward ridge and Poisson predictions, future days included.
-
-    A group is one series: at most one row per calendar day.
-    """
-    first = pd.Timestamp(first_day)
-
-    def walk(series: pd.DataFrame) -> pd.DataFrame:
-        return _walk(series, first)
-
-    return (
-        complete_rows(features)
-        .groupBy("scope", "horizon")
-        .applyInPandas(
-            walk, "scope string, horizon string, day date, candidate string, predicted double"
-        )
-    )
-
-
-BOOST_BINS, BOOST_DEPTH, BOOST_LEAST, BOOST_RATE = 64, 3, 15, 0.08
-
-
-def _boosted(x: np.ndarray, y: np.ndarray, at: np.ndarray, trees: int) -> np.ndarray:
-    """Log-linear boosting of counts: each tree is a Newton step of the Poisson loss.
-
-    Columns are cut at quantiles once. A tree grows level by level; a level is one
-    histogram of all nodes and columns.
-    """
-    columns = x.shape[1]
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, BOOST_BINS + 1)[1:-1])) for c in x.T]
-    binned = np.stack([np.searchsorted(e, c) for e, c in zip(edges, x.T, strict=True)], 1)
-    asked = np.stack([np.searchsorted(e, c) for e, c in zip(edges, at.T, strict=True)], 1)
-    start = np.log(max(float(y.mean()), 1e-9))
-    seen, ahead = np.full(len(y), start), np.full(len(at), start)
-    for _ in range(trees):
-        rate = np.exp(np.clip(seen, -30, 30))
-        slope, curve = y - rate, rate
-        node, there = np.zeros(len(y), int), np.zeros(len(at), int)
-        for _ in range(BOOST_DEPTH):
-            nodes = 1 + int(max(node.max(initial=0), there.max(initial=0)))
-            cell = (np.arange(columns) * nodes + node[:, None]) * BOOST_BINS + binned
-            sums = [
-                np.bincount(
-                    cell.ravel(), np.repeat(w, columns), columns * nodes * BOOST_BINS
-                ).reshape(columns, nodes, BOOST_BINS).cumsum(2)
-                for w in (slope, curve, np.ones(len(y)))
-            ]
-            g, h, n = (s[:, :, :-1] for s in sums)
-            whole_g, whole_h, whole_n = (s[:, :, -1:] for s in sums)
-            gain = (
-                g**2 / (h + 1e-9)
-                + (whole_g - g) ** 2 / (whole_h - h + 1e-9)
-                - whole_g**2 / (whole_h + 1e-9)
-            )
-            gain[(n < BOOST_LEAST) | (whole_n - n < BOOST_LEAST)] = 0
-            flat = gain.transpose(1, 0, 2).reshape(nodes, -1)
-            best = flat.argmax(1)
-            column, cut = np.divmod(best, BOOST_BINS - 1)
-            column[flat[np.arange(nodes), best] <= 1e-12] = -1
-            for where, bins in ((node, binned), (there, asked)):
-                right = bins[np.arange(len(where)), column[where]] > cut[where]
-                where[:] = 2 * where + (right & (column[where] >= 0))
-        leaves = 1 + int(max(node.max(initial=0), there.max(initial=0)))
-        step = np.bincount(node, weights=slope, minlength=leaves) / (
-            np.bincount(node, weights=curve, minlength=leaves) + 1e-9
-        )
-        seen += BOOST_RATE * step[node]
-        ahead += BOOST_RATE * step[there]
-    return np.exp(np.clip(ahead, -30, 30))
-
-
-def boosted_forecasts(
+def candidate_forecasts(
     features: DataFrame,
     first_day: str,
-    trees: int = 250,
-    block_days: int = 8,
-    last_day: str | None = None,
-) -> DataFrame:
-    """Boosted trees over all series together, refitted each day on the days before it.
+    boosted_from: str | None = None,
+    poisson: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Predictions of every candidate as rows, with the actual value; and the stored fits.
 
-    ``last_day`` ends the evaluated days. Days are fitted in blocks of ``block_days``, a
-    task each; a block is handed the days up to its end, which the calendar bounds.
+    Each learned candidate is refitted for each day from ``first_day`` on; boosted trees only
+    from the day ``boosted_from`` on (None: not at all), which is what bounds their cost.
     """
-    names = ["scope_number", "horizon_days", *S.LEVEL_FEATURES]
-    scopes = F.array(*[F.lit(s) for s in S.FORECAST_SCOPES])
-    rows = complete_rows(features).withColumn(
-        "scope_number", F.array_position(scopes, F.col("scope")).cast("double")
-    )
-    number = F.floor(F.datediff("day", F.lit(first_day).cast("date")) / block_days)
-    end = rows.agg(F.max("day")).scalar() if last_day is None else F.lit(last_day).cast("date")
-    last = F.floor(F.datediff(end, F.lit(first_day).cast("date")) / block_days)
-    dealt = rows.where(F.col("day") <= end).withColumn(
-        "block",
-        F.explode(
-            F.when(last >= F.greatest(number, F.lit(0)), F.sequence(F.greatest(number, F.lit(0)), last))
-            .otherwise(F.array().cast("array<bigint>"))
-        ),
-    )
-    first = pd.Timestamp(first_day)
-
-    def fit(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["day", "scope", "horizon"], ignore_index=True)
-        day, out = pd.to_datetime(block["day"]), []
-        start = first + pd.Timedelta(days=int(key[0]) * block_days)
-        x, y = block[names].to_numpy(float), block["y"].to_numpy(float)
-        for one in sorted(set(day[day >= start])):
-            past, now = ((day < one) & block["y"].notna()).to_numpy(), (day == one).to_numpy()
-            if past.any():
-                value = _boosted(x[past], y[past], x[now], trees)
-            else:
-                value = np.zeros(now.sum())
-            out.append(block.loc[now, ["scope", "horizon", "day"]].assign(candidate="gbt", predicted=value))
-        return pd.concat(out)[list(KINDS)] if out else pd.DataFrame(columns=list(KINDS))
-
-    return (
-        dealt.select("block", "scope", "horizon", "day", "y", *names)
-        .groupBy("block")
-        .applyInPandas(fit, ", ".join(f"{n} {k}" for n, k in KINDS.items()))
-    )
-
-
-KINDS = {
-    "scope": "string",
-    "horizon": "string",
-    "day": "date",
-    "candidate": "string",
-    "predicted": "double",
-}
-
-
-def candidate_forecasts(features: DataFrame, first_day: str, boosted: bool = True) -> DataFrame:
-    """Predictions of every candidate as rows, with the actual value."""
     complete = complete_rows(features).where(F.col("day") >= F.lit(first_day).cast("date"))
-    simple = naive_forecasts(complete).unpivot(
+    every = naive_forecasts(complete).unpivot(
         ["scope", "horizon", "day"], NAIVE, "candidate", "predicted"
     )
-    learned = learned_forecasts(features, first_day)
-    every = simple.unionByName(learned)
-    if boosted:
-        every = every.unionByName(boosted_forecasts(features, first_day))
+    fits = refit.ridge_parameters(refit.ridge_moments(features, first_day))
+    if poisson:
+        fits = fits.unionByName(refit.poisson_parameters(features, first_day))
+    fits = materialise(fits)
+    every = every.unionByName(refit.predict_fits(features, fits))
+    if boosted_from is not None:
+        every = every.unionByName(refit.boosted_forecasts(features, boosted_from))
     actual = complete.select("scope", "horizon", "day", "y")
-    return every.join(actual, ["scope", "horizon", "day"])
+    return every.join(actual, ["scope", "horizon", "day"]), fits
 
 
-# --- Selection, metrics and bands --------------------------------------------
+# --- Selection and metrics ---------------------------------------------------
 
 
 def occam_select(forecasts: DataFrame, selection_end: str, tolerance: float = TOLERANCE) -> DataFrame:
@@ -482,73 +288,6 @@ def block_skill(forecasts: DataFrame, first_day: str, candidate: str, blocks: in
     )
 
 
-def scale(value: Column) -> Column:
-    return F.greatest(F.sqrt(F.greatest(value, F.lit(0.0))), F.lit(1.0))
-
-
-def _bands(series: pd.DataFrame) -> pd.DataFrame:
-    """Adaptive conformal band of one series: tomorrow's level depends on today's hit."""
-    series = series.sort_values("day", ignore_index=True)
-    actual = series["y"].to_numpy(float)
-    predicted = series["predicted"].to_numpy(float)
-    spread = np.maximum(1.0, np.sqrt(np.maximum(predicted, 0.0)))
-    residuals = (actual - predicted) / spread
-    low, high = np.full(len(series), np.nan), np.full(len(series), np.nan)
-    level, q_low, q_high = BAND_ALPHA, 0.0, 0.0
-    for day in range(BAND_BURN, len(series)):
-        if np.isfinite(actual[day - 1]):
-            recent = residuals[max(0, day - BAND_WINDOW) : day]
-            q_low, q_high = np.quantile(recent[np.isfinite(recent)], [level / 2, 1 - level / 2])
-        low[day] = max(0.0, predicted[day] + q_low * spread[day])
-        high[day] = predicted[day] + q_high * spread[day]
-        if np.isfinite(actual[day]):
-            missed = not low[day] <= actual[day] <= high[day]
-            level = float(np.clip(level + BAND_STEP * (BAND_ALPHA - missed), *BAND_LIMITS))
-    evaluated = np.isfinite(low)
-    if evaluated.any():
-        start = int(evaluated.argmax())
-        low[:start], high[:start] = low[start], high[start]
-    else:
-        low, high = predicted.copy(), predicted.copy()
-    return series.assign(
-        lower_bound=low, upper_bound=high, evaluated=evaluated, q_low=q_low, q_high=q_high
-    )
-
-
-BAND_SCHEMA = (
-    "scope string, horizon string, day date, candidate string, y double, predicted double, "
-    "lower_bound double, upper_bound double, evaluated boolean, q_low double, q_high double"
-)
-
-
-def conformal_bands(chosen: DataFrame) -> DataFrame:
-    """Bands of each series of (day, y, predicted); sequential within a series only."""
-    rows = chosen.where(F.col("y").isNotNull()).select(
-        "scope", "horizon", "day", "candidate", "y", "predicted"
-    )
-
-    def bands(series: pd.DataFrame) -> pd.DataFrame:
-        return _bands(series)
-
-    return rows.groupBy("scope", "horizon").applyInPandas(bands, BAND_SCHEMA)
-
-
-def coverage(bands: DataFrame, first_day: str) -> DataFrame:
-    """Share of evaluated days inside the band, and its mean width."""
-    rows = bands.where(F.col("evaluated") & (F.col("day") >= F.lit(first_day).cast("date")))
-    inside = F.col("y").between(F.col("lower_bound"), F.col("upper_bound"))
-    return rows.groupBy("scope", "horizon").agg(
-        F.count(F.lit(1)).alias("days"),
-        F.avg(inside.cast("int")).alias("coverage"),
-        F.avg(F.col("upper_bound") - F.col("lower_bound")).alias("mean_width"),
-    )
-
-
-def band_limits(predicted: Column, q_low: Column, q_high: Column) -> tuple[Column, Column]:
-    lower = F.greatest(predicted + q_low * scale(predicted), F.lit(0.0))
-    return lower, F.greatest(predicted + q_high * scale(predicted), lower)
-
-
 def chosen_forecasts(forecasts: DataFrame, selection: DataFrame) -> DataFrame:
     return forecasts.join(selection.drop("selection_mae"), ["scope", "horizon", "candidate"])
 
@@ -620,21 +359,6 @@ def backtest_mae(rows: DataFrame) -> DataFrame:
     )
 
 
-def parity_check(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Forecast rows that differ between two runs, counted in both directions."""
-    names = [n for n in left.columns if n != "generated_at"]
-    one, two = left.select(*names), right.select(*names)
-    return one.exceptAll(two).agg(F.count(F.lit(1)).alias("only_left")).select(
-        "only_left", two.exceptAll(one).agg(F.count(F.lit(1))).scalar().alias("only_right")
-    )
-
-
-def require_parity(left: DataFrame, right: DataFrame) -> None:
-    row = parity_check(left, right).first()
-    if row["only_left"] or row["only_right"]:
-        raise ContractError(f"Forecasts differ: {row.asDict()}")
-
-
 def require_predictions(predictions: DataFrame) -> None:
     from faultline.operators.quality import prediction_contract
 

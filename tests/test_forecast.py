@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from faultline import schema as S
 from faultline.functions.calendars import black_friday, easter_sunday, is_holiday
-from faultline.operators import forecast, quality, series
+from faultline.operators import bands, bundle, forecast, linear, quality, refit, series
+from faultline.session import materialise
 
 RNG = np.random.default_rng(17)
 START = date(2025, 1, 1)
@@ -120,43 +121,95 @@ def test_baseline_meets_the_contract(volume):
     forecast.require_predictions(out)
 
 
-def test_ridge_on_standardised_columns():
-    x, y = RNG.normal(size=(80, 4)) * [1, 10, 100, 0], RNG.normal(size=80)
-    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    beta = np.linalg.solve(z.T @ z + 5 * np.eye(4), z.T @ (y - y.mean()))
-    assert forecast._ridge(x, y, x[3]) == pytest.approx(y.mean() + z[3] @ beta)
+def numpy_ridge(x, y, row):
+    deviation = x.std(0)
+    z = (x - x.mean(0)) / np.where(deviation > 0, deviation, 1)
+    beta = np.linalg.solve(z.T @ z + 5 * np.eye(z.shape[1]), z.T @ (y - y.mean()))
+    return y.mean() + ((row - x.mean(0)) / np.where(deviation > 0, deviation, 1)) @ beta
 
 
-def test_poisson_fit_zeroes_the_gradient():
-    x = RNG.normal(size=(300, 2))
-    weight = RNG.random(300) + 0.5
-    rate = RNG.poisson(np.exp(0.3 + 0.5 * x[:, 0])).astype(float)
-    at_zero = forecast._poisson(x, rate, weight, x.mean(0))
-    up = forecast._poisson(x, rate, weight, x.mean(0) + [1, 0])
-    assert np.log(up / at_zero) == pytest.approx(0.5, abs=0.15)
-    fitted = np.array([forecast._poisson(x, rate, weight, row) for row in x])
-    assert (weight * fitted).sum() == pytest.approx((weight * rate).sum(), rel=1e-6)
+def numpy_poisson(x, rate, weight, row):
+    mean, deviation = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / deviation])
+    weight, penalty = weight / weight.sum(), np.r_[0, np.full(x.shape[1], 1e-4)]
+    beta = np.r_[np.log(weight @ rate), np.zeros(x.shape[1])]
+    for _ in range(60):
+        mu = np.exp(z @ beta)
+        curve = (z * (weight * mu)[:, None]).T @ z + np.diag(penalty + 1e-12)
+        beta -= np.linalg.solve(curve, z.T @ (weight * (mu - rate)) + penalty * beta)
+    return np.exp(np.r_[1, (row - mean) / deviation] @ beta)
 
 
-def test_walk_forward_reads_only_the_past(incidents):
-    frame = series.feature_frame(series.series_context(incidents, "2025-01-01"))
-    one = frame.where("scope = 'P2' AND horizon = 'D+1'")
-    cut = START + timedelta(days=100)
-    full = rows(forecast.learned_forecasts(one, "2025-03-15").where(F.col("day") <= F.lit(cut)), "day", "candidate")
-    short = rows(
-        forecast.learned_forecasts(one.where(F.col("day") <= F.lit(cut)), "2025-03-15"), "day", "candidate"
-    )
-    assert full == short and len(full) > 20
+@pytest.fixture(scope="module")
+def features(spark, incidents):
+    return materialise(series.feature_frame(series.series_context(incidents, "2025-01-01")))
 
 
-def test_forecast_end_to_end(incidents):
-    frame = series.feature_frame(series.series_context(incidents, "2025-01-01"))
-    every = forecast.candidate_forecasts(frame, "2025-03-15")
+def test_fits_equal_separate_refits(features):
+    first = "2025-04-10"
+    ridge = refit.ridge_parameters(refit.ridge_moments(features, first))
+    poisson = refit.poisson_parameters(features, first)
+    got = {
+        (r["scope"], r["horizon"], r["day"], r["candidate"]): r["predicted"]
+        for r in refit.predict_fits(features, ridge.unionByName(poisson)).collect()
+    }
+    complete = series.complete_rows(features).toPandas()
+    checked = 0
+    for (scope, horizon), one in complete.groupby(["scope", "horizon"]):
+        one = one.sort_values("day")
+        for day in [d for d in one["day"] if d >= date.fromisoformat(first)][::9]:
+            past = one[(one["day"] < day) & one["y"].notna()]
+            row, y = one[one["day"] == day].iloc[0], past["y"].to_numpy(float)
+            if (y == y[0]).all():
+                expected = [y[0], y[0]]
+            else:
+                exposure = past["exp_roll7"].clip(lower=1e-6).to_numpy(float)
+                expected = [
+                    max(0, numpy_ridge(past[S.LEVEL_FEATURES].to_numpy(float), y, row[S.LEVEL_FEATURES].to_numpy(float))),
+                    numpy_poisson(past[S.RATE_FEATURES].to_numpy(float), y / exposure, exposure,
+                                  row[S.RATE_FEATURES].to_numpy(float)) * row["exp_roll7"],
+                ]
+            for kind, value in zip(("ridge", "poisson_off"), expected):
+                assert got[scope, horizon, day, kind] == pytest.approx(value, abs=1e-8)
+                checked += 1
+    assert checked > 100
+
+
+def test_system_with_vanishing_pivots(spark):
+    frame = spark.createDataFrame(
+        [([[4.0, 2.0, 0.0], [2.0, 1.0, 0.0], [0.0, 0.0, 0.0]], [2.0, 1.0, 0.0]),
+         ([[2.0, 1.0, 0.0], [1.0, 3.0, 1.0], [0.0, 1.0, 4.0]], [1.0, 2.0, 3.0])],
+        "a array<array<double>>, b array<double>",
+    )
+    got = [r[0] for r in frame.select(linear.solve(F.col("a"), F.col("b"))).collect()]
+    assert got[0] == [0.5, 0.0, 0.0]
+    expected = np.linalg.solve([[2, 1, 0], [1, 3, 1], [0, 1, 4]], [1, 2, 3])
+    assert np.allclose(got[1], expected)
+
+
+def test_walk_forward_reads_only_the_past(features):
+    one = features.where("scope = 'P2' AND horizon = 'D+1'")
+    cut = F.col("day") <= F.lit(START + timedelta(days=100))
+
+    def learned(frame):
+        ridge = refit.ridge_parameters(refit.ridge_moments(frame, "2025-03-15"))
+        fits = ridge.unionByName(refit.poisson_parameters(frame, "2025-03-15"))
+        return rows(refit.predict_fits(frame, fits).where(cut), "day", "candidate")
+
+    full, short = learned(one), learned(one.where(cut))
+    assert [r[:4] for r in full] == [r[:4] for r in short] and len(full) > 20
+    assert np.allclose([r[4] for r in full], [r[4] for r in short], atol=1e-9)
+
+
+def test_forecast_end_to_end(features):
+    every, fits = forecast.candidate_forecasts(features, "2025-03-15")
+    every = materialise(every)
     selection = forecast.occam_select(every, "2025-04-30")
     assert selection.count() == 12
-    chosen = forecast.chosen_forecasts(every, selection)
-    bands = forecast.conformal_bands(chosen)
-    out = forecast.publish_predictions(chosen, bands, frame, F.lit("2026-01-01").cast("timestamp"), "v")
+    chosen = materialise(forecast.chosen_forecasts(every, selection))
+    banded = materialise(bands.conformal_bands(chosen))
+    generated = F.lit("2026-01-01").cast("timestamp")
+    out = forecast.publish_predictions(chosen, banded, features, generated, "v")
     got = out.collect()
     assert len(got) == 12
     assert {r["reference_date"] for r in got} == {
@@ -165,30 +218,43 @@ def test_forecast_end_to_end(incidents):
     forecast.require_predictions(out)
     constant = [r for r in got if r["priority_scope"] == "P1"]
     assert all(r["predicted_incident_count"] == 0 for r in constant)
-
-
-def test_boosted_counts_follow_a_step():
-    rng = np.random.default_rng(1)
-    x = rng.random((600, 3))
-    y = rng.poisson(np.where(x[:, 1] > 0.5, 20, 4))
-    at = np.array([[0.5, 0.9, 0.5], [0.5, 0.1, 0.5]])
-    high, low = forecast._boosted(x, y.astype(float), at, 250)
-    assert 15 < high < 25 and 2 < low < 7
-    assert np.allclose(forecast._boosted(x, np.full(600, 3.0), at, 5), 3)
-
-
-def test_boosted_forecasts_read_only_the_past(incidents):
-    features = series.feature_frame(series.series_context(incidents, "2025-01-01"))
-    first = features.agg(F.date_sub(F.max("day"), 5)).first()[0].isoformat()
-    whole = forecast.boosted_forecasts(features, first, trees=5, block_days=2)
-    days = [r[0] for r in whole.select("day").distinct().orderBy("day").collect()]
-    assert len(days) >= 4
-    cut = F.lit(days[1]).cast("date")
+    for kind in ("chosen", "ridge", "poisson_off"):
+        picked = selection if kind == "chosen" else (
+            every.where(F.col("candidate") == kind).groupBy("scope", "horizon", "candidate").agg(F.lit(0.0).alias("selection_mae"))
+        )
+        mine = forecast.chosen_forecasts(every, picked)
+        mine_banded = materialise(bands.conformal_bands(mine))
+        stored = materialise(bundle.build_bundle(picked, fits, mine_banded, "v"))
+        assert stored.select(*[c.split(" ")[0] for c in bundle.BUNDLE_SCHEMA.split(", ")]).count() == 12
+        bundle.require_bundle(features, stored)
+        published = forecast.publish_predictions(mine, mine_banded, features, generated, "v")
+        predicted = bundle.predict_volume(features, stored, generated)
+        bundle.require_parity(predicted, published)
+        if kind == "ridge":
+            moved = stored.withColumn("intercept", F.when((F.col("scope") == "P3") & (F.col("horizon") == "D+7"), F.col("intercept") + 0.5).otherwise(F.col("intercept")))
+            found = bundle.forecast_differences(bundle.predict_volume(features, moved, generated), published)
+            assert found.first().asDict() == {"only_left": 0, "only_right": 0, "differing": 1}
+            fewer = predicted.where("priority_scope <> 'P2'")
+            assert bundle.forecast_differences(fewer, published).first()["only_right"] == 2
+            assert bundle.forecast_differences(published, fewer).first()["only_left"] == 2
+            with pytest.raises(quality.ContractError):
+                bundle.require_parity(fewer, published)
+            with pytest.raises(quality.ContractError, match="without_one_component"):
+                bundle.require_bundle(features, stored.where("scope <> 'P2'"))
+
+
+def test_trees_follow_a_step_and_read_only_the_past(features):
+    first = features.agg(F.date_sub(F.max("day"), 9)).first()[0]
+    whole = refit.boosted_forecasts(features, first.isoformat(), trees=3)
+    cut = F.lit(first).cast("date")
     blind = features.withColumn("y", F.when(F.col("day") <= cut, F.col("y")))
-    early = forecast.boosted_forecasts(blind, first, trees=5, block_days=2, last_day=days[1].isoformat())
-    assert rows(early, "scope", "horizon", "day") == rows(
-        whole.where(F.col("day") <= cut), "scope", "horizon", "day"
+    early = refit.boosted_forecasts(blind, first.isoformat(), trees=3)
+    assert rows(early.where(F.col("day") == cut), "scope", "horizon") == rows(
+        whole.where(F.col("day") == cut), "scope", "horizon"
     )
+    assert {r[0] for r in whole.select("candidate").distinct().collect()} == {"gbt"}
+    level = {r["scope"]: r["m"] for r in whole.groupBy("scope").agg(F.avg("predicted").alias("m")).collect()}
+    assert level["ALL"] > level["P2"] > level["P1"] - 1e-9
 
 
 def test_occam_prefers_the_simpler(spark):
@@ -200,19 +266,58 @@ def test_occam_prefers_the_simpler(spark):
     assert forecast.occam_select(frame, "2025-12-31").first()["candidate"] == "media7"
 
 
-def test_bands_adapt_day_by_day():
-    n = 90
-    y = RNG.poisson(30, n).astype(float)
-    frame = pd.DataFrame({"day": pd.date_range("2025-01-01", periods=n), "y": y, "predicted": 30.0})
-    got = forecast._bands(frame)
-    level, residuals = 0.2, (y - 30) / np.sqrt(30)
-    for day in range(28, n):
-        low, high = np.quantile(residuals[max(0, day - 60):day], [level / 2, 1 - level / 2])
-        low, high = max(0, 30 + low * np.sqrt(30)), 30 + high * np.sqrt(30)
-        assert got["lower_bound"][day] == pytest.approx(low)
-        assert got["upper_bound"][day] == pytest.approx(high)
-        level = np.clip(level + 0.03 * (0.2 - (not low <= y[day] <= high)), 0.01, 0.60)
-    assert (got["lower_bound"][:28] == got["lower_bound"][28]).all()
+def banded_series(spark):
+    n, rng = 130, np.random.default_rng(3)
+    y = {"D+1": rng.poisson(30, n).astype(float), "D+7": rng.poisson(3, n).astype(float)}
+    predicted = {"D+1": np.full(n, 30.0), "D+7": rng.random(n) * 5}
+    data = [
+        ("ALL", h, START + timedelta(days=i), "c", float(y[h][i]), float(predicted[h][i])) for h in y for i in range(n)
+    ]
+    frame = spark.createDataFrame(data, "scope string, horizon string, day date, candidate string, y double, predicted double")
+    return frame, y, predicted
+
+
+def test_bands_adapt_day_by_day(spark):
+    frame, ys, predictions = banded_series(spark)
+    short = frame.where(F.col("day") < F.lit(START + timedelta(days=20))).withColumn("scope", F.lit("P1"))
+    got = bands.conformal_bands(frame.union(short)).toPandas().sort_values("day")
+    for horizon, y in ys.items():
+        p = predictions[horizon]
+        one = got[(got["scope"] == "ALL") & (got["horizon"] == horizon)].reset_index(drop=True)
+        spread = np.maximum(1, np.sqrt(p))
+        level, residuals = 0.2, (y - p) / spread
+        for day in range(28, len(y)):
+            low, high = np.quantile(residuals[max(0, day - 60):day], [level / 2, 1 - level / 2])
+            low, high = max(0, p[day] + low * spread[day]), p[day] + high * spread[day]
+            assert one["lower_bound"][day] == pytest.approx(low)
+            assert one["upper_bound"][day] == pytest.approx(high)
+            level = np.clip(level + 0.03 * (0.2 - (not low <= y[day] <= high)), 0.01, 0.60)
+        assert (one["lower_bound"][:28] == one["lower_bound"][28]).all()
+        assert not one["evaluated"][:28].any() and one["evaluated"][28:].all()
+    burn = got[got["scope"] == "P1"]
+    assert len(burn) == 40 and (burn["lower_bound"] == burn["predicted"]).all()
+
+
+@pytest.mark.parametrize("cuts", [[10, 40, 41], [64], [100, 129]])
+def test_bands_advance_from_their_state(spark, cuts):
+    frame, _, _ = banded_series(spark)
+    full = bands.conformal_bands(frame)
+    at_day = [F.lit(START + timedelta(days=c)) for c in cuts]
+    states = materialise(bands.band_states(frame.where(F.col("day") < at_day[0])))
+    parts = []
+    for after in [*at_day[1:], F.lit(START + timedelta(days=999))]:
+        # A batch may repeat days that the state has seen.
+        part, states = bands.advance_bands(states, frame.where(F.col("day") < after))
+        states = materialise(states)
+        parts.append(part)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    key = ["horizon", "day"]
+    mine = every.where("lower_bound IS NOT NULL").select(*key, "lower_bound", "upper_bound")
+    whole = full.where(F.col("evaluated") & (F.col("day") >= at_day[0])).select(*key, "lower_bound", "upper_bound")
+    assert rows(mine, *key) == rows(whole, *key)
+    assert rows(states, "horizon") == rows(bands.band_states(frame).select(*states.columns), "horizon")
 
 
 ROW = dict(reference_date=date(2026, 1, 1), generated_at=at("2026-08-30T12:00:00"), horizon="D+1",

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from faultline import schema as S
 from faultline.functions.calendars import calendar_features
-from faultline.operators import forecast, gold, quality, serving, series
+from faultline.operators import bands, bundle, forecast, gold, quality, refit, serving, series
 from faultline.session import materialise, scratch_path
 from faultline.sources import sinks
 from workload.tables import Tables
 
-# The series and the fits start with the data.
+# The series and the fits start with the data; FIRST bounds the days that are evaluated, and
+# BOOSTED_FROM those on which trees are fitted anew (one fit a day, and one for all days ahead).
 START, FIRST, SELECTION_END, REPORT = "1995-01-01", "2001-04-01", "2001-05-31", "2001-06-01"
+BOOSTED_FROM = "2001-08-01"
+#: Last day of the stored band states that ``advanced_bands`` starts from.
+STORED_UNTIL = "2001-07-01"
 GENERATED_AT = "2026-01-01 00:00:00"
 VERSION = "volume-check"
 
@@ -60,40 +64,95 @@ def baseline_coefficients(t: Tables) -> DataFrame:
     return fitted.select("priority_scope", F.posexplode("coefficients").alias("place", "value"))
 
 
-def full_run(t: Tables) -> tuple[DataFrame, ...]:
+def learned(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features, candidates that SQL can repeat (naive and ridge), and the ridge fits; stored."""
     rows = stored_features(t)
-    candidates = materialise(forecast.candidate_forecasts(rows, FIRST))
-    selection = forecast.occam_select(candidates, SELECTION_END)
-    chosen = forecast.chosen_forecasts(candidates, selection)
-    bands = materialise(forecast.conformal_bands(chosen))
-    published = forecast.publish_predictions(chosen, bands, rows, generated(), VERSION)
-    return rows, candidates, selection, bands, published
+    candidates, fits = forecast.candidate_forecasts(rows, FIRST, poisson=False)
+    return rows, materialise(candidates), fits
+
+
+def stored_bundle(t: Tables, selection, candidates, fits) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Choose, compute bands, publish the bundle and read it back."""
+    chosen = materialise(forecast.chosen_forecasts(candidates, selection))
+    banded = materialise(bands.conformal_bands(chosen))
+    root = scratch_path(t.spark, "bundles")
+    made = bundle.build_bundle(selection, fits, banded, VERSION)
+    sinks.publish_version(made.drop("model_version"), root, VERSION, "train")
+    return sinks.read_current(t.spark, root), chosen, banded
+
+
+def only_ridge(candidates: DataFrame) -> DataFrame:
+    return candidates.where("candidate = 'ridge'").groupBy("scope", "horizon", "candidate").agg(
+        F.lit(0.0).alias("selection_mae")
+    )
+
+
+def ridge_rows(t: Tables) -> DataFrame:
+    rows = stored_features(t)
+    fits = refit.ridge_parameters(refit.ridge_moments(rows, FIRST))
+    return refit.predict_fits(rows, fits)
 
 
 def walk_forward(t: Tables) -> DataFrame:
-    return forecast.learned_forecasts(stored_features(t), FIRST)
+    rows = stored_features(t)
+    ridge = refit.ridge_parameters(refit.ridge_moments(rows, FIRST))
+    fits = materialise(ridge.unionByName(refit.poisson_parameters(rows, FIRST)))
+    return refit.predict_fits(rows, fits)
+
+
+def volume_bundle(t: Tables) -> DataFrame:
+    _, candidates, fits = learned(t)
+    stored, _, _ = stored_bundle(t, only_ridge(candidates), candidates, fits)
+    return stored.select(
+        "scope", "horizon", "candidate", "until", "kind", "intercept", "q_low", "q_high",
+        F.posexplode("coefficients").alias("place", "coefficient"),
+    )
 
 
 def volume_forecast(t: Tables) -> DataFrame:
-    published = materialise(full_run(t)[4])
+    """Twelve rows from the stored bundle; the fits are only read."""
+    rows, candidates, fits = learned(t)
+    selection = materialise(forecast.occam_select(candidates, SELECTION_END))
+    stored, _, _ = stored_bundle(t, selection, candidates, fits)
+    bundle.require_bundle(rows, stored)
+    published = materialise(bundle.predict_volume(rows, stored, generated()))
     forecast.require_predictions(published)
     return published
 
 
-def forecast_parity(t: Tables) -> DataFrame:
-    """The published rows against a second run that publishes and reads them back."""
-    root = scratch_path(t.spark, "forecasts")
-    sinks.publish_version(full_run(t)[4].drop("model_version"), root, VERSION, "parity")
-    return forecast.parity_check(full_run(t)[4], sinks.read_current(t.spark, root))
+def parity(t: Tables, changed: bool) -> DataFrame:
+    """Prediction from the stored parameters against the last days of the walk-forward."""
+    rows, candidates, fits = learned(t)
+    stored, chosen, banded = stored_bundle(t, only_ridge(candidates), candidates, fits)
+    if changed:
+        last = len(S.LEVEL_FEATURES) - len(S.CALENDAR_FEATURES)
+        hit = (F.col("scope") == "ALL") & (F.col("horizon") == "D+1")
+        moved = F.transform("coefficients", lambda c, i: F.when(i < last, c + 1).otherwise(c))
+        stored = stored.withColumn("coefficients", F.when(hit, moved).otherwise(F.col("coefficients")))
+    published = forecast.publish_predictions(chosen, banded, rows, generated(), VERSION)
+    return bundle.forecast_differences(bundle.predict_volume(rows, stored, generated()), published)
+
+
+def boosted_rows(t: Tables) -> DataFrame:
+    """All candidates on the days from which trees are fitted."""
+    rows = stored_features(t)
+    return forecast.candidate_forecasts(rows, BOOSTED_FROM, BOOSTED_FROM)[0]
 
 
-def boosted_metrics(t: Tables) -> DataFrame:
-    candidates = full_run(t)[1]
-    return forecast.forecast_metrics(candidates, REPORT)
+def naive_chosen(t: Tables) -> DataFrame:
+    rows = materialise(naive_rows(t))
+    return forecast.chosen_forecasts(rows, forecast.occam_select(rows, SELECTION_END))
 
 
-def bands(t: Tables) -> DataFrame:
-    return full_run(t)[3]
+def advanced_bands(t: Tables) -> DataFrame:
+    """Bands of the days after the stored states, a week at a time."""
+    chosen = materialise(naive_chosen(t))
+    cut = F.lit(STORED_UNTIL).cast("date")
+    states = materialise(bands.band_states(chosen.where(F.col("day") <= cut)))
+    arrived = chosen.where((F.col("day") > cut) & F.col("y").isNotNull())
+    first, states = bands.advance_bands(states, arrived.where(F.col("day") <= F.date_add(cut, 7)))
+    rest, _ = bands.advance_bands(materialise(states), arrived)
+    return first.unionByName(rest)
 
 
 def daily_predictions(t: Tables) -> DataFrame:
@@ -163,10 +222,14 @@ QUERIES = {
     "baseline_coefficients": baseline_coefficients,
     "baseline_evaluation": lambda t: forecast.baseline_evaluation(volume(t)),
     "baseline_forecast": lambda t: forecast.baseline_predictions(volume(t), generated()),
+    "ridge_walk_forward": ridge_rows,
     "walk_forward": walk_forward,
-    "conformal_bands": bands,
-    "band_coverage": lambda t: forecast.coverage(full_run(t)[3], REPORT),
+    "conformal_bands": lambda t: bands.conformal_bands(naive_chosen(t)),
+    "band_coverage": lambda t: bands.coverage(bands.conformal_bands(naive_chosen(t)), REPORT),
+    "advanced_bands": advanced_bands,
+    "volume_bundle": volume_bundle,
     "volume_forecast": volume_forecast,
-    "forecast_parity": forecast_parity,
-    "boosted_metrics": boosted_metrics,
+    "forecast_parity": lambda t: parity(t, changed=False),
+    "forecast_parity_seeded": lambda t: parity(t, changed=True),
+    "boosted_metrics": lambda t: forecast.forecast_metrics(boosted_rows(t), BOOSTED_FROM),
 }

@@ -23,7 +23,9 @@ def sql(body: str, *needs: str) -> str:
         visit(name)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in ordered) + "\n" + body
+    # A subquery that reads itself makes the whole recursive.
+    recursive = any(f"FROM {n} " in CTES[n][0] for n in ordered)
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in ordered) + "\n" + body
 
 
 def stamp(column: str) -> str:
