@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +30,30 @@ END_ID = 0
 SMALL_VOCABULARY = 1 << 16
 
 
+def _narrow(values: int) -> str:
+    return "<u2" if values <= SMALL_VOCABULARY else "<u4"
+
+
 @dataclass(frozen=True)
 class Layout:
     """size: ids of a row; chunk: ids of a file; vocabulary: number of ids, which decides
-    between 16 and 32 bits."""
+    between 16 and 32 bits (None: that of the tokenizer's file)."""
 
     size: int = 1024
     chunk: int = 2_000_000
-    vocabulary: int = 50_257
+    vocabulary: int | None = None
+
+    def of(self, tokenizer: str) -> Layout:
+        """This layout with the vocabulary of a tokenizer's file."""
+        return self if self.vocabulary else replace(self, vocabulary=bpe(tokenizer).size)
 
     @property
     def ids(self) -> str:
-        return "<u2" if self.vocabulary <= SMALL_VOCABULARY else "<u4"
+        return _narrow(self.vocabulary)
+
+    @property
+    def positions(self) -> str:
+        return _narrow(self.size)
 
 
 class CapacityTree:
@@ -96,7 +108,7 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[tuple[int, int]]:
 
 PIECES = (
     "doc_id long, start long, length long, doc_tokens long, file string, row long, offset long, "
-    "segment long, rows long"
+    "segment long, rows long, written_crc32 long"
 )
 _ARROW = {"long": pa.int64(), "string": pa.string()}
 
@@ -110,10 +122,21 @@ def _write(pieces: list[tuple], folder: str, layout: Layout) -> list[tuple]:
     placed = best_fit_decreasing([len(p[2]) // 4 for p in pieces], layout.size)
     rows = max(row for row, _ in placed) + 1
     ids = np.zeros((rows, layout.size), layout.ids)
-    positions = np.zeros((rows, layout.size), "<u4")
     ordered = sorted(range(len(pieces)), key=placed.__getitem__)
     base, told, lengths, starts, segment = files.fresh_name(folder, "packed", ""), [], [], [0], 0
     row_before = 0
+    flat = np.frombuffer(b"".join(pieces[i][2] for i in ordered), "<u4")
+    if len(flat) and flat.max() >= layout.vocabulary:
+        raise ValueError(f"id {flat.max()} is not below the vocabulary of {layout.vocabulary}")
+    # Rows are filled from their start, so each one's pieces lie end to end.
+    sizes = np.array([len(pieces[i][2]) // 4 for i in ordered])
+    begins = np.array([placed[i][0] * layout.size + placed[i][1] for i in ordered])
+    before = np.cumsum(sizes) - sizes
+    counted = np.arange(len(flat)) - np.repeat(before, sizes)
+    places = np.repeat(begins, sizes) + counted
+    ids.reshape(-1)[places] = flat
+    positions = np.zeros((rows, layout.size), layout.positions)
+    positions.reshape(-1)[places] = counted
     for i in ordered:
         doc_id, start, raw, total = pieces[i]
         row, offset = placed[i]
@@ -121,10 +144,8 @@ def _write(pieces: list[tuple], folder: str, layout: Layout) -> list[tuple]:
             starts.append(len(lengths))
             row_before, segment = row, 0
         length = len(raw) // 4
-        ids[row, offset : offset + length] = np.frombuffer(raw, "<u4")
-        positions[row, offset : offset + length] = np.arange(length)
         lengths.append(offset + length)
-        told.append((doc_id, start, length, total, base, row, offset, segment, rows))
+        told.append((doc_id, start, length, total, base, row, offset, segment, rows, zlib.crc32(raw)))
         segment += 1
     starts.append(len(lengths))
     header = np.array([rows, len(lengths)], "<u4")
@@ -145,7 +166,7 @@ def write_packed(docs: DataFrame, tokenizer: str, folder: str, layout: Layout |
     hold rows, segments, the first segment of each row and one past the last, and where
     each segment ends in its row.
     """
-    layout = layout or Layout()
+    layout = (layout or Layout()).of(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = bpe(tokenizer).encode, END_ID.to_bytes(4, "little")
@@ -183,7 +204,7 @@ class PackedFile:
     def __init__(self, base: str, layout: Layout):
         ids, lengths, positions = (zlib.decompress(files.Reader().whole(n)) for n in _names(base))
         self.ids = np.frombuffer(ids, layout.ids).reshape(-1, layout.size)
-        self.positions = np.frombuffer(positions, "<u4").reshape(-1, layout.size)
+        self.positions = np.frombuffer(positions, layout.positions).reshape(-1, layout.size)
         numbers = np.frombuffer(lengths, "<u4")
         rows, segments = numbers[:2]
         self.starts, self.ends = numbers[2 : rows + 3], numbers[rows + 3 :]
@@ -199,10 +220,12 @@ class PackedFile:
         return begin, self.ids[row, begin:end]
 
 
-def read_packed(pieces: DataFrame, layout: Layout | None = None) -> DataFrame:
+def read_packed(pieces: DataFrame, layout: Layout) -> DataFrame:
     """Read the segments named by ``pieces`` from the files: PIECES with ``ids_crc32`` (of the
-    ids as little-endian 32-bit integers). Rows of one file lie together in ``pieces``."""
-    layout = layout or Layout()
+    ids as little-endian 32-bit integers). Rows of one file lie together in ``pieces``. Fails
+    if the ids differ from those that were to be written.
+
+    layout: as written, with its vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = files.Recent(lambda base: PackedFile(base, layout), 2)
@@ -214,6 +237,8 @@ def read_packed(pieces: DataFrame, layout: Layout | None = None) -> DataFrame:
                 checks.append(zlib.crc32(ids.astype("<u4").tobytes()))
             if not set(zip(offsets, batch["offset"].to_pylist(), strict=True)) <= {(o, o) for o in offsets}:
                 raise ValueError("a segment does not lie where it was put")
+            if checks != batch["written_crc32"].to_pylist():
+                raise ValueError("ids read back are not those that were written")
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(checks, pa.int64())], [*batch.schema.names, "ids_crc32"]
             )
@@ -230,5 +255,6 @@ def write_and_read(
     A null or empty text gives the single id 0. Null ids stay null, rows that repeat
     are written each, and an empty table gives no rows and no files.
     """
+    layout = (layout or Layout()).of(tokenizer)
     pieces = write_packed(docs, tokenizer, scratch_path(spark, "packed"), layout)
-    return read_packed(pieces, layout).drop("rows")
+    return read_packed(pieces, layout).drop("rows", "written_crc32")

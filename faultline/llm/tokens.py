@@ -41,6 +41,8 @@ class Bpe:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         pre, vocabulary = model["pre_tokenizer"], model["model"]["vocab"]
+        #: One more than the largest id.
+        self.size = 1 + max([*vocabulary.values(), *(t["id"] for t in model["added_tokens"])])
         self.special = [t["content"] for t in model["added_tokens"]]
         if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or model["normalizer"]:
             raise ValueError(f"{path} is no plain byte-level BPE file")

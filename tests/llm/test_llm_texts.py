@@ -119,6 +119,22 @@ def test_token_files_round_trip(spark, documents):
     assert tokenfiles.write_and_read(spark, documents([]), PATH).count() == 0
 
 
+def test_vocabulary_of_the_file_and_ids_that_do_not_fit(spark, documents, tmp_path):
+    assert tokenfiles.Layout().of(PATH).vocabulary == LIBRARY.get_vocab_size() == 50_257
+    assert tokenfiles.Layout(vocabulary=70_000).ids == "<u4" and tokenfiles.Layout(size=70_000).positions == "<u4"
+    ids = np.array([5, 60_000], "<u4").tobytes()
+    with pytest.raises(ValueError, match="60000"):
+        tokenfiles._write([(1, 0, ids, 2)], str(tmp_path), tokenfiles.Layout(vocabulary=50_257))
+    wide = np.array([69_999, 4464], "<u4").tobytes()
+    layout = tokenfiles.Layout(vocabulary=70_000)
+    told = tokenfiles._write([(1, 0, wide, 2)], str(tmp_path), layout)
+    _, got = tokenfiles.PackedFile(told[0][4], layout).segment(0, 0)
+    assert got.tolist() == [69_999, 4464]
+    pieces = spark.createDataFrame([(*told[0][:-1], 123)], tokenfiles.PIECES)
+    with pytest.raises(Exception, match="not those that were written"):
+        tokenfiles.read_packed(pieces, layout).collect()
+
+
 @given(st.lists(st.integers(1, 32), max_size=60))
 def test_best_fit_decreasing(lengths):
     placed = tokenfiles.best_fit_decreasing(lengths, 32)
