@@ -78,6 +78,8 @@ def grams(text: bytes) -> np.ndarray:
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE_BITS = 20
+#: Candidates verified side by side.
+CANDIDATES_AT_ONCE = 10_000
 
 
 class Index:
@@ -155,11 +157,14 @@ class Index:
         spread = int(band.max()) - lowest + 2
         slots = np.concatenate([owner * spread + (band - lowest), owner * spread + (band - lowest - 1)])
         # Each q-gram of an item counts once in a band.
-        code = np.unique(slots * self.span + np.tile(place, 2))
+        code = np.sort(slots * self.span + np.concatenate([place, place]))
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])]
         # Bands in which some stretch of a segment's length has enough of them.
         ahead = np.searchsorted(code, code + self.spec.segment - Q, "right") - np.arange(len(code))
         slots = code // self.span
         slots = np.unique(slots[ahead >= self.least[slots // spread]])
+        if not len(slots):
+            return []
         times = self.counts[slots // spread]
         offsets = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         part = np.repeat(self.heads[slots // spread], times) + offsets
@@ -172,7 +177,10 @@ class Index:
         w = 2 * self.most[slots // spread] + 2
         # Diagonals of the item become those of the segment.
         low = (slots % spread + lowest) * w + self.starts[part]
-        close = self._close(part, text, low, low + 2 * w - 1)
+        close = np.zeros(len(part), bool)
+        for at in range(0, len(part), CANDIDATES_AT_ONCE):
+            few = slice(at, at + CANDIDATES_AT_ONCE)
+            close[few] = self._close(part[few], text, low[few], low[few] + 2 * w[few] - 1)
         found = []
         for part, low, w in zip(part[close].tolist(), low[close].tolist(), w[close].tolist(), strict=True):
             best = self._align(part, text, low, low + 2 * w - 1)
@@ -195,16 +203,19 @@ class Index:
             head = np.frombuffer(self.parts[number][2][:64], np.uint8)
             np.bitwise_or.at(masks[row], head, one << np.arange(len(head), dtype=np.uint64))
         body = np.frombuffer(text, np.uint8)
+        steps = np.arange(int((end - begin).max()))
+        # The masks of all bytes that will be read, a row for each step.
+        seen = body[np.minimum(begin + steps[:, None], len(body) - 1)]
+        rows, inside = masks[lane, seen], begin + steps[:, None] < end
         top = one << (lengths - 1).astype(np.uint64)
         plus, minus = np.full(len(part), ~np.uint64(0)), np.zeros(len(part), np.uint64)
         score, best = lengths.copy(), lengths.copy()
-        for step in range(int((end - begin).max())):
-            at = begin + step
-            same = masks[lane, body[np.minimum(at, len(body) - 1)]]
+        for same, here in zip(rows, inside, strict=True):
             across = (((same & plus) + plus) ^ plus) | same
             up, down = minus | ~(across | plus), plus & across
-            score += ((up & top) != 0).astype(np.int64) - ((down & top) != 0)
-            best = np.where(at < end, np.minimum(best, score), best)
+            score += (up & top) != 0
+            score -= (down & top) != 0
+            np.minimum(best, score, out=best, where=here)
             vertical, up, down = same | minus, up << one, down << one
             plus, minus = down | ~(vertical | up), up & vertical
         return best <= budget
