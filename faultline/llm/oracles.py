@@ -66,12 +66,11 @@ def _line_cleaning(rules: LineRules) -> str:
     assert len(SPACES) == 6
     split = r"'[\x20\x09-\x0D]+'"
     fails = f"""(filled > 0 AND (
-      (filled <= 400 AND regexp_matches(line, {_text(rules.navigation)}))
+      regexp_matches(line, {_text(rules.navigation)})
       OR regexp_matches(line, {_text(rules.boilerplate)})
       OR {without("line", marks)} < {rules.letters} * filled
       OR (runs > 0 AND runs >= {rules.mark_runs} * words)
-      OR (filled <= {30 * rules.short} AND words <= {rules.short}
-          AND NOT regexp_matches(line, {_text(rules.sentence_end)}))))"""
+      OR (words <= {rules.short} AND NOT regexp_matches(line, {_text(rules.sentence_end)}))))"""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT id, list_filter(string_split_regex(t, {split}), lambda x: x <> '') AS ws FROM d),

@@ -64,7 +64,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``payload`` (null for revisits), ``bytes``, ``digest``, ``refers_to``.
 
     The first page of a digest is found on narrow rows; only digests that occur
-    twice are joined back, and Spark splits a digest that fills a partition.
+    twice are joined back. They are stored first: the join then has a shuffle of its
+    own, of which Spark splits a digest that fills a partition.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
@@ -74,7 +75,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
         F.octet_length(payload).cast("long").alias("bytes"),
         F.sha2(payload, 256).alias("digest"),
     )
-    firsts = (
+    firsts = materialise(
         rows.where(F.col("bytes") >= LEAST_REVISITED)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))

@@ -456,3 +456,30 @@ def test_very_long_texts(spark, documents, text):
     docs = documents([(1, text)])
     assert linecleaning.clean_lines(docs).count() == 1
     assert len(secrets.find_secrets(docs).collect()) == 1
+
+
+def test_line_rules_hold_at_any_length(spark, documents):
+    rules = linecleaning.LineRules()
+    menu, url = "home | about us | Contact  " * 40, "see https://example.org/" + "x" * 500
+    good = "a longer line of plain words that stays as it is"
+    failing = ["Home", "home>about/faq", menu, menu * 200, "about us", url, "three short words", "lorem ipsum and so on and on."]
+    staying = [good, menu + "and more", "about them all as we see fit", "Done.", "one two three four five", "x" * 5000 + "."]
+    rows = [(i, f"{good}\n{line}\n") for i, line in enumerate([*failing, *staying])]
+    got = {r["row"].doc_id: r.cleaned for r in linecleaning.clean_lines(documents(rows), rules).collect()}
+    for i, line in enumerate(failing):
+        assert got[i] == f"{good}\n", line
+    for i, line in enumerate(staying, len(failing)):
+        assert got[i] == f"{good}\n{line}\n", line
+
+
+def test_digests_are_stored_before_their_join(spark, monkeypatch):
+    """So that the join has a shuffle of its own, which Spark can split."""
+    from faultline.llm import warc
+
+    stored = []
+    monkeypatch.setattr(warc, "materialise", lambda frame: stored.append(frame.columns) or frame)
+    page = "x" * 200
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", page) for i in range(9)], "page_id long, url string, html string")
+    got = warc.with_revisits(pages).collect()
+    assert stored == [["digest", "first"]]
+    assert sorted(r.refers_to is None for r in got) == [False] * 8 + [True]
