@@ -14,6 +14,7 @@ from faultline.functions.ordering import (
     time_levels,
 )
 from faultline.operators.quality import require_clean, risk_input_checks
+from faultline.session import materialise
 
 # What is counted before each opening: key column -> look-back days.
 PRIOR_COUNTS = {
@@ -64,6 +65,36 @@ def _lookups(kind: str) -> list[dict[str, str]]:
     ]
 
 
+def _counting(kind: str) -> dict[str, str]:
+    return {"kind": f"'{kind}'", "key": _key_text(kind), "at": "opened_us"} | {
+        "opened": "1L", "known": "0L", "breached": "0L"
+    }
+
+
+def _closing() -> dict[str, str]:
+    return {"kind": f"'{OUTCOME_KEY}'", "key": _key_text(OUTCOME_KEY), "at": "outcome_us"} | {
+        "opened": "0L", "known": "1L", "breached": "target"
+    }
+
+
+def _looking(kind: str) -> list[dict[str, str]]:
+    """The start of each look-back, as points that count nothing."""
+    return [
+        {name: text for name, text in entry.items() if name != "days"}
+        | {"opened": "0L", "known": "0L", "breached": "0L"}
+        for entry in _lookups(kind)
+        if entry["days"] != "0"
+    ]
+
+
+def _running(points: DataFrame) -> DataFrame:
+    levels = time_levels(F.col("at"))
+    counted = count_points(points, levels, {v: F.col(v) for v in _VALUES}, ["kind", "key"])
+    return running_before(counted, list(levels), _VALUES, ["kind", "key"]).select(
+        "kind", "key", "at", *[f"before_{name}" for name in _VALUES]
+    )
+
+
 def running_history(instants: DataFrame) -> DataFrame:
     """Openings, known outcomes and breaches before every instant of interest.
 
@@ -71,27 +102,12 @@ def running_history(instants: DataFrame) -> DataFrame:
     time, outcomes at their closing time, and the start of each look-back is a
     point that counts nothing.
     """
-    entries = []
-    for kind in PRIOR_COUNTS:
-        for entry in _lookups(kind):
-            opened = "1L" if entry.pop("days") == "0" else "0L"
-            entries.append(entry | {"opened": opened, "known": "0L", "breached": "0L"})
-    closing = {"kind": f"'{OUTCOME_KEY}'", "key": _key_text(OUTCOME_KEY), "at": "outcome_us"}
-    entries.append(closing | {"opened": "0L", "known": "1L", "breached": "target"})
-    points = instants.select(_structs(entries))
-    levels = time_levels(F.col("at"))
-    counted = count_points(points, levels, {v: F.col(v) for v in _VALUES}, ["kind", "key"])
-    return running_before(counted, list(levels), _VALUES, ["kind", "key"]).select(
-        "kind", "key", "at", *[f"before_{name}" for name in _VALUES]
-    )
+    entries = [e for kind in PRIOR_COUNTS for e in (_counting(kind), *_looking(kind))]
+    return _running(instants.select(_structs([*entries, _closing()])))
 
 
-def history_features(silver: DataFrame) -> DataFrame:
-    """The nine historical features per incident id."""
-    instants = _instants(silver)
-    lookups = [entry for kind in PRIOR_COUNTS for entry in _lookups(kind)]
-    asked = instants.select("incident_id", _structs(lookups))
-    found = asked.join(running_history(instants), ["kind", "key", "at"])
+def _moved(found: DataFrame) -> DataFrame:
+    """The nine features per incident, as differences of the running totals found for it."""
 
     def moved(kind: str, value: str, days: int) -> str:
         now, then = [
@@ -117,6 +133,50 @@ def history_features(silver: DataFrame) -> DataFrame:
     )
 
 
+def _asked(instants: DataFrame) -> DataFrame:
+    lookups = [entry for kind in PRIOR_COUNTS for entry in _lookups(kind)]
+    return instants.select("incident_id", _structs(lookups))
+
+
+def history_features(silver: DataFrame) -> DataFrame:
+    """The nine historical features per incident id."""
+    instants = _instants(silver)
+    return _moved(_asked(instants).join(running_history(instants), ["kind", "key", "at"]))
+
+
+LONGEST = max(OUTCOME_DAYS, *(days for spans in PRIOR_COUNTS.values() for days in spans))
+
+
+def history_points(opened: DataFrame, closed: DataFrame) -> DataFrame:
+    """Openings of ``opened`` and known outcomes of ``closed``, added up per key and instant.
+
+    What a stream has to remember: with the points of the last ``LONGEST`` days the
+    features of any arriving row follow (``features_from_points``).
+    """
+    openings = _instants(opened).select(_structs([_counting(kind) for kind in PRIOR_COUNTS]))
+    closings = _instants(closed).select(_structs([_closing()]))
+    points = openings.unionByName(closings)
+    levels = {"at_day": time_levels(F.col("at"))["at_day"], "at": F.col("at")}
+    return count_points(points, levels, {v: F.col(v) for v in _VALUES}, ["kind", "key"])
+
+
+def features_from_points(opened: DataFrame, points: DataFrame) -> DataFrame:
+    """The nine features of the rows ``opened``, counted in ``points``.
+
+    ``points`` must hold the openings and outcomes of the ``LONGEST`` days before each row;
+    older ones and those of other keys change nothing. Only keys that ``opened`` holds are
+    run over.
+    """
+    instants = _instants(opened)
+    asked = materialise(_asked(instants))
+    starts = asked.select(
+        "kind", "key", "at", *[F.lit(0).cast("long").alias(name) for name in _VALUES]
+    )
+    keys = materialise(asked.select("kind", "key").distinct())
+    counted = points.select("kind", "key", "at", *_VALUES).join(keys, ["kind", "key"], "left_semi")
+    return _moved(asked.join(_running(counted.unionByName(starts)), ["kind", "key", "at"]))
+
+
 def temporal_features(silver: DataFrame) -> DataFrame:
     opened = F.col("opened_at")
     return silver.withColumns(
@@ -135,7 +195,11 @@ def risk_features(
     """Ids, eligibility, target and the twenty model features."""
     if check:
         require_clean(risk_input_checks(silver, require_targets))
-    joined = temporal_features(silver).join(history_features(silver), "incident_id")
+    return with_history(silver, history_features(silver))
+
+
+def with_history(silver: DataFrame, history: DataFrame) -> DataFrame:
+    joined = temporal_features(silver).join(history, "incident_id")
     return joined.select("incident_id", "opened_at", S.ELIGIBLE, S.TARGET, *S.MODEL_FEATURES)
 
 
@@ -197,8 +261,7 @@ def latest_features(silver: DataFrame) -> DataFrame:
     Openings and closings of the longest look-back before the cohort's day are enough.
     """
     last = eligible_rows(silver).agg(F.max(F.to_date("opened_at"))).first()[0]
-    longest = max(OUTCOME_DAYS, *(days for spans in PRIOR_COUNTS.values() for days in spans))
-    start = F.date_sub(F.lit(last).cast("date"), longest).cast("timestamp")
+    start = F.date_sub(F.lit(last).cast("date"), LONGEST).cast("timestamp")
     recent = silver.where((F.col("opened_at") >= start) | (F.col("closed_at") >= start))
     return latest_cohort(risk_features(recent, require_targets=False, check=False))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -111,13 +112,16 @@ def consume_stream(
     """Split messages into valid events and dead letters; nothing is asked for again.
 
     Batch outputs are named by batch number, so a batch that runs twice after
-    a failure replaces its own files.
+    a failure replaces its own files. A batch is read and parsed once for both.
     """
 
     def split(batch: DataFrame, number: int) -> None:
-        parsed = parsed_events(batch)
-        accepted(parsed).write.mode("overwrite").parquet(f"{valid_path}/batch={number}")
-        rejected(parsed).write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
+        parsed = parsed_events(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            accepted(parsed).write.mode("overwrite").parquet(f"{valid_path}/batch={number}")
+            rejected(parsed).write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
+        finally:
+            parsed.unpersist()
 
     messages = spark.readStream.text(messages_path)
     return (

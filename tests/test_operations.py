@@ -2,16 +2,18 @@
 
 import hashlib
 from datetime import datetime
+from functools import reduce
 
 import pytest
 from support import at, rows
 from pyspark.sql import functions as F
 
 from faultline import schema as S
-from faultline.operators import silver, snapshots, warehouse
+from faultline.operators import history, silver, snapshots, warehouse
 from faultline.operators.quality import ContractError
+from faultline.session import materialise
 from faultline.sources import sinks
-from faultline.streaming import alerts
+from faultline.streaming import alerts, arrivals
 from test_ingestion import RAW
 
 
@@ -232,3 +234,53 @@ def test_stream_scores_every_eligible_row(spark):
     got = operations.incremental_scores(tables).select("incident_id")
     assert rows(got, "incident_id") == rows(wanted, "incident_id")
     assert wanted.count() > 0
+
+
+def arriving(spark, count=240):
+    """Silver rows over 60 days, half of them in one team, with equal and absent instants."""
+    i, start = F.col("id"), F.lit("2024-01-01").cast("timestamp")
+    opened = F.timestamp_seconds(F.unix_timestamp(start) + F.floor(i / 2) * 43_200)
+    eligible = i % 3 != 0
+    return spark.range(count).select(
+        F.format_string("INC%07d", "id").alias("incident_id"),
+        F.when(i != 7, opened).alias("opened_at"),
+        F.when(i % 5 != 0, F.timestamp_seconds(F.unix_timestamp(opened) + i * 5_000)).alias("closed_at"),
+        (1 + i % 5).alias("priority_code"),
+        F.when(i % 4 != 0, F.lit("p")).alias("product"),
+        F.concat(F.lit("c"), i % 3).alias("category"),
+        F.lit("s").alias("subcategory"),
+        F.when(i % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), i % 7)).alias("assigned_group"),
+        F.lit("ci").alias("configuration_item"),
+        F.lit("Manual").alias("opened_by"),
+        eligible.alias(S.ELIGIBLE),
+        F.when(eligible & (i % 5 != 0), i % 2 == 0).alias(S.TARGET),
+    )
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_state_gives_the_features_of_all_history(spark, tmp_path, batches):
+    """Any split in the order of time, a repeated batch and an empty one."""
+    silver = arriving(spark)
+    opened = silver.withColumn("closed_at", F.lit(None).cast("timestamp")).withColumn(
+        S.TARGET, F.lit(None).cast("boolean")
+    )
+    come = opened.select("*", F.lit("opened").alias("arrival"), F.col("opened_at").alias("on")).unionByName(
+        silver.where(F.col("closed_at").isNotNull()).select(
+            "*", F.lit("closed").alias("arrival"), F.col("closed_at").alias("on")
+        )
+    )
+    place = F.coalesce(F.floor(F.datediff("on", F.lit("2024-01-01")) * batches / 80), F.lit(0))
+    come = materialise(come.withColumn("place", F.least(place, F.lit(batches - 1))))
+    state, parts = str(tmp_path / "state"), []
+    for number in range(batches):
+        rows_of = come.where(F.col("place") == number)
+        for _ in range(2):
+            part = arrivals.arriving_features(rows_of, state, number)
+        parts.append(part)
+    names = ["incident_id", *S.HISTORICAL_FEATURES]
+    empty = arrivals.arriving_features(come.where(F.lit(False)), state, batches)
+    assert empty.count() == 0
+    got = reduce(lambda a, b: a.unionByName(b), parts).select(*names)
+    wanted = history.history_features(silver).where("incident_id <> 'INC0000007'").select(*names)
+    assert rows(got, "incident_id") == rows(wanted, "incident_id")
+    assert got.count() == 239

@@ -39,6 +39,31 @@ def calendar(t: Tables) -> DataFrame:
     return days.withColumns(calendar_features(F.col("day")))
 
 
+def spoiled_predictions(t: Tables) -> DataFrame:
+    """Predictions with one rule of the contract broken on each of some days of the month."""
+    rows = daily_predictions(t).withColumn("place", F.dayofmonth("reference_date"))
+    broken = {
+        "reference_date": (2, F.lit(None)),
+        "generated_at": (3, F.lit(None)),
+        "horizon": (4, F.lit("D+2")),
+        "priority_scope": (5, F.lit("P9")),
+        "predicted_incident_count": (6, F.lit(-1.0)),
+        "lower_bound": (7, F.col("upper_bound") + 1),
+        "upper_bound": (8, F.lit(None)),
+        "model_name": (9, F.lit(" ")),
+        "model_version": (10, F.lit(None)),
+    }
+    spoiled = rows.withColumns(
+        {
+            name: F.when(F.col("place") == place, value.cast(rows.schema[name].dataType)).otherwise(
+                F.col(name)
+            )
+            for name, (place, value) in broken.items()
+        }
+    )
+    return materialise(spoiled.unionAll(spoiled.where("place = 11")).drop("place"))
+
+
 def naive_rows(t: Tables) -> DataFrame:
     """The three naive candidates on the evaluation days, one row each."""
     complete = series.complete_rows(features(t)).where(F.col("day") >= F.lit(FIRST).cast("date"))
@@ -214,6 +239,7 @@ QUERIES = {
     "block_skill": lambda t: forecast.block_skill(naive_rows(t), FIRST, "media7"),
     "daily_predictions": daily_predictions,
     "prediction_contract": lambda t: quality.prediction_contract(daily_predictions(t)),
+    "prediction_contract_seeded": lambda t: quality.prediction_contract(spoiled_predictions(t)),
     "latest_predictions": lambda t: serving.latest_predictions(daily_predictions(t)),
     "upsert_current": upserted,
     "predictions_view": view_rows,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -264,6 +265,28 @@ def store(t: Tables) -> warehouse.Warehouse:
     return warehouse.build_warehouse(t.order_silver())
 
 
+def spoiled_store(t: Tables) -> warehouse.Warehouse:
+    """A warehouse with lost keys, unknown members, repeated rows and an empty dimension."""
+    made = store(t)
+    number = F.substring("incident_id", 4, 20).cast("long")
+    keys = {
+        "sk_produto": F.when(number % 19 != 3, F.col("sk_produto")),
+        "sk_grupo": F.when(number % 23 == 4, F.lit(-1)).otherwise(F.col("sk_grupo")),
+    }
+    fact = made.fato_incidente.withColumns(keys)
+    fact = fact.unionAll(fact.where(number % 29 == 5))
+    priority = made.dim_prioridade
+    twice = priority.where("priority_code = 2").withColumn(
+        "sk_prioridade", (F.col("sk_prioridade") + 100).cast(priority.schema["sk_prioridade"].dataType)
+    )
+    return replace(
+        made,
+        fato_incidente=materialise(fact),
+        dim_prioridade=priority.unionAll(twice),
+        dim_categoria=made.dim_categoria.where(F.lit(False)),
+    )
+
+
 def measured(dimension: str, columns: list[str], measures, top: int | None = None):
     return lambda t: warehouse.measure_by(store(t), dimension, columns, measures(), top)
 
@@ -404,6 +427,7 @@ QUERIES = {
     "dim_item": dimension("dim_item_configuracao"),
     "fact_incident": lambda t: store(t).fato_incidente,
     "warehouse_checks": lambda t: warehouse.validate_warehouse(store(t)),
+    "warehouse_checks_seeded": lambda t: warehouse.validate_warehouse(spoiled_store(t)),
     "orphan_check": lambda t: warehouse.orphans(store(t)),
     "table_counts": lambda t: warehouse.table_counts(store(t)),
     "grain_check": lambda t: warehouse.grain(store(t)),

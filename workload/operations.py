@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from faultline import schema as S
 from faultline.functions.calendars import weekday_name
 from faultline.operators import gold, model, monitoring, serving, snapshots
-from faultline.session import scratch_path
+from faultline.session import materialise, scratch_path
 from faultline.sources import sinks
-from faultline.streaming import alerts
+from faultline.streaming import alerts, arrivals
 from workload import forecasts, risk
 from workload.tables import Tables
 
@@ -252,28 +252,50 @@ def dead_letters(t: Tables) -> DataFrame:
     return dead.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("messages"))
 
 
-def incremental_scores(t: Tables, batches: int = 3) -> DataFrame:
-    """Scores of all eligible rows, as feature files that arrive in batches, days in order."""
-    rows, fitted = risk.trained(t)
-    source, out = scratch_path(t.spark, "arriving"), scratch_path(t.spark, "scored")
-    state = scratch_path(t.spark, "score-state")
-    eligible = rows.where(F.col(S.ELIGIBLE))
-    at = F.lit(risk.SCORED_AT).cast("timestamp")
-
-    def score(batch: DataFrame) -> DataFrame:
-        return model.score(fitted, batch, at, check=False)
+def arrived(t: Tables, score, batches: int = 3) -> DataFrame:
+    """All event incidents as they come: openings without outcome and, when they close, again.
 
-    day = F.to_date("opened_at")
-    first, last = eligible.agg(F.min(day), F.max(day)).first()
+    Files arrive in batches, days in order; ``score`` of each batch's features is returned.
+    """
+    silver = t.event_silver()
+    instant = F.when(F.col("arrival") == arrivals.CLOSED, F.col("closed_at")).otherwise(F.col("opened_at"))
+    kinds = {name: silver.schema[name].dataType for name in ("closed_at", S.TARGET)}
+    opened = silver.withColumns({n: F.lit(None).cast(kind) for n, kind in kinds.items()})
+    rows = materialise(
+        opened.withColumn("arrival", F.lit(arrivals.OPENED))
+        .unionByName(
+            silver.where(F.col("closed_at").isNotNull()).withColumn("arrival", F.lit(arrivals.CLOSED))
+        )
+        .withColumn("arrived_on", F.to_date(instant))
+    )
+    first, last = rows.agg(F.min("arrived_on"), F.max("arrived_on")).first()
     days = (last - first).days + 1 if first else 1
     # A row without a day arrives with the first batch.
-    place = F.coalesce(F.floor(F.datediff(day, F.lit(first)) * batches / days), F.lit(0))
+    place = F.coalesce(F.floor(F.datediff("arrived_on", F.lit(first)) * batches / days), F.lit(0))
+    names = ("arriving", "state", "scored", "arrival-checkpoint")
+    source, state, out, checkpoint = [scratch_path(t.spark, name) for name in names]
     for batch in range(batches):
-        eligible.where(place == batch).write.mode("append").parquet(source)
-        alerts.score_stream(
-            t.spark, source, eligible.schema, score, out, state
+        rows.where(place == batch).write.mode("append").parquet(source)
+        arrivals.arrival_stream(
+            t.spark, source, rows.schema, score, state, out, checkpoint
         ).awaitTermination()
-    return t.spark.read.parquet(out).select("incident_id", "risk_score", "risk_level")
+    return t.spark.read.parquet(out).drop("batch")
+
+
+def arrival_features(t: Tables) -> DataFrame:
+    """The history features of every opening, counted from the stream's state."""
+    return arrived(t, lambda found: found.select("incident_id", *S.HISTORICAL_FEATURES))
+
+
+def incremental_scores(t: Tables) -> DataFrame:
+    """Scores of all eligible rows, from raw openings and closings that arrive in batches."""
+    fitted = risk.trained(t)[1]
+    at = F.lit(risk.SCORED_AT).cast("timestamp")
+
+    def score(found: DataFrame) -> DataFrame:
+        return model.score(fitted, found.where(F.col(S.ELIGIBLE)), at, check=False)
+
+    return arrived(t, score).select("incident_id", "risk_score", "risk_level")
 
 
 QUERIES = {
@@ -298,5 +320,6 @@ QUERIES = {
     "alert_messages": alert_messages,
     "valid_alerts": valid_alerts,
     "dead_letters": dead_letters,
+    "arrival_features": arrival_features,
     "incremental_scores": incremental_scores,
 }

@@ -162,21 +162,50 @@ cte(
 )
 VIEWED = f"* REPLACE ({day('reference_date')} AS reference_date)"
 ANGLE = "2 * 3.141592653589793::DOUBLE * (isodow(reference_date) - 1) / 7"
-CONTRACT_RULES = " UNION ALL ".join(
-    f"SELECT '{name}' AS check_name, count(*) FILTER ({rule}) AS violations FROM published"
-    for name, rule in {
+
+
+def contract(table: str) -> str:
+    names = ["predicted_incident_count", "lower_bound", "upper_bound"]
+    rules = {
         "invalid_reference_date": "reference_date IS NULL",
         "invalid_generated_at": "generated_at IS NULL",
-        "horizon_domain": "horizon NOT IN ('D+1', 'D+7')",
-        "priority_scope_domain": "priority_scope NOT IN ('ALL', 'P1', 'P2', 'P3', 'P4', 'P5')",
-        "negative_predicted_incident_count": "predicted_incident_count < 0",
-        "negative_lower_bound": "lower_bound < 0",
-        "negative_upper_bound": "upper_bound < 0",
+        "horizon_domain": "coalesce(horizon NOT IN ('D+1', 'D+7'), true)",
+        "priority_scope_domain":
+            "coalesce(priority_scope NOT IN ('ALL', 'P1', 'P2', 'P3', 'P4', 'P5'), true)",
+        **{f"negative_{name}": f"coalesce({name} < 0, true)" for name in names},
         "interval_order": """lower_bound > predicted_incident_count
           OR upper_bound < predicted_incident_count OR lower_bound > upper_bound""",
-        "empty_model_name": "model_name = ''",
-        "empty_model_version": "model_version = ''",
-    }.items()
+        "empty_model_name": "coalesce(trim(model_name), '') = ''",
+        "empty_model_version": "coalesce(trim(model_version), '') = ''",
+    }
+    counted = " UNION ALL ".join(
+        f"SELECT '{name}' AS check_name, count(*) FILTER ({rule}) AS violations FROM {table}"
+        for name, rule in rules.items()
+    )
+    key = "{'a': reference_date, 'b': horizon, 'c': priority_scope, 'd': model_version}"
+    return f"""{counted} UNION ALL SELECT 'duplicate_keys', count(*) - count(DISTINCT {key})
+      FROM {table}"""
+
+
+SPOILED = {
+    "reference_date": (2, "NULL"),
+    "generated_at": (3, "NULL"),
+    "horizon": (4, "'D+2'"),
+    "priority_scope": (5, "'P9'"),
+    "predicted_incident_count": (6, "-1"),
+    "lower_bound": (7, "upper_bound + 1"),
+    "upper_bound": (8, "NULL"),
+    "model_name": (9, "' '"),
+    "model_version": (10, "NULL"),
+}
+cte(
+    "spoiled_published",
+    f"""SELECT {", ".join(
+        f"CASE WHEN place = {place} THEN {value} ELSE {name} END AS {name}"
+        for name, (place, value) in SPOILED.items()
+    )} FROM (SELECT *, day(reference_date) AS place FROM published
+      UNION ALL SELECT *, 11 FROM published WHERE day(reference_date) = 11)""",
+    "published",
 )
 
 # --- Ridge regression by running sums and elimination ---
@@ -538,11 +567,8 @@ SQL = {
         "candidates",
     ),
     "daily_predictions": sql(f"SELECT {PUBLISHED} FROM published", "published"),
-    "prediction_contract": sql(
-        f"""{CONTRACT_RULES} UNION ALL SELECT 'duplicate_keys', count(*) - count(DISTINCT
-            {{'a': reference_date, 'b': horizon, 'c': priority_scope}}) FROM published""",
-        "published",
-    ),
+    "prediction_contract": sql(contract("published"), "published"),
+    "prediction_contract_seeded": sql(contract("spoiled_published"), "spoiled_published"),
     "latest_predictions": sql(
         f"SELECT {PUBLISHED} FROM ({NEWEST.format('published')})", "published"
     ),

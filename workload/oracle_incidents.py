@@ -156,22 +156,49 @@ KEYS = {
     "dim_grupo": "sk_grupo",
     "dim_item_configuracao": "sk_item_configuracao",
 }
+NUMBER = "CAST(substr(incident_id, 4) AS BIGINT)"
+cte(
+    "spoiled_fact",
+    f"""
+    SELECT * REPLACE (CASE WHEN {NUMBER} % 19 <> 3 THEN sk_produto END AS sk_produto,
+      CASE WHEN {NUMBER} % 23 = 4 THEN -1 ELSE sk_grupo END AS sk_grupo)
+    FROM (SELECT * FROM fact UNION ALL SELECT * FROM fact WHERE {NUMBER} % 29 = 5)""",
+    "fact",
+)
+cte(
+    "spoiled_prioridade",
+    """SELECT * FROM dim_prioridade UNION ALL SELECT * REPLACE (sk_prioridade + 100 AS sk_prioridade)
+       FROM dim_prioridade WHERE priority_code = 2""",
+    "dim_prioridade",
+)
+cte("spoiled_categoria", "SELECT * FROM dim_categoria WHERE false", "dim_categoria")
 ORPHANS = " UNION ALL ".join(
     f"SELECT '{table}' AS dimension, count(*) AS orphan_rows FROM fact "
     f"WHERE {key} NOT IN (SELECT {key} FROM {table})"
     for table, key in KEYS.items()
 )
-WAREHOUSE_CHECKS = " UNION ALL ".join(
-    [
-        f"SELECT 'null_{key}' AS check_name, count(*) FILTER ({key} IS NULL) AS violations FROM fact"
+
+
+def warehouse_checks(fact: str = "fact", **tables: str) -> str:
+    named = {table: tables.get(table, table) for table in KEYS}
+    parts = [
+        f"SELECT 'null_{key}' AS check_name, count(*) FILTER ({key} IS NULL) AS violations FROM {fact}"
         for key in KEYS.values()
     ]
-    + ["SELECT 'duplicate_incident_id', count(*) - count(DISTINCT incident_id) FROM fact"]
-    + ["SELECT 'repeated_priority_code', count(*) - count(DISTINCT priority_code) FROM dim_prioridade"]
-    + [f"SELECT 'empty_{t}', CAST(count(*) = 0 AS BIGINT) FROM {t}" for t in KEYS]
-    + ["SELECT 'empty_fato_incidente', CAST(count(*) = 0 AS BIGINT) FROM fact"]
-    + [f"SELECT 'orphan_' || dimension, orphan_rows FROM ({ORPHANS})"]
-)
+    parts.append(f"SELECT 'duplicate_incident_id', count(*) - count(DISTINCT incident_id) FROM {fact}")
+    parts.append(
+        f"""SELECT 'repeated_priority_code', count(*) - count(DISTINCT priority_code)
+            FROM {named["dim_prioridade"]}"""
+    )
+    parts += [f"SELECT 'empty_{t}', CAST(count(*) = 0 AS BIGINT) FROM {n}" for t, n in named.items()]
+    parts.append(f"SELECT 'empty_fato_incidente', CAST(count(*) = 0 AS BIGINT) FROM {fact}")
+    # A lost key has no member either.
+    parts += [
+        f"""SELECT 'orphan_{t}', count(*) FROM {fact} f
+            WHERE NOT EXISTS (SELECT 1 FROM {named[t]} d WHERE d.{key} = f.{key})"""
+        for t, key in KEYS.items()
+    ]
+    return " UNION ALL ".join(parts)
 
 
 def ranking(where: str, having: str, order: str, limit: int) -> str:
@@ -615,7 +642,16 @@ SQL = {
     "dim_group": sql("SELECT * FROM dim_grupo", "dim_grupo"),
     "dim_item": sql("SELECT * FROM dim_item_configuracao", "dim_item_configuracao"),
     "fact_incident": sql(f"SELECT {FACT} FROM fact", "fact"),
-    "warehouse_checks": sql(WAREHOUSE_CHECKS, "fact", "dim_tempo"),
+    "warehouse_checks": sql(warehouse_checks(), "fact", "dim_tempo"),
+    "warehouse_checks_seeded": sql(
+        warehouse_checks(
+            "spoiled_fact", dim_prioridade="spoiled_prioridade", dim_categoria="spoiled_categoria"
+        ),
+        "spoiled_fact",
+        "spoiled_prioridade",
+        "spoiled_categoria",
+        "dim_tempo",
+    ),
     "orphan_check": sql(ORPHANS, "fact", "dim_tempo"),
     "table_counts": sql(
         " UNION ALL ".join(

@@ -216,34 +216,90 @@ AUDIT = " UNION ALL ".join(
         FROM silver"""
     for name in ("entered_kpi", "kpi_breached")
 )
-SCORE_RULES = " UNION ALL ".join(
-    f"SELECT '{name}' AS check_name, count(*) FILTER ({rule}) AS violations FROM points"
-    for name, rule in {
-        "null_incident_id": "incident_id IS NULL",
+FORMULA = """least(greatest(floor((predictive_risk_index * 0.80::DOUBLE + priority_impact
+  * 0.15::DOUBLE + operational_pressure * 0.05::DOUBLE) * 100 + 0.5), 0), 100)"""
+
+
+def score_rules(table: str) -> str:
+    def outside(name: str, top: int) -> str:
+        return f"coalesce({name} NOT BETWEEN 0 AND {top}, true)"
+
+    parts = ["breach_probability", "predictive_risk_index", "priority_impact", "operational_pressure"]
+    rules = {
+        "null_incident_id": "coalesce(trim(incident_id), '') = ''",
         "invalid_scored_at": "scored_at IS NULL",
-        "null_model_version": "model_version IS NULL",
-        "breach_probability_range": "breach_probability NOT BETWEEN 0 AND 1",
-        "predictive_risk_index_range": "predictive_risk_index NOT BETWEEN 0 AND 1",
-        "priority_impact_range": "priority_impact NOT BETWEEN 0 AND 1",
-        "operational_pressure_range": "operational_pressure NOT BETWEEN 0 AND 1",
-        "risk_score_range": "risk_score NOT BETWEEN 0 AND 100",
+        "null_model_version": "coalesce(trim(model_version), '') = ''",
+        **{f"{name}_range": outside(name, 1) for name in parts},
+        "risk_score_range": outside("risk_score", 100),
         "risk_level_domain": "risk_level NOT IN ('baixo', 'moderado', 'alto', 'crítico')",
-        "risk_score_formula": "false",
-        "risk_level_band": "false",
-        "empty_top_risk_factors": "top_risk_factors = ''",
-        "empty_recommended_action": "recommended_action IS NULL",
-    }.items()
+        "risk_score_formula": f"risk_score <> {FORMULA}",
+        "risk_level_band": f"risk_level <> {LEVEL}",
+        "empty_top_risk_factors": "coalesce(trim(top_risk_factors), '') = ''",
+        "empty_recommended_action": "coalesce(trim(recommended_action), '') = ''",
+    }
+    counted = " UNION ALL ".join(
+        f"SELECT '{name}' AS check_name, count(*) FILTER ({rule}) AS violations FROM {table}"
+        for name, rule in rules.items()
+    )
+    key = "{'a': incident_id, 'b': scored_at, 'c': model_version}"
+    return f"""{counted} UNION ALL SELECT 'duplicate_keys', count(*) - count(DISTINCT {key})
+      FROM {table}"""
+
+
+NUMBER = "CAST(substr(incident_id, 4) AS BIGINT)"
+
+
+def spoiled(rest: int, name: str, value: str) -> str:
+    return f"CASE WHEN number % 31 = {rest} THEN {value} ELSE {name} END AS {name}"
+
+
+SPOILED_SCORES = ", ".join(
+    [
+        spoiled(1, "scored_at", "NULL"),
+        spoiled(2, "model_version", "'  '"),
+        spoiled(3, "breach_probability", "1.5"),
+        spoiled(4, "predictive_risk_index", "-0.25"),
+        spoiled(5, "priority_impact", "NULL"),
+        spoiled(6, "operational_pressure", "2.0"),
+        spoiled(7, "risk_score", "101"),
+        spoiled(8, "risk_level", "'unknown'"),
+        spoiled(9, "incident_id", "NULL"),
+        spoiled(10, "top_risk_factors", "''"),
+        spoiled(11, "recommended_action", "' '"),
+    ]
 )
-INPUT_RULES = """
+cte(
+    "spoiled_points",
+    f"""
+    SELECT * REPLACE ({SPOILED_SCORES}) FROM (
+      SELECT *, {NUMBER} AS number FROM points
+      UNION ALL SELECT *, {NUMBER} AS number FROM points WHERE {NUMBER} % 31 = 12)""",
+    "points",
+)
+cte(
+    "spoiled_events",
+    f"""
+    SELECT CASE WHEN number % 11 <> 3 THEN incident_id END AS incident_id,
+      CASE WHEN number % 13 <> 5 THEN opened_at END AS opened_at, entered_kpi_source,
+      CASE WHEN number % 7 <> 2 THEN kpi_breached_source END AS kpi_breached_source
+    FROM (SELECT *, {NUMBER} AS number FROM event_silver
+      UNION ALL SELECT *, {NUMBER} AS number FROM event_silver WHERE {NUMBER} % 17 = 4)""",
+    "event_silver",
+)
+
+
+def input_rules(table: str) -> str:
+    return f"""
     SELECT 'null_incident_id' AS check_name, count(*) FILTER (incident_id IS NULL) AS violations
-      FROM event_silver
-    UNION ALL SELECT 'invalid_opened_at', count(*) FILTER (opened_at IS NULL) FROM event_silver
+      FROM {table}
+    UNION ALL SELECT 'invalid_opened_at', count(*) FILTER (opened_at IS NULL) FROM {table}
     UNION ALL SELECT 'no_eligible_rows', CAST(count(*) FILTER (entered_kpi_source) = 0 AS BIGINT)
-      FROM event_silver
+      FROM {table}
     UNION ALL SELECT 'eligible_without_target',
-      count(*) FILTER (entered_kpi_source AND kpi_breached_source IS NULL) FROM event_silver
-    UNION ALL SELECT 'duplicate_incident_id', count(*) - count(DISTINCT incident_id)
-      FROM event_silver"""
+      count(*) FILTER (entered_kpi_source AND kpi_breached_source IS NULL) FROM {table}
+    UNION ALL SELECT 'duplicate_incident_id', count(incident_id) - count(DISTINCT incident_id)
+      FROM {table}"""
+
 
 SQL = {
     "prior_counts": sql(
@@ -257,12 +313,19 @@ SQL = {
            AS assigned_group_breach_rate_previous_30d) FROM outcomes""",
         "outcomes",
     ),
+    "arrival_features": sql(
+        f"""SELECT * REPLACE (round(assigned_group_breach_rate_previous_30d, 6)
+           AS assigned_group_breach_rate_previous_30d)
+           FROM (SELECT incident_id, {", ".join(S.HISTORICAL_FEATURES)} FROM features)""",
+        "features",
+    ),
     "risk_features": sql(
         f"""SELECT incident_id, {stamp("opened_at")} AS opened_at, entered_kpi_source,
             kpi_breached_source, {FEATURES} FROM features""",
         "features",
     ),
-    "risk_input_checks": sql(INPUT_RULES, "event_silver"),
+    "risk_input_checks": sql(input_rules("event_silver"), "event_silver"),
+    "risk_input_checks_seeded": sql(input_rules("spoiled_events"), "spoiled_events"),
     "temporal_split": sql("SELECT incident_id, dataset_split FROM split", "split"),
     "split_summary": sql(
         f"""SELECT dataset_split, count(*) AS row_count,
@@ -333,11 +396,8 @@ SQL = {
         "indexed",
     ),
     "risk_scores": sql(f"SELECT {POINTS} FROM points", "points"),
-    "risk_score_contract": sql(
-        f"""{SCORE_RULES} UNION ALL
-            SELECT 'duplicate_keys', count(*) - count(DISTINCT incident_id) FROM points""",
-        "points",
-    ),
+    "risk_score_contract": sql(score_rules("points"), "points"),
+    "risk_score_contract_seeded": sql(score_rules("spoiled_points"), "spoiled_points"),
     "risk_distribution": sql(
         """SELECT place, l.risk_level, count(incident_id) AS incident_count
            FROM (VALUES (0::BIGINT, 'baixo'), (1, 'moderado'), (2, 'alto'), (3, 'crítico'))

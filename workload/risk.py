@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import schema as S
@@ -72,6 +72,49 @@ def stand_in_scores(t: Tables) -> DataFrame:
     ).select(*S.RISK_SCORE_SCHEMA.names)
 
 
+def event_number() -> Column:
+    return F.substring("incident_id", 4, 20).cast("long")
+
+
+def spoiled_silver(t: Tables) -> DataFrame:
+    """Incidents with every rule of the risk input broken somewhere."""
+    number = event_number()
+    rows = t.event_silver().withColumn("number", number)
+    broken = {
+        "incident_id": F.when(F.col("number") % 11 != 3, F.col("incident_id")),
+        "opened_at": F.when(F.col("number") % 13 != 5, F.col("opened_at")),
+        S.TARGET: F.when(F.col("number") % 7 != 2, F.col(S.TARGET)),
+    }
+    spoiled = rows.withColumns(broken)
+    return materialise(spoiled.unionAll(spoiled.where(F.col("number") % 17 == 4)).drop("number"))
+
+
+def spoiled_scores(t: Tables) -> DataFrame:
+    """Scores with every rule of the contract broken in rows of its own."""
+    rows = stand_in_scores(t).withColumn("number", event_number())
+
+    def where(rest: int, name: str, value) -> dict[str, Column]:
+        kept = F.col(name)
+        return {name: F.when(F.col("number") % 31 == rest, value.cast(rows.schema[name].dataType)).otherwise(kept)}
+
+    broken = (
+        where(1, "scored_at", F.lit(None))
+        | where(2, "model_version", F.lit("  "))
+        | where(3, "breach_probability", F.lit(1.5))
+        | where(4, "predictive_risk_index", F.lit(-0.25))
+        | where(5, "priority_impact", F.lit(None))
+        | where(6, "operational_pressure", F.lit(2.0))
+        | where(7, "risk_score", F.lit(101))
+        | where(8, "risk_level", F.lit("unknown"))
+        | where(10, "top_risk_factors", F.lit(""))
+        | where(11, "recommended_action", F.lit(" "))
+    )
+    no_id = F.when(F.col("number") % 31 != 9, F.col("incident_id"))
+    spoiled = rows.withColumns({**broken, "incident_id": no_id})
+    repeated = spoiled.where(F.col("number") % 31 == 12)
+    return materialise(spoiled.unionAll(repeated).drop("number"))
+
+
 def audited(t: Tables) -> DataFrame:
     return quality.label_audit(t.order_silver())
 
@@ -174,6 +217,7 @@ QUERIES = {
     "known_outcomes": known_outcomes,
     "risk_features": features,
     "risk_input_checks": lambda t: quality.risk_input_checks(t.event_silver()),
+    "risk_input_checks_seeded": lambda t: quality.risk_input_checks(spoiled_silver(t)),
     "temporal_split": lambda t: split(t).select("incident_id", "dataset_split"),
     "split_summary": lambda t: history.split_summary(split(t)),
     "label_audit": audited,
@@ -203,6 +247,7 @@ QUERIES = {
     "predictive_index": lambda t: indexed(t).select("incident_id", "predictive_risk_index"),
     "risk_scores": stand_in_scores,
     "risk_score_contract": lambda t: quality.risk_score_contract(stand_in_scores(t)),
+    "risk_score_contract_seeded": lambda t: quality.risk_score_contract(spoiled_scores(t)),
     "risk_distribution": lambda t: serving.risk_distribution(stand_in_scores(t)),
     "risk_summary": lambda t: serving.risk_summary(stand_in_scores(t)),
     "attention_list": lambda t: serving.attention_list(stand_in_scores(t), 70),
