@@ -25,6 +25,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_VALUE = 12
 
+#: Elements in a block of a running total, and code points in a block of a text.
+STEP, BLOCK = 256, 4096
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -59,33 +61,54 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _running_before(values: Column, zero: Column, add: Callable[..., Column]) -> Column:
+    """What all earlier elements of ``values`` add up to, for each element.
+
+    Runs over blocks of ``STEP`` elements, each from the total of the blocks before it, so
+    that an array which grows by one element at a time never is longer than a block or than
+    the number of blocks.
+    """
+
+    def grow(seen: Column, value: Column) -> Column:
+        return F.array_append(seen, add(F.element_at(seen, -1), value))
+
+    def blocked(given: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(given) - 1) / STEP).cast("int"))
+        return F.transform(numbers, lambda b: F.slice(given, b * STEP + 1, STEP))
+
+    def run(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, zero, add))
+        return _let(
+            F.aggregate(totals, F.array(zero), grow),
+            lambda first: F.flatten(
+                F.transform(
+                    blocks,
+                    lambda block, b: F.slice(
+                        F.aggregate(block, F.array(F.get(first, b)), grow), 1, F.size(block)
+                    ),
+                )
+            ),
+        )
+
+    return _let(values, lambda given: _let(blocked(given), run))
+
+
 def _located(text: Column, pattern: str, group: int, body: Callable[..., Column]) -> Column:
     """``body(start, match, group)`` of each match. Starts follow from the lengths of
     the pieces between the matches."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
 
-    def starts(state: Column, i: Column) -> Column:
-        at = F.element_at(state["starts"], -1) + F.length(F.get(state["found"], i))
-        return F.struct(
-            state["found"].alias("found"),
-            state["gaps"].alias("gaps"),
-            F.array_append(
-                state["starts"], (at + F.length(F.get(state["gaps"], i + 1))).cast("int")
-            ).alias("starts"),
-        )
-
     def placed(given: Column) -> Column:
-        first = F.array(F.length(F.get(given["gaps"], F.lit(0))))
-        state = F.struct(
-            given["found"].alias("found"), given["gaps"].alias("gaps"), first.alias("starts")
-        )
-        numbered = F.sequence(F.lit(0), F.size(given["found"]) - 1)
-        located = F.aggregate(numbered, state, starts)["starts"]
+        def gap(i: Column) -> Column:
+            return F.length(F.get(given["gaps"], i))
+
+        lengths = F.transform(given["found"], lambda m, i: gap(i) + F.length(m))
         return _let(
-            located,
-            lambda s: F.transform(
-                given["found"], lambda m, i: body(F.get(s, i), m, F.get(given["inner"], i))
+            _running_before(lengths, F.lit(0), lambda total, n: total + n),
+            lambda before: F.transform(
+                given["found"],
+                lambda m, i: body(F.get(before, i) + gap(i), m, F.get(given["inner"], i)),
             ),
         )
 
@@ -134,12 +157,12 @@ def _hot_range(candidate: Column, rule: EntropyRule) -> Column:
             enters = F.get(given["codes"], i)
             leaves = F.coalesce(F.get(given["codes"], F.when(i >= window, i - window)), F.lit(0))
             counts = state["counts"]
-            # Position 0 of the counts stands for "nothing leaves".
-            less = F.transform(
-                counts, lambda c, k: (c - ((k == leaves) & (k > 0)).cast("int")).cast("int")
+            # Position 0 of the counts stands for "nothing leaves"; it is never looked at.
+            both = F.transform(
+                counts, lambda c, k: c + (k == enters).cast("int") - (k == leaves).cast("int")
             )
-            both = F.transform(less, lambda c, k: (c + (k == enters).cast("int")).cast("int"))
-            out, came = F.get(counts, leaves), F.get(less, enters)
+            out = F.get(counts, leaves)
+            came = F.get(counts, enters) - (enters == leaves).cast("int")
             total = (
                 state["total"]
                 - F.when(leaves > 0, F.get(terms, out) - F.get(terms, out - 1)).otherwise(0.0)
@@ -227,23 +250,38 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rule: EntropyRule | None = N
     ``n_chars``, if there is such a column, follows the text. All rows and columns stay.
     """
     text, spans = F.col("row.text"), F.col("spans")
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    ends = F.transform(spans, lambda s: s["end"])
+    reached = _running_before(ends, F.lit(0), lambda most, end: F.greatest(most, end))
+
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        """The text from ``start`` to ``end``, of which only the blocks in question are read."""
+        first, last = [F.floor(at / BLOCK).cast("int") for at in (start, end - 1)]
+        one = F.substring(F.get(pieces, first), start - first * BLOCK + 1, end - start)
+        more = F.concat(
+            F.substring(F.get(pieces, first), start - first * BLOCK + 1, F.lit(BLOCK)),
+            F.array_join(F.slice(pieces, first + 2, last - first - 1), ""),
+            F.substring(F.get(pieces, last), F.lit(1), end - last * BLOCK),
+        )
+        return F.when(end <= start, F.lit("")).when(first == last, one).otherwise(more)
+
+    def joined(given: Column) -> Column:
+        def part(span: Column, i: Column) -> Column:
+            at = F.get(given["reached"], i)
+            clear = F.concat(cut(given["blocks"], at, span["start"]), F.lit(mark))
+            return F.when(span["start"] >= at, clear)
+
+        # Spans that begin within an earlier one give null, which the join leaves out.
+        return F.concat(
+            F.array_join(F.transform(spans, part), ""),
+            cut(given["blocks"], F.array_max(ends), given["length"]),
+        )
 
-    def step(state: Column, span: Column) -> Column:
-        free = span["start"] >= state["at"]
-        before = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(free, F.array_append(state["parts"], F.concat(before, F.lit(mark))))
-            .otherwise(state["parts"]).alias("parts"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     cleaned = _let(
-        F.aggregate(spans, start, step),
-        lambda s: F.concat(
-            F.array_join(s["parts"], ""),
-            F.substring(text, s["at"] + 1, F.length(text)),
+        F.struct(
+            blocks.alias("blocks"), reached.alias("reached"), F.length(text).alias("length")
         ),
+        joined,
     )
     found = find_secrets(docs, rule).withColumn("clean", F.when(F.size(spans) > 0, cleaned))
     changed = {"text": F.coalesce("clean", text)}

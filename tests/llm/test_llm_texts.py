@@ -228,6 +228,35 @@ def test_redaction(spark, documents):
     assert secrets.redact(documents([])).count() == 0
 
 
+def masked(text, rule):
+    out, at = [], 0
+    for start, _, _, end in sorted(base_spans(text) + entropy_spans(text, rule)):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+@pytest.mark.parametrize("step, block", [(2, 3), (256, 4096)])
+def test_redaction_equals_brute_force(spark, documents, monkeypatch, step, block):
+    monkeypatch.setattr(secrets, "STEP", step)
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    rows, rule = list(enumerate(secret_texts())), secrets.EntropyRule()
+    got = {r.doc_id: r.text for r in secrets.redact(documents(rows), rule=rule).collect()}
+    assert got == {i: None if t is None else masked(t, rule) for i, t in rows}
+
+
+def test_many_secrets_in_one_text(spark, documents):
+    """Time grows with the matches, not with their square."""
+    n = 100_000
+    text = "".join(f"{i:017x}\U0001f600é" for i in range(n))
+    found = secrets.find_secrets(documents([(1, text)])).select(
+        F.size("base").alias("n"), F.element_at("base", -1).alias("last")
+    ).first()
+    assert (found.n, found.last.start, found.last.end) == (n, 19 * n - 19, 19 * n - 2)
+    assert secrets.redact(documents([(1, text)])).first().text == "[SECRET]\U0001f600é" * n
+
+
 # --- toxicity
 
 WORDS = ["then", "ander", "blean", "oush", "thion", "erst", "inghe", "whth", "orle", "sten"]
