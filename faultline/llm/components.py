@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from faultline.session import materialise
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """The least neighbour of each node, stored: otherwise the join with ``edges`` would
+    reuse this shuffle, and Spark does not split the edges of a hub then."""
+    return materialise(edges.groupBy("a").agg(F.min("b").alias("m")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(both)
     return (
         both.join(least, "a")
         .where("b > a")
@@ -23,7 +29,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(down)
     linked = down.join(least, "a").select("b", "m").where("b <> m")
     return linked.union(least.select("a", "m")).distinct().toDF("a", "b")
 

@@ -362,7 +362,9 @@ def near_duplicates(docs: DataFrame, spec: SimHash) -> DataFrame:
     plan = plan_parts(distinct, spec)
     index = _index(distinct, star_parts(plan.parts), spec)
     lanes = F.struct(*spec.columns)
-    centres = (
+    # Aggregates are stored before they are joined by their key: a join that reuses the
+    # shuffle of the aggregate could not split a hot key.
+    centres = materialise(
         index.groupBy("key")
         .agg(F.min(lanes).alias("c"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
@@ -392,7 +394,7 @@ def near_duplicates(docs: DataFrame, spec: SimHash) -> DataFrame:
         grouped.join(merged, grouped["component"] == merged["node"], "left")
         .select("fingerprint", "first_id", F.coalesce("merged", "component").alias("component"))
     )
-    least = final.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    least = materialise(final.groupBy("component").agg(F.min("first_id").alias("component_id")))
     return rows.join(final.join(least, "component").drop("first_id"), "fingerprint").select(
         "doc_id", "text_hash", "fingerprint", "component", "component_id"
     )
