@@ -47,6 +47,7 @@ TEXT_COLUMNS = [
     name for name in COLUMN_MAP.values() if name not in {*DATE_COLUMNS, "duration_seconds"}
 ]
 
+# Columns that must hold a value.
 MANDATORY_COLUMNS = [
     "incident_id",
     "priority_raw",
@@ -73,6 +74,7 @@ GOLD_SCOPES = {"ALL": None, "P2": 2, "P3": 3}
 FORECAST_SCOPES = {"ALL": None, "P1": 1, "P2": 2, "P3": 3, "P4": 4, "P5": 5}
 HORIZONS = {"D+1": 1, "D+7": 7}
 
+# Columns the gold tables need.
 GOLD_REQUIRED = [
     "incident_id",
     "opened_at",
@@ -87,6 +89,7 @@ GOLD_REQUIRED = [
     "opened_by",
     "status",
 ]
+# Dimensions of the breakdown.
 BREAKDOWN_DIMENSIONS = [
     "assigned_group",
     "product",
@@ -95,6 +98,7 @@ BREAKDOWN_DIMENSIONS = [
     "critical_group",
     "parent_incident_id",
 ]
+# Measures of the daily volume.
 VOLUME_COUNTS = [
     "incident_count",
     "entered_kpi_count",
@@ -111,6 +115,7 @@ WEEKDAY_LABELS = ["Segunda", "Terça", "Quarta", "Quinta", "Sexta", "Sábado", "
 
 ELIGIBLE = "entered_kpi_source"
 TARGET = "kpi_breached_source"
+# Features of the risk model.
 CATEGORICAL_FEATURES = [
     "priority_code",
     "product",
@@ -156,6 +161,7 @@ LEAKAGE_COLUMNS = [
     "entered_kpi_rule_mismatch",
     "kpi_breached_rule_mismatch",
 ]
+# Columns the risk features need.
 RISK_REQUIRED = [
     "incident_id",
     "opened_at",
@@ -214,6 +220,7 @@ FACTOR_LABELS = {
 NO_FACTOR = "sem fator positivo dominante"
 NO_INFORMATION = "sem informação"
 
+# Features of the forecasts.
 CALENDAR_FEATURES = [f"dow_{day}" for day in range(7)] + [
     "is_weekend",
     "is_holiday",
