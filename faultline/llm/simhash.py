@@ -121,7 +121,8 @@ def fingerprints(docs: DataFrame, spec: SimHash) -> DataFrame:
 def _bits(batch: pa.RecordBatch, spec: SimHash) -> np.ndarray:
     """Rows of 0/1, the highest bit of the first lane first."""
     lanes = [batch[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in spec.columns]
-    raw = np.stack([x.astype(">u8") for x in lanes], axis=1).view(np.uint8)
+    # Stacking turns to native byte order, so the bytes are put in order after it.
+    raw = np.stack(lanes, axis=1).astype(">u8").view(np.uint8)
     return np.unpackbits(raw.reshape(batch.num_rows, -1), axis=1)
 
 

@@ -88,6 +88,20 @@ def test_groups_are_those_of_all_pairs(spark, documents, radius, parts):
     assert lost[f"{plain_fingerprint('alone by itself', 3):016x}"] is None
 
 
+def test_no_link_counts_as_met_before_by_other_bits(spark, monkeypatch):
+    draw = random.Random(11)
+    prints = []
+    for _ in range(300):
+        one = draw.getrandbits(64)
+        a, b = draw.sample(range(64), 2)
+        prints += [one, one ^ (1 << a) ^ (1 << b)]
+    signed = [(i, i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    made = spark.createDataFrame(signed, "doc_id long, text_hash long, f0 long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, spec: made)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(made, simhash.SimHash()).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
 def test_thresholds_add_up_and_find_every_pair(spark):
     draw = np.random.default_rng(5)
     spec = simhash.SimHash(radius=6, parts=5)
