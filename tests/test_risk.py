@@ -120,6 +120,31 @@ def test_history_plan_is_linear_and_shares_its_scan(three, spark):
         assert word not in physical
 
 
+def test_history_joins_no_row_with_the_running_totals(three):
+    plan = history.history_features(three)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    # Only the totals of whole parts of a day are joined, with those of the days.
+    assert joins and all("cell_day" in line for line in joins)
+
+
+def test_history_of_asked_ids_counts_all_rows(three):
+    some = three.where("incident_id <> 'INC0000002'")
+    got = rows(history.history_features(three, some), "incident_id")
+    assert got == [r for r in rows(history.history_features(three), "incident_id") if r[0] != "INC0000002"]
+    assert len(got) == 2
+
+
+def test_tables_of_incidents_are_not_broadcast(three):
+    found = history.with_history(three, history.history_features(three))
+    placed = scoring.predictive_index(
+        found.withColumn("p", F.rand(1)), found.select(F.rand(2).alias("p")), "p"
+    )
+    for frame, key in ((found, "incident_id"), (placed, "normalizenanandzero")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert any("SortMergeJoin" in line and key in line for line in plan.splitlines())
+        assert not any("BroadcastHashJoin" in line and key in line for line in plan.splitlines())
+
+
 def test_running_totals_by_level(spark):
     frame = spark.range(1000).select((F.col("id") % 97 / 97.0).alias("p"))
     counted = count_points(frame, score_levels(F.col("p")), {"n": F.lit(1)})
