@@ -127,6 +127,45 @@ def test_history_joins_no_row_with_the_running_totals(three):
     assert joins and all("cell_day" in line for line in joins)
 
 
+def test_look_backs_are_neither_unfolded_nor_sent_through_the_driver(three):
+    found = history.history_features(three)._jdf.queryExecution()
+    plan = found.optimizedPlan().toString()
+    # One row per incident and key column is dealt; only those columns are unfolded.
+    above = plan[: plan.index("MapInArrow")]
+    assert "Generate" not in above and "Window" not in above
+    # Totals of the parts of a day, of any number of keys, are merged.
+    assert "Broadcast" not in found.executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [3, 50])
+def test_look_backs_over_many_batches(spark, size):
+    """Instants that coincide, also on other days, are cut by the batches anywhere."""
+    rng = np.random.default_rng(size)
+    day, names = 86_400_000_000, ["a", "b", None]
+    data = [
+        (f"INC{i:07d}", int(rng.integers(0, 40)) * day + int(rng.integers(0, 4)) * 1_000,
+         names[int(rng.integers(0, 3))])
+        for i in range(300)
+    ]
+    frame = spark.createDataFrame(data, "incident_id string, o long, assigned_group string").select(
+        "incident_id", F.timestamp_micros("o").alias("opened_at"), "assigned_group",
+        F.timestamp_micros(F.col("o") + day).alias("closed_at"), F.lit("p").alias("product"),
+        F.lit(None).cast("string").alias("category"), F.lit(2).cast("long").alias("priority_code"),
+        F.lit(True).alias(S.ELIGIBLE), (F.col("o") % 2000 == 0).alias(S.TARGET),
+    )
+    expected = brute_force([(i, o, o + day, g, True, o % 2000 == 0) for i, o, g in data])
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, str(size))
+    try:
+        got = history.history_features(frame).collect()
+    finally:
+        spark.conf.unset(setting)
+    kinds = [f"assigned_group_incidents_previous_{d}d" for d in (1, 7, 30)] + [
+        "assigned_group_known_outcomes_previous_30d", "assigned_group_breaches_previous_30d"
+    ]
+    assert {r["incident_id"]: tuple(r[n] for n in kinds) for r in got} == expected
+
+
 def test_history_of_asked_ids_counts_all_rows(three):
     some = three.where("incident_id <> 'INC0000002'")
     got = rows(history.history_features(three, some), "incident_id")
