@@ -166,6 +166,44 @@ def test_look_backs_over_many_batches(spark, size):
     assert {r["incident_id"]: tuple(r[n] for n in kinds) for r in got} == expected
 
 
+def test_one_row_per_incident_is_found(three, monkeypatch):
+    """Not one for each kind of key: rows found are shuffled once more, by incident."""
+    found = []
+    monkeypatch.setattr(history, "_moved", lambda frame: found.append(frame) or frame)
+    history.history_features(three)
+    assert found[0].count() == 3
+
+
+@pytest.mark.parametrize("size", [4, 10_000])
+def test_all_kinds_are_counted_side_by_side(spark, size):
+    """Keys of different kinds share texts, parts of the day and batches; days are also negative."""
+    rng = np.random.default_rng(11)
+    day, names = 86_400_000_000, ["a", "b", "c", None]
+    data = [
+        (f"INC{i:07d}", int(rng.integers(-9, 9)) * day + int(rng.integers(0, 3)) * 599_999_999,
+         *[names[int(rng.integers(0, 4))] for _ in range(3)], int(rng.integers(1, 3)))
+        for i in range(200)
+    ]
+    frame = spark.createDataFrame(
+        data, "incident_id string, o long, assigned_group string, product string, category string, priority_code long"
+    ).select(
+        "incident_id", F.timestamp_micros("o").alias("opened_at"), "assigned_group", "product", "category",
+        "priority_code", F.lit(None).cast("timestamp").alias("closed_at"),
+        F.lit(True).alias(S.ELIGIBLE), F.lit(True).alias(S.TARGET),
+    )
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, str(size))
+    try:
+        got = {r["incident_id"]: r for r in history.history_features(frame).collect()}
+    finally:
+        spark.conf.unset(setting)
+    spans = [("assigned_group", 2, 1), ("assigned_group", 2, 30), ("product", 3, 7), ("category", 4, 7), ("priority", 5, 7)]
+    for own in data:
+        for name, at, days in spans:
+            counted = sum(d[at] == own[at] and own[1] - days * day <= d[1] < own[1] for d in data)
+            assert got[own[0]][f"{name}_incidents_previous_{days}d"] == counted
+
+
 def test_history_of_asked_ids_counts_all_rows(three):
     some = three.where("incident_id <> 'INC0000002'")
     got = rows(history.history_features(three, some), "incident_id")
