@@ -3,15 +3,19 @@
 Two rows are linked if the Jaccard similarity of their sets of shingles is at least
 ``similarity``. Links are found in three steps:
 
-* ``bands`` keys of ``band`` min-hashes each. Two sets of similarity ``s`` agree in a key
-  with probability ``s ** band``, whatever else the table holds: with the defaults an
-  isolated pair at 0.8 meets in no key with probability 8e-6, at 0.85 with 4e-8.
-* Pairs that meet are sieved: by 256 bits of SimHash over the set, not over its repeats (a
-  pair at 0.8 differs in 39 +- 6 bits, 72 pass), and two sets of at most ``short`` shingles
-  by the 32-bit values they share, with one to spare for values that fall together.
+* A SimHash search by the generalised pigeonhole principle, in ``lanes`` partitionings: each
+  lane is a fingerprint of 64 bits of its own, cut into ``parts`` by correlated bits, and a row
+  probes the parts within thresholds that dynamic programming chooses for it, as in
+  ``simhash``. All pairs that differ by at most ``radius`` bits in any lane meet for sure; so
+  do those within 479 of all 10,240 bits. A pair at 0.8 differs in 15 % of the bits (some sets
+  of few shingles: in 16 %) and meets in no lane with probability 4e-7 (those: 1e-5), whatever
+  else the table holds; at 0.85 with 6e-12. In sets of at most ``few`` shingles bits may flip
+  more often. Two such sets at 0.8 are equal but for one shingle, and meet by that.
+* Pairs that meet are sieved: by 128, then by 256 bits over the set, not over its repeats (a
+  pair at 0.8 differs in 39 +- 6 of 256 bits, 72 pass).
 * What the sieve leaves is compared shingle by shingle, by the texts.
 
-Rows of equal sets are one node. The members of a key are first compared with its
+Rows of equal sets are one node. The members of a part's value are first compared with its
 smallest one; then only pairs of different components are, so a cloud of near copies
 gives few rows.
 """
@@ -33,24 +37,32 @@ from faultline.llm.components import connected_components
 from faultline.session import materialise
 
 SEED = 42
-LANES = 4
-HASHES_AT_ONCE = 512
+LANES = 4  # of the sieve
+BLOCK = 16  # lanes searched at once; their pairs are stored before the next are searched
+HASHES_AT_ONCE = 1024
 
 
 @dataclass(frozen=True)
 class NearCopies:
-    """words: of a shingle; similarity: least Jaccard similarity of a link; band: min-hashes
-    of a key; bands: keys of a row; sieve: most differing bits of 256 of a compared pair;
-    short: shingles up to which a set's 32-bit values are a sieve; tiny: up to which the
-    bits are none, for few shingles leave them no such spread."""
+    """words: of a shingle; similarity: least Jaccard similarity of a link; lanes: fingerprints
+    of 64 bits, each searched within ``radius`` by ``parts``; first, sieve: most differing bits
+    of 128 and of 256 of a compared pair; tiny: shingles up to which the 256 bits are no sieve,
+    for so few leave them no such spread; few: up to which sets also meet by the sets with one
+    shingle fewer."""
 
     words: int = 5
     similarity: float = 0.8
-    band: int = 7
-    bands: int = 50
+    lanes: int = 160
+    radius: int = 2
+    parts: int = 3
+    first: int = 44
     sieve: int = 72
-    short: int = 512
     tiny: int = 32
+    few: int = 8
+
+    @property
+    def search(self) -> simhash.SimHash:
+        return simhash.SimHash(words=self.words, radius=self.radius, parts=self.parts)
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -76,75 +88,164 @@ def jaccard(left: np.ndarray, right: np.ndarray) -> float:
 
 
 
-_DRAW = np.random.default_rng(SEED)
-_ODD = _DRAW.integers(0, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _DRAW.integers(0, 1 << 63, 4096, np.uint64)
+def sketch(found: np.ndarray, lanes: int) -> np.ndarray:
+    """Lanes of 64 bits of SimHash over a set of shingles."""
+    counts = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(found), HASHES_AT_ONCE):
+        for weight, rows in enumerate(_added(simhash._lanes(found[at : at + HASHES_AT_ONCE], lanes))):
+            ones = np.unpackbits(rows.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+            counts += ones.sum(axis=0, dtype=np.int64) << weight
+    return np.packbits(2 * counts > len(found), bitorder="little").view("<u8").astype(np.uint64)
 
 
-def band_keys(found: np.ndarray, spec: NearCopies) -> np.ndarray:
-    """A 64-bit key for each band of min-hashes; none for an empty set."""
-    if not len(found):
-        return np.zeros(0, np.uint64)
-    count = spec.band * spec.bands
-    least = np.full(count, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(found), HASHES_AT_ONCE):
-        here = found[None, at : at + HASHES_AT_ONCE]
-        made = here * _ODD[:count, None]
-        made += _ADD[:count, None]
-        least = np.minimum(least, (made >> np.uint64(32)).astype(np.uint32).min(axis=1))
-    rows = least.reshape(spec.bands, spec.band)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64)
+def _added(rows: np.ndarray) -> list[np.ndarray]:
+    """At most two rows of bits for each power of two; they add up to ``rows``, bit by bit."""
+    made = []
+    while len(rows):
+        carried = [rows[:0]]
+        while len(rows) > 2:
+            third = len(rows) // 3
+            a, b, c = rows[:third], rows[third : 2 * third], rows[2 * third : 3 * third]
+            carried.append((a & b) | ((a ^ b) & c))
+            rows = np.concatenate([a ^ b ^ c, rows[3 * third :]])
+        made.append(rows)
+        rows = np.concatenate(carried)
+    return made
+
+
+def one_fewer(found: np.ndarray, spec: NearCopies) -> list[str]:
+    """Digests of the set without each of its shingles, of those that can be so similar."""
+    total = len(found)
+    if total > spec.few or (total - 1) < spec.similarity * total:
+        return []
+    return [_digest(np.delete(found, i)) for i in range(total)]
+
+
+def _digest(found: np.ndarray) -> str:
+    return xxhash.xxh128_hexdigest(found.tobytes(), SEED)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """256 bits of SimHash over a set of shingles."""
-    counts = np.zeros(64 * LANES, np.int64)
-    for at in range(0, len(found), simhash.HASHES_AT_ONCE):
-        part = found[at : at + simhash.HASHES_AT_ONCE]
-        for lane in range(LANES):
-            rows = simhash._lane(part, lane).astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones = np.add.reduce(np.unpackbits(rows, axis=1), axis=0, dtype=np.uint16)
-            counts[64 * lane : 64 * lane + 64] += ones
-    return np.packbits(2 * counts > len(found)).view(">u8").astype(np.uint64)
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"),
+        F.col("text").cast("binary").alias("text"),
+    )
 
 
-def _sketched(docs: DataFrame, spec: NearCopies) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``node`` (digest of the set), lanes and band keys of each row."""
+def _named(docs: DataFrame, spec: NearCopies) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``node`` (digest of the set) of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, lanes, keys, sizes, short = [], [], [], [], []
+        nodes = [_digest(shingles(text, spec.words)) for text in batch["text"].to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [batch["doc_id"], batch["text_hash"], pa.array(nodes, pa.string())], ["doc_id", "text_hash", "node"]
+        )
+
+    return map_batches(_source(docs), run, "doc_id long, text_hash long, node string")
+
+
+def _sketched(texts: DataFrame, spec: NearCopies) -> DataFrame:
+    """``node``, its source (``doc_id``, ``text_hash``) and the sketches of its set."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lanes, sizes, fewer = [], [], []
         for text in batch["text"].to_pylist():
             found = shingles(text, spec.words)
-            nodes.append(xxhash.xxh128_hexdigest(found.tobytes(), SEED))
-            lanes.append(sketch(found))
-            keys.append(band_keys(found, spec).view(np.int64))
+            lanes.append(sketch(found, spec.lanes))
             sizes.append(len(found))
-            cut = np.unique(found.astype(np.uint32)).view(np.int32)
-            short.append(cut if len(found) <= spec.short else None)
+            fewer.append(one_fewer(found, spec))
         bits = np.stack(lanes).view(np.int64)
         return pa.RecordBatch.from_pydict(
             {
+                "node": batch["node"],
                 "doc_id": batch["doc_id"],
                 "text_hash": batch["text_hash"],
-                "node": pa.array(nodes, pa.string()),
                 **{f"f{i}": pa.array(bits[:, i]) for i in range(LANES)},
                 "size": pa.array(sizes, pa.int64()),
-                "short": pa.array(short, pa.list_(pa.int32())),
-                "keys": pa.array(keys, pa.list_(pa.int64())),
+                "lanes": pa.array([row.astype("<u8").tobytes() for row in lanes], pa.binary()),
+                "fewer": pa.array(fewer, pa.list_(pa.string())),
             }
         )
 
-    source = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("text_hash"),
-        F.col("text").cast("binary").alias("text"),
-    )
     lanes = ", ".join(f"f{i} long" for i in range(LANES))
-    schema = f"doc_id long, text_hash long, node string, {lanes}, size long, short array<int>, keys array<long>"
-    return map_batches(source, run, schema)
+    schema = f"node string, doc_id long, text_hash long, {lanes}, size long, lanes binary, fewer array<string>"
+    return map_batches(texts, run, schema)
+
+
+def _nodes(docs: DataFrame, rows: DataFrame, spec: NearCopies) -> DataFrame:
+    """A row with ``id`` and sketches for each node, from one row of ``docs`` that has its set."""
+    counted = rows.groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    source = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash", "n")
+    chosen = materialise(
+        counted.groupBy("node").agg(F.min(source).alias("s"))
+        .select("node", F.col("s.doc_id").alias("id"), F.col("s.text_hash").alias("hash"), F.col("s.n").alias("n"))
+    )
+
+    def texts(some: DataFrame) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+        return _source(docs).join(some, same).select("node", "doc_id", "text_hash", "text")
+
+    # Only rows that repeat wholly need to be told apart.
+    once = texts(materialise(chosen.where("n = 1")))
+    repeated = texts(materialise(chosen.where("n > 1"))).dropDuplicates(["node"])
+    sketches = _sketched(once.union(repeated), spec)
+    return materialise(sketches.withColumn("id", F.monotonically_increasing_id()))
+
+
+def lane_bits(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows of 0/1 of all lanes."""
+    raw = np.frombuffer(b"".join(batch["lanes"].to_pylist()), np.uint8)
+    return np.unpackbits(raw.reshape(batch.num_rows, -1), axis=1)
+
+
+#: What a keyed row is: a value that others may probe, a value it probes itself, or both.
+PROBES, INDEXED = 1, 2
 
 
-CARRIED = ["node", *[f"f{i}" for i in range(LANES)], "size", "short"]
+def part_values(
+    bits: np.ndarray, plan: simhash.PartPlan, lane: int, spec: NearCopies
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, places of their rows in ``bits`` (of one lane) and kinds."""
+    wanted = simhash.allocate(bits, plan, spec.search)
+    keys, places, kinds = [], [], []
+    for i, part in enumerate(plan.parts):
+        own = simhash._values(bits, part) | ((lane * spec.parts + i) << 48)
+        keys.append(own)
+        places.append(np.arange(len(bits)))
+        kinds.append(np.where(wanted[:, i] >= 0, PROBES | INDEXED, INDEXED))
+        for t in range(1, spec.search.most + 1):
+            at, masks = np.flatnonzero(wanted[:, i] == t), simhash._masks(len(part), t)[1:]
+            keys.append((own[at][:, None] ^ masks).ravel())
+            places.append(np.repeat(at, len(masks)))
+            kinds.append(np.full(len(at) * len(masks), PROBES))
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(kinds)
+
+
+def _keyed(nodes: DataFrame, plans: list[simhash.PartPlan], lanes: range, spec: NearCopies) -> DataFrame:
+    """A row for each value of the lanes' parts that a node is indexed by or probes."""
+    chosen = {lane: plans[lane] for lane in lanes}
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = lane_bits(batch)
+        made = [part_values(bits[:, 64 * n : 64 * n + 64], plan, n, spec) for n, plan in chosen.items()]
+        keys, places, kinds = (np.concatenate(column) for column in zip(*made, strict=True))
+        taken = batch.select(["id", "component", "f0", "f1"]).take(pa.array(places))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys), pa.array(kinds.astype(np.int32)), *taken.columns],
+            ["key", "kind", *taken.schema.names],
+        )
+
+    schema = "key long, kind int, id long, component long, f0 long, f1 long"
+    return map_batches(nodes.select("id", "component", "f0", "f1", "lanes"), run, schema)
+
+
+def _first_sieve(spec: NearCopies) -> Column:
+    bits = [F.bit_count(F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}"))) for i in range(2)]
+    return reduce(Column.__add__, bits) <= spec.first
+
+
+CARRIED = ["id", *[f"f{i}" for i in range(LANES)], "size"]
 
 
 def _near(left: str, right: str, spec: NearCopies) -> Column:
@@ -160,24 +261,28 @@ def _near(left: str, right: str, spec: NearCopies) -> Column:
     sizes = F.least(a("size"), b("size")) / F.greatest(a("size"), b("size")) >= F.lit(spec.similarity)
     bits = [F.bit_count(a(f"f{i}").bitwiseXOR(b(f"f{i}"))) for i in range(LANES)]
     close = (F.least(a("size"), b("size")) <= spec.tiny) | (reduce(Column.__add__, bits) <= spec.sieve)
-    both = F.size(F.array_intersect(a("short"), b("short"))) + 1
-    shared = both / (a("size") + b("size") - both) >= F.lit(spec.similarity)
-    known = a("short").isNotNull() & b("short").isNotNull()
-    return sizes & close & F.when(known, shared).otherwise(True)
+    return sizes & close
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, spec: NearCopies) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, spec: NearCopies) -> DataFrame:
     """The pairs ``a``, ``b`` whose sets of shingles are similar enough."""
+    carried = nodes.select(*CARRIED)
+    pairs = materialise(
+        pairs.alias("p").join(carried.alias("a"), F.col("p.a") == F.col("a.id"))
+        .join(carried.alias("b"), F.col("p.b") == F.col("b.id"))
+        .where(_near("a", "b", spec)).select("p.a", "p.b")
+    )
+    texts = _texts(docs, nodes, pairs.select("a").union(pairs.select("b")).distinct())
     both = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
         .select("a", "b", "left", "right")
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[str, np.ndarray] = {}
+        seen: dict[int, np.ndarray] = {}
 
-        def of(node: str, text: pa.Scalar) -> np.ndarray:
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
             if node not in seen:
                 if len(seen) >= 8:
                     seen.pop(next(iter(seen)))
@@ -192,7 +297,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, spec: NearCopies) -> DataFrame:
         ]
         return batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return map_batches(both, run, "a string, b string")
+    return map_batches(both, run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, spec: NearCopies | None = None) -> DataFrame:
@@ -203,64 +308,73 @@ def near_copies(docs: DataFrame, spec: NearCopies | None = None) -> DataFrame:
     sets are one group; so are all null and blank texts.
     """
     spec = spec or NearCopies()
-    rows = materialise(_sketched(docs, spec))
-    # Sketches and keys follow from the set, so any row of a node has them.
-    source = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")
-    nodes = materialise(
-        rows.groupBy("node").agg(
-            F.min(source).alias("source"), F.any_value("keys").alias("keys"),
-            *[F.any_value(c).alias(c) for c in CARRIED[1:]],
-        )
-    )
-    index = nodes.select("node", F.explode("keys").alias("key"))
-    centres = (
-        index.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").drop("n")
-    )
-    # Only keys that two nodes share; sketches are carried by these alone.
-    shared = materialise(index.join(centres, "key").join(nodes.select(*CARRIED), "node"))
-    centre = shared.where(F.col("node") == F.col("centre"))
-    star = materialise(
-        shared.alias("a")
-        .join(centre.alias("b"), (F.col("a.key") == F.col("b.key"))
-              & (F.col("a.node") != F.col("b.node")) & _near("a", "b", spec))
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        .distinct()
-    )
-    texts = _texts(docs, nodes, shared)
-    links = materialise(_linked(star, texts, spec))
+    rows = materialise(_named(docs, spec))
+    nodes = _nodes(docs, rows, spec)
+    plans = simhash.plan_groups(nodes.select("lanes"), spec.search, spec.lanes, lane_bits)
+    blocks = [range(at, min(at + BLOCK, spec.lanes)) for at in range(0, spec.lanes, BLOCK)]
+    star = materialise(_star(nodes, plans, blocks[0], spec).union(_one_apart(nodes)).distinct())
+    links = materialise(_linked(star, docs, nodes, spec))
     parts = connected_components(links).withColumnRenamed("node", "member")
     grouped = materialise(
-        shared.join(parts, F.col("node") == F.col("member"), "left")
-        .select("key", *CARRIED, F.coalesce("component", "node").alias("component"))
+        nodes.join(parts, F.col("id") == F.col("member"), "left")
+        .select("id", "f0", "f1", "lanes", F.coalesce("component", "id").alias("component"))
     )
-    across = (
-        grouped.alias("a")
-        .join(grouped.alias("b"), (F.col("a.key") == F.col("b.key"))
-              & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") > F.col("b.node"))
-              & _near("a", "b", spec))
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = materialise(_linked(materialise(across), texts, spec))
-    merged = connected_components(links.union(more)).withColumnRenamed("node", "member")
-    return rows.join(merged, F.col("node") == F.col("member"), "left").select(
-        "doc_id", "text_hash", F.coalesce("component", "node").alias("component")
+    across = reduce(
+        DataFrame.union, [materialise(_across(grouped, plans, block, spec)) for block in blocks]
     )
+    across = materialise(across.distinct().join(star, ["a", "b"], "left_anti"))
+    more = materialise(_linked(across, docs, nodes, spec))
+    merged = connected_components(links.union(more)).withColumnRenamed("node", "member")
+    named = nodes.select("node", "id").join(merged, F.col("id") == F.col("member"), "left")
+    return rows.join(
+        named.select("node", F.coalesce("component", "id").cast("string").alias("component")), "node"
+    ).drop("node")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """``node`` and a text of it, for each node that shares a key."""
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select(
-        "node", F.col("source.doc_id").alias("id"), F.col("source.text_hash").alias("hash")
-    )
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
-        F.col("text").cast("binary").alias("text"),
+def _ordered() -> list[Column]:
+    return [F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")]
+
+
+def _star(nodes: DataFrame, plans: list[simhash.PartPlan], lanes: range, spec: NearCopies) -> DataFrame:
+    """Pairs of the members of a part's value with its smallest one."""
+    plain = nodes.withColumn("component", F.col("id"))
+    index = _keyed(plain, plans, lanes, spec).where(F.col("kind").bitwiseAND(INDEXED) > 0)
+    index = index.select("key", "id", "f0", "f1")
+    centres = materialise(
+        index.groupBy("key").agg(F.min(F.struct("id", "f0", "f1")).alias("c"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select("key", "c.*")
     )
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    return materialise(found.select("node", "text").dropDuplicates(["node"]))
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _first_sieve(spec)
+    return index.alias("a").join(centres.alias("b"), met).select(*_ordered()).distinct()
+
+
+def _one_apart(nodes: DataFrame) -> DataFrame:
+    """Pairs of a set of few shingles and the one that has one more."""
+    fewer = nodes.select("id", F.explode("fewer").alias("node"))
+    return (
+        fewer.alias("a").join(nodes.select("node", "id").alias("b"), F.col("a.node") == F.col("b.node"))
+        .select(*_ordered())
+    )
+
+
+def _across(grouped: DataFrame, plans: list[simhash.PartPlan], lanes: range, spec: NearCopies) -> DataFrame:
+    """Pairs of different components, of a node that probes a value and one that has it."""
+    keyed = _keyed(grouped, plans, lanes, spec)
+    # Both sides in one condition: one shuffle then serves both.
+    kinds = F.col("a.kind").bitwiseAND(PROBES) + F.col("b.kind").bitwiseAND(INDEXED) == PROBES + INDEXED
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
+    return keyed.alias("a").join(keyed.alias("b"), met & kinds & _first_sieve(spec)).select(*_ordered()).distinct()
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id`` and a text of each node of ``ids`` (their column ``a``)."""
+    wanted = nodes.join(ids, F.col("id") == F.col("a"), "left_semi").select(
+        "id", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("hash")
+    )
+    found = _source(docs).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("hash"))
+    )
+    return materialise(found.select("id", "text").dropDuplicates(["id"]))
 
 
 def keep_one(docs: DataFrame, spec: NearCopies | None = None) -> DataFrame:

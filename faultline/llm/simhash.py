@@ -37,6 +37,7 @@ from faultline.session import materialise
 SEED = 42
 HASHES_AT_ONCE = 60_000  # under 65,536, so that 16-bit counters suffice
 KEY_BITS = 44  # most bits of one key
+_LANE_STEP = 0x9E3779B97F4A7C15
 CELL_BITS = 8  # bits of a histogram cell; a part has one or more cells
 
 
@@ -70,10 +71,20 @@ def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
     """Further 64 bits of the same shingles: the hash mixed with the lane's number."""
     if lane == 0:
         return hashes
-    mixed = hashes + np.uint64(0x9E3779B97F4A7C15 * lane % (1 << 64))
-    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return mixed ^ (mixed >> np.uint64(31))
+    return _mixed(hashes + np.uint64(_LANE_STEP * lane % (1 << 64)))
+
+
+def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """A column of ``_lane`` for each lane."""
+    mixed = _mixed(hashes[:, None] + np.arange(lanes, dtype=np.uint64) * np.uint64(_LANE_STEP))
+    mixed[:, 0] = hashes
+    return mixed
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return hashes ^ (hashes >> np.uint64(31))
 
 
 def fingerprint(text: bytes | None, words: int, lanes: int = 1) -> np.ndarray:
@@ -126,17 +137,19 @@ def _bits(batch: pa.RecordBatch, spec: SimHash) -> np.ndarray:
     return np.unpackbits(raw.reshape(batch.num_rows, -1), axis=1)
 
 
-def _summed(distinct: DataFrame, count: Callable[[np.ndarray], np.ndarray], spec: SimHash):
+def _summed(
+    frame: DataFrame, count: Callable[[np.ndarray], np.ndarray], read: Callable[[pa.RecordBatch], np.ndarray]
+):
     """Sum a fixed number of counters over all fingerprints; each task sends one vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(count(_bits(batch, spec)).ravel().astype(np.int64) for batch in batches if batch.num_rows)
+        total = sum(count(read(batch)).ravel().astype(np.int64) for batch in batches if batch.num_rows)
         if np.ndim(total):
             cells = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"cell": cells.astype(np.int32), "n": total[cells]})
 
-    frame = distinct.select(*spec.columns).mapInArrow(run, "cell int, n long")
-    summed = frame.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = frame.mapInArrow(run, "cell int, n long")
+    summed = found.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     return summed["cell"].to_numpy(np.int64), summed["n"].to_numpy(float)
 
 
@@ -184,40 +197,59 @@ class PartPlan:
 
 def plan_parts(distinct: DataFrame, spec: SimHash) -> PartPlan:
     """Counted over all distinct fingerprints; what reaches the driver has a fixed size."""
+    return plan_groups(distinct.select(*spec.columns), spec, 1, lambda batch: _bits(batch, spec))[0]
+
+
+def plan_groups(
+    distinct: DataFrame, spec: SimHash, groups: int, read: Callable[[pa.RecordBatch], np.ndarray]
+) -> list[PartPlan]:
+    """``plan_parts`` of each of ``groups`` fingerprints that a row has side by side.
+
+    read: the rows of 0/1 of a batch, ``groups`` times ``spec.bits`` wide.
+    """
     width = spec.bits
+    upper = np.triu_indices(width)
 
     def pairs(bits: np.ndarray) -> np.ndarray:
-        ones = bits.astype(np.float32)
-        return (ones.T @ ones).round()
+        ones = np.ascontiguousarray(bits.reshape(len(bits), groups, width).transpose(1, 0, 2), np.float32)
+        return (ones.transpose(0, 2, 1) @ ones).round()[:, *upper]
 
-    cells, counts = _summed(distinct, pairs, spec)
-    together = np.zeros(width * width)
+    cells, counts = _summed(distinct, pairs, read)
+    together, rows = np.zeros(groups * len(upper[0])), float(distinct.count())
     together[cells] = counts
-    rows = float(distinct.count())
-    parts = correlated_parts(together.reshape(width, width), rows, spec.parts)
-    flat = [cell for part in _cells(parts) for cell in part]
+    parts = []
+    for half in together.reshape(groups, -1):
+        whole = np.zeros((width, width))
+        whole[upper] = half
+        parts.append(correlated_parts(np.maximum(whole, whole.T), rows, spec.parts))
+    flat = [
+        [g * width + b for b in cell] for g in range(groups) for part in _cells(parts[g]) for cell in part
+    ]
 
     def histogram(bits: np.ndarray) -> np.ndarray:
         return np.stack(
             [np.bincount(_values(bits, cell), minlength=1 << CELL_BITS) for cell in flat]
         )
 
-    cells, counts = _summed(distinct, histogram, spec)
+    cells, counts = _summed(distinct, histogram, read)
     shares = np.zeros(len(flat) << CELL_BITS)
     shares[cells] = counts / max(rows, 1)
-    shares, near, at = shares.reshape(len(flat), -1), [], 0
-    for part in _cells(parts):
-        made = []
-        for cell in part:
-            value = np.arange(1 << len(cell))
-            own = shares[at, : len(value)]
-            flips = [1 << b for b in range(len(cell))]
-            one = sum((own[value ^ f] for f in flips), np.zeros(len(value)))
-            two = sum((own[value ^ (f | g)] for f, g in combinations(flips, 2)), np.zeros(len(value)))
-            made.append(np.stack([own, one, two], axis=1))
-            at += 1
-        near.append(made)
-    return PartPlan(parts, near, rows)
+    shares, at, plans = shares.reshape(len(flat), -1), 0, []
+    for group in parts:
+        near = []
+        for part in _cells(group):
+            made = []
+            for cell in part:
+                value = np.arange(1 << len(cell))
+                own = shares[at, : len(value)]
+                flips = [1 << b for b in range(len(cell))]
+                one = sum((own[value ^ f] for f in flips), np.zeros(len(value)))
+                two = sum((own[value ^ (f | g)] for f, g in combinations(flips, 2)), np.zeros(len(value)))
+                made.append(np.stack([own, one, two], axis=1))
+                at += 1
+            near.append(made)
+        plans.append(PartPlan(group, near, rows))
+    return plans
 
 
 def _masks(width: int, within: int) -> np.ndarray:

@@ -329,6 +329,65 @@ def test_isolated_pairs_are_judged_by_their_shingles(spark, documents):
     assert nearcopies.keep_one(documents([]), NEAR_COPIES).count() == 0
 
 
+def test_parts_of_each_lane_meet_every_pair_within_the_radius(spark):
+    from faultline.llm import nearcopies
+
+    draw, spec = np.random.default_rng(7), nearcopies.NearCopies(lanes=2)
+    # Half of the rows share most bits, so that their values are frequent and thresholds differ.
+    bits = draw.integers(0, 2, (600, 128))
+    bits[:300] = bits[0] ^ (draw.random((300, 128)) < 0.02)
+    raw = [(bytearray(np.packbits(row)),) for row in bits]
+    frame = spark.createDataFrame(raw, "lanes binary").repartition(3)
+    plans = simhash.plan_groups(frame, spec.search, spec.lanes, nearcopies.lane_bits)
+    thresholds = set()
+    for lane, plan in enumerate(plans):
+        here = bits[:, 64 * lane : 64 * lane + 64].astype(np.uint8)
+        assert sorted(b for p in plan.parts for b in p) == list(range(64))
+        chosen = simhash.allocate(here, plan, spec.search)
+        assert (chosen.sum(axis=1) == spec.radius - spec.parts + 1).all()
+        thresholds |= set(chosen.ravel().tolist())
+        keys, places, kinds = nearcopies.part_values(here, plan, lane, spec)
+        assert set((keys >> 48).tolist()) == {lane * spec.parts + i for i in range(spec.parts)}
+        probed, held = ([set() for _ in here] for _ in range(2))
+        for key, place, kind in zip(keys.tolist(), places.tolist(), kinds.tolist(), strict=True):
+            if kind & nearcopies.PROBES:
+                probed[place].add(key)
+            if kind & nearcopies.INDEXED:
+                held[place].add(key)
+        apart = (here[:, None, :] != here[None, :, :]).sum(axis=2)
+        near = list(zip(*np.nonzero(apart <= spec.radius), strict=True))
+        assert len(near) > 2000 and all(probed[a] & held[b] for a, b in near)
+    assert len(thresholds) > 1
+
+
+def test_lanes_are_the_majority_of_the_shingles(monkeypatch):
+    from faultline.llm import nearcopies
+
+    text = " ".join(map(str, range(40))).encode()
+    found = nearcopies.shingles(text, 5)
+    whole = nearcopies.sketch(found, 9)
+    assert (whole == simhash.fingerprint(text, 5, 9)).all()
+    monkeypatch.setattr(nearcopies, "HASHES_AT_ONCE", 7)
+    assert (nearcopies.sketch(found, 9) == whole).all()
+    assert not nearcopies.sketch(found[:0], 9).any()
+
+
+def test_sets_of_few_shingles_meet_by_one_fewer(spark, documents):
+    from corpus_pipeline import NEAR_COPIES
+    from faultline.llm import nearcopies
+
+    rows, expected = [], set()
+    for n in range(120):
+        words = [f"{n}v{i}" for i in range(8 + n % 4)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words, "more"]))]
+        expected.add(2 * n)
+    # Three of four shingles are too few, also of repeated rows.
+    rows += [(900, "a b c d e f g"), (901, "a b c d e f g h"), (901, "a b c d e f g h")]
+    expected |= {900, 901}
+    kept = nearcopies.keep_one(documents(rows), NEAR_COPIES)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
+
+
 def test_excerpts_are_found_at_every_offset():
     draw = random.Random(4)
     item = " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randrange(2, 9))) for _ in range(60))
