@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from support import at, rows
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,8 @@ from faultline.functions.ordering import (
     score_levels,
     sequential_keys,
 )
-from faultline.operators import explain, history, metrics, model, quality, scoring, serving
+from faultline.operators import explain, fits, history, metrics, model, quality, scoring, serving
+from faultline.session import materialise
 
 SCHEMA = (
     "incident_id string, opened_at timestamp, closed_at timestamp, priority_code long, "
@@ -365,6 +367,87 @@ def test_logistic_fit_minimises_the_summed_loss(spark):
     assert np.allclose([fitted.intercept, *fitted.coefficients], beta, atol=1e-5)
 
 
+def jobs_of(spark, name, run):
+    """What ``run`` returns, and the number of jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("balanced", [True, False])
+def test_logistic_fit_takes_few_passes(spark, balanced):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6)) * np.array([1, 1, 1, 30, 0.03, 0])
+    x[:, 2] = x[:, 1] + 0.01 * rng.normal(size=300)
+    y = (x[:, 1] + 10 * x[:, 4] + rng.normal(size=300) > 1.5).astype(float)
+    frame = encoded(spark, x, y)
+    fitted, jobs = jobs_of(spark, f"logistic-{balanced}", lambda: model.fit_logistic(frame, 100.0, balanced))
+    assert jobs <= 50
+    beta = np.array([fitted.intercept, *fitted.coefficients])
+    weight = np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (300 - y.sum()))) if balanced else np.ones(300)
+    z = np.column_stack([np.ones(300), x])
+    slope = z.T @ (weight * (1 / (1 + np.exp(-z @ beta)) - y)) + np.array([0, *[1] * 6]) / 100 * beta
+    assert np.abs(slope).max() < 1e-6
+
+
+def test_rows_are_packed_with_all_that_vectors_hold(spark):
+    vectors = [Vectors.sparse(4, [1, 3], [2.0, -1.0]), Vectors.dense([1, 0, 0, 5]), Vectors.sparse(4, [], [])]
+    frame = spark.createDataFrame([(float(i == 1), v) for i, v in enumerate(vectors)], ["label", "features"])
+    packed = fits.pack(frame)
+    assert fits.width_of(packed) == 4
+
+    def work(label, share, dense):
+        return np.concatenate([dense.sum(axis=0), label @ dense, [len(label), share.sum()]])
+
+    found = fits.totals(packed, 4, work)
+    parts = frame.rdd.getNumPartitions()
+    assert found[:9].tolist() == [1, 2, 0, 4, 1, 0, 0, 5, 3]
+    # The rows of a task, fewer than a stack, count as one.
+    assert found[9] == pytest.approx(min(parts, 3))
+    with pytest.raises(Exception, match="must not be null"):
+        fits.pack(frame.withColumn("label", F.when(F.col("label") == 1, 1.0)))
+
+
+def test_nets_are_those_of_mllib_and_share_their_passes(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((700, 5)) < 0.4, rng.normal(size=(700, 5)), 0)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0.1).astype(float)
+    # Parts that are not whole stacks, and both forms of vectors.
+    data = [(float(b), Vectors.dense(a) if i % 2 else Vectors.sparse(5, dict(enumerate(a))))
+            for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    frame = materialise(spark.createDataFrame(data, ["label", "features"]).repartition(3))
+    shapes = [[5, 4, 2], [5, 6, 3, 2]]
+    wanted, starts = [
+        [MultilayerPerceptronClassifier(layers=shape, seed=1, maxIter=n).fit(frame).weights.toArray()
+         for shape in shapes] for n in (8, 0)
+    ]
+    passes = []
+    count = fits.totals
+    monkeypatch.setattr(fits, "totals", lambda *given: passes.append(1) or count(*given))
+    packed, alone = fits.pack(frame), []
+    for shape, start in zip(shapes, starts, strict=True):
+        fits.fit_nets(packed, [shape], [start], 8)
+        alone.append(len(passes) - sum(alone))
+    got = fits.fit_nets(packed, shapes, starts, 8)
+    for a, b in zip(got, wanted, strict=True):
+        assert np.allclose(a, b, atol=1e-7)
+    assert len(passes) - sum(alone) == max(alone) >= 9
+
+
+def test_challenger_is_mllibs_net_with_its_scores_stored(spark):
+    frame = model.with_label(feature_rows(spark, 120))
+    ready = materialise(model.Encoder.fit(frame).transform(frame))
+    _, hidden, net, scored = model.train_challenger(ready, ready, ((3,), (4, 2)), 3)
+    assert hidden in ((3,), (4, 2)) and net.getLayers()[1:-1] == list(hidden)
+    assert scored.count() == 120 and "raw_probability" in scored.columns
+    wanted = MultilayerPerceptronClassifier(layers=net.getLayers(), seed=model.SEED, maxIter=3).fit(ready)
+    assert np.allclose(net.weights.toArray(), wanted.weights.toArray(), atol=1e-7)
+    # Scores are stored: what reads them does not run the net again.
+    assert scored._jdf.queryExecution().optimizedPlan().toString().startswith("Relation")
+
+
 def feature_rows(spark, count=60):
     rng = np.random.default_rng(11)
     data = []
