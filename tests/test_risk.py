@@ -495,6 +495,66 @@ def test_numeric_scaling_uses_the_population(spark):
     assert encoder.numbers["assigned_group_breach_rate_previous_30d"][0] == 0.2
 
 
+def test_numbers_are_unfolded_for_their_medians_only(spark):
+    frame = feature_rows(spark, 30)
+    got = {r["feature"]: r for r in model.numeric_table(frame).collect()}
+    assert set(got) == set(S.NUMERIC_FEATURES)
+    for name in S.NUMERIC_FEATURES:
+        known = [None if r[0] is None else float(r[0]) for r in rows(frame.select(name))]
+        median = float(np.median([v for v in known if v is not None]))
+        filled = np.array([median if v is None else v for v in known])
+        wanted = [median, filled.mean(), filled.std()]
+        assert np.allclose([got[name][c] for c in ("median", "mean", "deviation")], wanted)
+    # A constant column has no deviation at all, also if its value has no exact double.
+    constant = frame.withColumn("assigned_group_breach_rate_previous_30d", F.lit(0.1))
+    named = model.numeric_table(constant).where("feature = 'assigned_group_breach_rate_previous_30d'")
+    assert named.first()["deviation"] == 0.0
+    # Without a known value numbers are filled by 0; without rows there is nothing.
+    unknown = frame.withColumn("is_weekend", F.lit(None).cast("long"))
+    row = model.numeric_table(unknown).where("feature = 'is_weekend'").first()
+    assert (row["median"], row["mean"], row["deviation"]) == (0.0, 0.0, 0.0)
+    assert model.numeric_table(frame.limit(0)).count() == 0
+    stored = materialise(frame)
+    # The medians are a subquery, whose leaves are not counted.
+    assert model.numeric_table(stored)._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_scores_read_their_features_once(spark, monkeypatch):
+    frame = feature_rows(spark, 240)
+    protocol = model.Protocol("2025-01-13", "2025-01-20", "2025-01-20", "2025-01-27", "week", "t1")
+    fitted = model.train(frame, protocol)
+    seen = []
+    index = scoring.predictive_index
+    monkeypatch.setattr(scoring, "predictive_index", lambda *given: seen.append(given[0]) or index(*given))
+    scores = model.score(fitted, frame, check=False)
+    assert scores.count() == 240
+    # The index reads the probabilities in several passes.
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().startswith("Relation")
+
+
+def test_drops_are_written_once(spark):
+    """Thirteen of them in one generated method are too long for the JVM to compile."""
+    frame = feature_rows(spark, 6)
+    encoder = model.Encoder.fit(frame)
+    width = len(encoder.transform(frame).first()["features"])
+    terms = encoder.terms(np.linspace(-1, 1, width).tolist())
+    typical = explain.typical_values(frame)
+    found = explain.linear_factors(frame, typical, terms, -0.5, lambda p: p)
+    assert found.columns == [*frame.columns, "top_risk_factors"]
+    plan = found.select("top_risk_factors")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EXP(") <= 3
+
+    def probability(rows_):
+        total = F.lit(-0.5)
+        for name, term in terms.items():
+            total = total + term(F.col(name))
+        return rows_.withColumn("breach_probability", 1 / (1 + F.exp(-total)))
+
+    wanted = explain.top_factors(frame, typical, probability)
+    assert rows(found.select("incident_id", "top_risk_factors"), "incident_id") == rows(wanted, "incident_id")
+    assert any(r[0] != S.NO_FACTOR for r in rows(found.select("top_risk_factors")))
+
+
 def test_factors_name_what_lowers_the_probability(spark):
     frame = feature_rows(spark, 6)
     typical = explain.typical_values(frame) | {"assigned_group_incidents_previous_1d": 0.0,
